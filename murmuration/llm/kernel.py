@@ -25,6 +25,9 @@ _powers: dict[str, np.ndarray] = {}
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+#: All ASCII that is neither a letter nor a digit; bytes of longer characters count as letters.
+NO_LETTER = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -82,10 +85,10 @@ class Words:
     start, end: byte positions; first: n + 1 offsets of each document's words.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE):
         self.data, self.offsets = data, offsets
         inside = np.zeros(len(data) + 1, bool)
-        inside[:-1] = ~SPACE[data]
+        inside[:-1] = ~space[data]
         begins = inside.copy()
         begins[1:] &= ~inside[:-1]
         edges = offsets[:-1]
