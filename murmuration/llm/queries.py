@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmuration.llm import bpe, decontam, licenses, lines, neardup, ordinal, rules, sharding, toxicity
+from murmuration.llm import bpe, decontam, licenses, lines, neardup, ordinal, rules, sharding, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents"), ["doc_id"], length=100, digest=True)
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,6 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed_lines").cast("long").alias("n_removed_lines"), F.col("n_runs").cast("long").alias("n_runs"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_histogram_shards, op4_bpe, op5_line_dedup, op6_decontamination, op7_near_duplicates, op9_license_scan, op10_ordinal_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_histogram_shards, op4_bpe, op5_line_dedup, op6_decontamination, op7_near_duplicates, op8_suffix_dedup, op9_license_scan, op10_ordinal_quality)}
 
 ORACLE: dict[str, str] = {}
