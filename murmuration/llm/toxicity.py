@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SAMPLE, TERMS = 12_000, 4_000
-LEAST_ODDS, LEAST_ROWS, LEAST_SHARE = 3.5, 3, 0.004
+LEAST_ODDS, LEAST_ROWS, LEAST_SHARE = 3.5, 4, 0.004
 STEM = range(4, 9)
 
 # English insults, and phrases in which they are harmless.
@@ -134,10 +134,9 @@ def _terms(fold: Folder, text: str) -> set[str]:
     return {w for w in words if len(w) >= 4} | {w[:k] for w in words for k in STEM if len(w) > k}
 
 
-def fit(training: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from rows (doc_id, text, toxic); at most `sample` of them, half for each label if there are enough."""
-    halves = [training.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2) for y in (1, 0)]
-    rows = halves[0].unionByName(halves[1]).select(F.col("text").alias("text"), F.col("toxic").cast("int").alias("toxic")).repartition(12).persist()
+def fit(training: DataFrame) -> Model:
+    """A model from a bounded table of rows (text, toxic)."""
+    rows = training.select("text", F.col("toxic").cast("int").alias("toxic")).repartition(12).persist()
 
     def count(wanted: frozenset[str] | None, label: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,6 +229,12 @@ def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, text, toxic) of at most `sample` labelled documents that are not held out, half for each label if there are enough.
+
+    The sample is drawn from the labels alone, by a hash of the id, so only its own texts are moved.
+    """
     known = labels.where(~held_out() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(known, "doc_id")
+    halves = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2) for y in (1, 0)]
+    chosen = halves[0].unionByName(halves[1])
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `sample` rows of two numbers at most
