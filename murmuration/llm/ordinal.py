@@ -78,13 +78,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(graded: DataFrame, grades: int, sample: int = SAMPLE, bits: int = BITS, ridge: float = 2e-4) -> Model:
-    """A model from rows (doc_id, text, grade), grade from 0 to grades - 1; at most `sample` rows are used."""
-    per = max(1, sample // grades)
-    parts = [graded.where(F.col("grade") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per) for g in range(grades)]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
+def fit(rows: DataFrame, grades: int, bits: int = BITS, ridge: float = 2e-4) -> Model:
+    """A model from a bounded table of rows (text, grade), grade from 0 to grades - 1."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,8 +148,16 @@ def grade(docs: DataFrame, model: Model, columns: list[str], text: str = "text",
     return source.mapInArrow(run, schema)
 
 
-def graded_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Grades from two ratings: 0 poor quality, 1 good but toxic, 2 good and clean."""
+def graded_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, text, grade) of at most `sample` rated documents, as many of each grade if there are enough.
+
+    Grades come from two ratings: 0 poor quality, 1 good but toxic, 2 good and
+    clean.  The sample is drawn from the ratings alone, by a hash of the id, so
+    only its own texts are moved.
+    """
     rated = labels.where("quality in (0, 1) and toxic in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     grade_of = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
-    return docs.select("doc_id", "text").join(rated.select("doc_id", grade_of.alias("grade")), "doc_id")
+    graded = rated.select("doc_id", grade_of.alias("grade"))
+    parts = [graded.where(F.col("grade") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max(1, sample // 3)) for g in range(3)]
+    chosen = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `sample` rows of two numbers at most
