@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from murmuration.plans import evaluation, graph, relational, scoring, series, text
+from murmuration.plans.registry import PLANS, SQL, Plan
 
-from pyspark.sql import DataFrame, SparkSession
+MODULES = (relational, series, text, scoring, evaluation, graph)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Plan]:
+    return dict(PLANS)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
