@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -66,9 +66,9 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Pieces of a batch that hold about `most` bytes of text each, one row at least."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES, *more: str) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch that hold about `most` bytes of text each, in all named columns together, one row at least."""
+    sizes = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (column, *more))
     begin, held = 0, 0
     for i, size in enumerate(sizes):
         if held and held + size > most:
@@ -77,6 +77,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         held += int(size)
     if begin < len(sizes):
         yield batch.slice(begin)
+    pa.default_memory_pool().release_unused()
 
 
 class Words:

@@ -47,7 +47,7 @@ from murmuration.llm import kernel
 from murmuration.llm.scratch import Scratch
 
 LENGTH, GRAM = 100, 32
-SHARD_BYTES, MEMORY = 6 << 20, 48 << 20
+SHARD_BYTES, MEMORY = 2 << 20, 32 << 20
 #: Entries (about 24 bytes each) up to which a table goes to all tasks; beyond, a shuffle join is used.
 BROADCAST_ROWS, GROUP = 2_000_000, 50_000
 
@@ -404,7 +404,7 @@ def repeated_runs(firsts: DataFrame, scratch: Scratch, length: int, gram: int) -
 def _cut_texts(length: int, digest: bool, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in kernel.slices(batch, "__text", 4 << 20):
+            for piece in kernel.slices(batch, "__text", 1 << 20):
                 data, offsets = kernel.buffers(piece.column("__text"))
                 copies = piece.column("__copy").to_pylist()
                 rows = []
