@@ -21,8 +21,9 @@ follow from the sorted order.  S* substrings are named and sorted by recursion.
 
 Before all this, documents with equal texts count as one: every string of a later
 copy starts earlier in the first.  Passages that very many documents share are
-pre-aggregated to their distinct pieces; anchors are dealt to shards by hash and
-an anchor with more than `GROUP` pieces is dealt further by what follows it.
+pre-aggregated to their distinct pieces.  Anchors are dealt to shards by hash; the
+strings of an anchor with more than `GROUP` distinct pieces, too many for a shard,
+are told apart one by one: their 128-bit hashes are grouped with partial minima.
 
 Defined cases: null and empty texts and texts shorter than `length` keep all;
 repeated rows are copies of each other, and the one met as smallest is kept whole;
@@ -385,15 +386,15 @@ def repeated_runs(firsts: DataFrame, scratch: Scratch, length: int, gram: int) -
     pieces = scratch.save(places_.groupBy("h", "p").agg(F.min(F.struct("key", "low", "n")).alias("origin"), F.count(F.lit(1)).alias("times")))
     several = pieces.where("times > 1").select("h", "p", F.struct(F.col("origin")["key"].alias("key"), F.col("origin")["low"].alias("low")).alias("o"))
     whole = scratch.save(places_.join(several, ["h", "p"]).where(place > F.col("o")).select("key", "low", "n"))
-    unlike = pieces.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("h")
-    chosen = pieces.join(unlike, "h", "left_semi").select("h", "origin.*")
-    wanted = scratch.save(chosen.groupBy("key").agg(F.collect_list(F.struct("h", "low", "n")).alias("places")))
+    unlike = pieces.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("h", (F.col("kinds") > GROUP).alias("hot"))
+    chosen = pieces.join(unlike, "h").select("h", "origin.*", "hot")
+    wanted = scratch.save(chosen.groupBy("key").agg(F.collect_list(F.struct("h", "low", "n", "hot")).alias("places"), F.max("hot").alias("hot")))
     n_pieces, n_bytes = wanted.select(F.explode("places").alias("x")).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("x")["n"] + length), F.lit(0))).first()
     scratch.drop(places_, pieces)
     shards = max(1, -(-n_bytes // SHARD_BYTES))
-    cut = firsts.join(_sized(wanted, n_pieces), "key").select("key", "text", "places").mapInArrow(_cut_pieces(length), "h long, key long, low long, n long, piece binary")
+    cut = firsts.join(_sized(wanted, n_pieces), "key").select("key", "text", F.filter("places", lambda x: ~x["hot"]).alias("places")).mapInArrow(_cut_pieces(length), "h long, key long, low long, n long, piece binary")
     partly = cut.repartition(shards, "h").mapInArrow(_sort_shard(length), "key long, low long, n long")
-    marks = whole.union(partly).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("low", "n"))).alias("m"))
+    marks = whole.union(partly).union(_hot_repeats(firsts, wanted, n_pieces, scratch, length)).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("low", "n"))).alias("m"))
     m = F.col("m")
     gap = lambda x, y: x["low"] + x["n"] < y["low"]
     opens = F.filter(m, lambda x, i: F.coalesce(gap(F.get(m, i - 1), x), F.lit(True)))
@@ -401,6 +402,41 @@ def repeated_runs(firsts: DataFrame, scratch: Scratch, length: int, gram: int) -
     return scratch.save(marks.select("key", F.zip_with(opens, ends, lambda a, b: F.struct(a["low"].alias("first"), (b["low"] + b["n"] - 1).alias("last"))).alias("runs")))
 
 
+def _hot_repeats(firsts: DataFrame, wanted: DataFrame, n_pieces: int, scratch: Scratch, length: int) -> DataFrame:
+    """(key, low, n) of repeated strings among the pieces of anchors with very many of them."""
+    hot = wanted.where("hot").select("key", F.filter("places", lambda x: x["hot"]).alias("places"))
+    if not hot.limit(1).count():
+        return firsts.sparkSession.createDataFrame([], "key long, low long, n long")
+    strings = firsts.join(_sized(hot, n_pieces), "key").select("key", "text", "places").mapInArrow(_strings(length), "a long, b long, key long, low long")
+    strings = scratch.save(strings)
+    place = F.struct("key", "low")
+    earliest = strings.groupBy("a", "b").agg(F.min(place).alias("o"), F.count(F.lit(1)).alias("times")).where("times > 1").select("a", "b", "o")
+    return strings.join(earliest, ["a", "b"]).where(place > F.col("o")).select("key", "low", F.lit(1).cast("long").alias("n"))
+
+
+def _strings(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in kernel.slices(batch, "text"):
+                data, offsets = kernel.buffers(piece.column("text"))
+                flat = piece.column("places").flatten()
+                low, n = (flat.field(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+                doc = np.repeat(np.arange(piece.num_rows), np.diff(np.asarray(piece.column("places").offsets)))
+                owner = np.repeat(np.arange(len(n)), n)
+                start = low[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+                up, down = kernel.powers(len(data) + 1)
+                at = offsets[doc[owner]] + start
+                hashes = []
+                for salt in (1, 3):
+                    total = np.zeros(len(data) + 1, np.uint64)
+                    np.cumsum((kernel.mix(data.astype(np.uint64) * np.uint64(salt) + np.uint64(salt))) * up[:-1], out=total[1:])
+                    hashes.append(kernel.mix((total[at + length] - total[at]) * down[at]).astype(np.int64))
+                keys = piece.column("key").to_numpy(zero_copy_only=False)[doc[owner]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*hashes, keys, start)], names=["a", "b", "key", "low"])
+
+    return run
+
+
 def _cut_texts(length: int, digest: bool, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
