@@ -15,8 +15,8 @@ by block against all rows.
 
 Defined cases: null and empty texts and items of fewer than `LEAST` tokens match
 nothing; repeated rows and repeated items give a row each; all tokens of a long
-text count; extra columns are ignored; an empty table on either side gives no
-rows.
+text count; a row without an id is found but never removed; extra columns are
+ignored; an empty table on either side gives no rows.
 """
 
 from __future__ import annotations

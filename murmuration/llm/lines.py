@@ -15,7 +15,9 @@ of all documents share costs no more than its rows.
 
 Defined cases: a null text has no lines and stays null; blank lines are kept and
 do not interrupt a run; repeated rows count as later ones of the same document;
-documents shorter than `run` lines keep all; other columns are carried along.
+documents shorter than `run` lines keep all, and so do rows without an id; other
+columns are carried along, but for those with the name of an output, which are
+replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -85,5 +87,5 @@ def dedup(docs: DataFrame, run: int = RUN, text: str = "text", key: str = "doc_i
     done = F.when(F.col("__runs").isNotNull(), let(_lines(value), cut)).otherwise(F.struct(value.alias("text"), F.lit(0).alias("removed")))
     lined = F.coalesce(F.size(F.filter(F.split(value, "\n"), lambda x: x.rlike(WORD))), F.lit(0))
     out = joined.withColumn("__done", done).withColumn("__lines", lined)
-    columns = [F.col("__done")["text"].alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    columns = [F.col("__done")["text"].alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed_lines", "n_runs")]
     return out.select(*columns, F.col("__lines").alias("n_lines"), F.col("__done")["removed"].alias("n_removed_lines"), F.coalesce(F.size("__runs"), F.lit(0)).alias("n_runs"))

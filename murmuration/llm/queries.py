@@ -72,4 +72,28 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_histogram_shards, op4_bpe, op5_line_dedup, op6_decontamination, op7_near_duplicates, op8_suffix_dedup, op9_license_scan, op10_ordinal_quality)}
 
-ORACLE: dict[str, str] = {}
+OP5_SQL = r"""
+WITH lines AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS x FROM documents),
+full_lines AS (SELECT doc_id, i, x, regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS y, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM lines WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+starts AS (SELECT doc_id, r, y, lead(y, 1) OVER d AS y1, lead(y, 2) OVER d AS y2 FROM full_lines WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+later AS (SELECT doc_id, r FROM (SELECT doc_id, r, row_number() OVER (PARTITION BY y, y1, y2 ORDER BY doc_id, r) AS occurrence FROM starts WHERE y2 IS NOT NULL) o WHERE occurrence > 1),
+gone AS (SELECT DISTINCT doc_id, r + k AS r FROM later, (VALUES (0), (1), (2)) AS v(k)),
+opens AS (SELECT g.doc_id, count(*) AS n FROM gone g LEFT JOIN gone p ON p.doc_id = g.doc_id AND p.r = g.r - 1 WHERE p.r IS NULL GROUP BY g.doc_id),
+counted AS (SELECT f.doc_id, count(*) AS n_lines, count(g.r) AS n_removed FROM full_lines f LEFT JOIN gone g ON g.doc_id = f.doc_id AND g.r = f.r GROUP BY f.doc_id),
+kept AS (SELECT l.doc_id, string_agg(l.x, chr(10) ORDER BY l.i) AS t FROM lines l LEFT JOIN full_lines f ON f.doc_id = l.doc_id AND f.i = l.i LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.r = f.r WHERE g.r IS NULL GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(c.n_lines, 0) AS n_lines, coalesce(c.n_removed, 0) AS n_removed_lines, coalesce(o.n, 0) AS n_runs, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM documents d LEFT JOIN counted c ON c.doc_id = d.doc_id LEFT JOIN opens o ON o.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+
+OP7_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))] END) AS s FROM words),
+one AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(s)) AS rep, s FROM sets),
+flat AS (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS h FROM one WHERE doc_id = rep),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS k FROM flat a JOIN flat b ON a.h = b.h AND a.doc_id < b.doc_id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n GROUP BY a.doc_id, b.doc_id),
+links AS MATERIALIZED (SELECT a, b FROM pairs WHERE 100 * k >= 80 * (n + m - k) UNION SELECT b, a FROM pairs WHERE 100 * k >= 80 * (n + m - k) UNION SELECT doc_id, rep FROM one WHERE len(s) > 0 AND doc_id <> rep UNION SELECT rep, doc_id FROM one WHERE len(s) > 0 AND doc_id <> rep),
+reach AS (SELECT doc_id, doc_id AS other FROM sets UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id, c.component_id = s.doc_id AS kept FROM sets s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c ON c.doc_id = s.doc_id
+"""
+
+ORACLE: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op7_near_duplicates": OP7_SQL}

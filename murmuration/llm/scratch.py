@@ -7,11 +7,15 @@ is used if Spark runs in one process, and otherwise an error says what to set.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
+
 _local: list[str] = []
 
 
@@ -23,6 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="murmuration-"))
+        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
     return f"file://{_local[0]}"
 
 
@@ -35,9 +40,15 @@ class Scratch:
         self.count = 0
 
     def save(self, df: DataFrame) -> DataFrame:
+        """The table, written and read again; Python tasks get it in batches of `BATCH_ROWS` whole texts."""
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(BATCH_SETTING)
+        self.spark.conf.set(BATCH_SETTING, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(BATCH_SETTING, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path  # type: ignore[attr-defined]
         return out

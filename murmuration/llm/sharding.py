@@ -11,12 +11,14 @@ need no second pass and no task ever sorts a whole shard.
 The law held is `bytes`: shard sizes are near equal.  A splitter keeps a group of
 equal texts whole if that costs at most `tolerance` of a shard; else it cuts it.
 
-What reaches the driver is a histogram: 4,096 bins, and 4,096 for each unresolved
-splitter, of which there are shards times sub-ranges (bytes / `range_bytes`).
+What reaches the driver is a histogram of bounded size: 4,096 bins (262,144 where
+there are over 1,024 sub-ranges; there are 65,536 at most), and then 4,096 for each
+splitter that is not settled: the shards' own, and those inside hot texts.
 
 Defined cases: a null text has no bytes and size 8, like an empty one, with the
 CRC-32 of no bytes; rows that are repeated, id included, share a key and stay
-together; an empty table gives no rows; other columns are carried along.
+together; an empty table gives no rows; other columns are carried along, but for
+those with the name of an output, which are replaced.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from murmuration.llm.scratch import Scratch
 
-KEY_BITS, ROUND_BITS, TEXT_SHIFT = 63, 12, 31
+KEY_BITS, ROUND_BITS, TEXT_SHIFT, MOST_RANGES = 63, 12, 31, 1 << 16
 
 
 def position(text: Column, key: Column) -> Column:
@@ -46,7 +48,8 @@ def splitters(keys: DataFrame, targets: list[tuple[int, int]]) -> list[tuple[int
     waiting = {i: 0 for i in range(len(targets))}
     shift = KEY_BITS
     while waiting:
-        above, shift = shift, max(0, shift - ROUND_BITS)
+        wide = shift == KEY_BITS and len(targets) > 1024
+        above, shift = shift, max(0, shift - (18 if wide else ROUND_BITS))
         if above > TEXT_SHIFT > shift:  # one round ends where texts end, so that groups can stay whole
             shift = TEXT_SHIFT
         wanted = sorted(set(waiting.values()))
@@ -100,13 +103,20 @@ def shard(docs: DataFrame, shards: int = 24, text: str = "text", key: str = "doc
     if shards < 1:
         raise ValueError("shards must be positive")
     value = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    sized = docs.select("*", (F.octet_length(value) + 8).cast("long").alias("size"), F.crc32(value.cast("binary")).alias("text_crc32"), position(value, F.col(f"`{key}`")).alias("__position"))
+    made = ("size", "text_crc32", "shard", "slot")
+    kept = [c for c in docs.columns if c not in made]
+    sized = docs.select(
+        *[F.col(f"`{c}`") for c in kept],
+        (F.octet_length(value) + 8).cast("long").alias("__size"),
+        F.crc32(value.cast("binary")).alias("__crc"),
+        position(value, F.col(f"`{key}`")).alias("__position"),
+    )
     scratch = Scratch(docs.sparkSession)
-    keys = scratch.save(sized.select(F.col("__position").alias("position"), "size"))
+    keys = scratch.save(sized.select(F.col("__position").alias("position"), F.col("__size").alias("size")))
     total, n_rows = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
-    ranges = max(4, -(-total // (shards * range_bytes)))
+    ranges = max(4, min(-(-total // (shards * range_bytes)), MOST_RANGES // shards))
     if n_rows == 0:
-        return sized.select("*", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot")).drop("__position")
+        return sized.select(*[F.col(f"`{c}`") for c in kept], F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     parts = shards * ranges
     fair = total / shards
     targets = [(round(total * i / parts), int(fair * tolerance) if i % ranges == 0 else int(fair / ranges * 0.25)) for i in range(1, parts)]
@@ -127,9 +137,9 @@ def shard(docs: DataFrame, shards: int = 24, text: str = "text", key: str = "doc
     dealt = sized.withColumn("__range", _below(boundaries, F.col("__position")))
     order = Window.partitionBy("__range").orderBy("__position", F.col(f"`{key}`"))
     return dealt.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        "size",
-        "text_crc32",
+        *[F.col(f"`{c}`") for c in kept],
+        F.col("__size").alias("size"),
+        F.col("__crc").alias("text_crc32"),
         F.floor(F.col("__range") / ranges).cast("int").alias("shard"),
         (F.row_number().over(order) - 1 + F.get(F.lit(bases).cast("array<bigint>"), F.col("__range"))).cast("long").alias("slot"),
     )

@@ -8,7 +8,7 @@ To sort suffixes in shards that know nothing of each other, each string is given
 to its anchor: the least hash among its `GRAM`-byte grams.  Equal strings have
 equal anchors at equal offsets.  The strings of one anchor occurrence start next
 to each other; together they are a piece of text.  Anchors that occur once are
-dropped.  Equal pieces of an anchor are named once, as equal substrings are in
+dropped by a bit table of fixed size.  Equal pieces of an anchor are named once, as equal substrings are in
 induced sorting: all but the earliest are repeats as a whole.  Where an anchor has
 several different pieces, the earliest of each go to a suffix sort:
 
@@ -27,7 +27,7 @@ are told apart one by one: their 128-bit hashes are grouped with partial minima.
 
 Defined cases: null and empty texts and texts shorter than `length` keep all;
 repeated rows are copies of each other, and the one met as smallest is kept whole;
-very long texts are cut at no place; extra columns are carried; an empty table
+rows without an id keep all; very long texts are cut at no place; extra columns are carried; an empty table
 gives no rows.
 """
 
@@ -51,6 +51,8 @@ LENGTH, GRAM = 100, 32
 SHARD_BYTES, MEMORY = 2 << 20, 32 << 20
 #: Entries (about 24 bytes each) up to which a table goes to all tasks; beyond, a shuffle join is used.
 BROADCAST_ROWS, GROUP = 2_000_000, 50_000
+#: Bits of the filter of anchors that occur again: 32 MB at most, whatever the input.
+FILTER_BITS = 28
 
 
 class Queue:
@@ -296,18 +298,34 @@ def _anchor_hashes(length: int, gram: int):
     return run
 
 
-def _places(length: int, gram: int, known: np.ndarray | None):
+def _filter(hashes: DataFrame) -> np.ndarray:
+    """A bit table of hashes, `FILTER_BITS` bits at most: what is not in it does not occur again.
+
+    Bits are merged in the tasks; the driver gets a table of a fixed size, never the
+    hashes.  With more hashes than bits it lets more pass, which costs time only.
+    """
+    bits = max(12, min(FILTER_BITS, (16 * hashes.count()).bit_length()))
+    slot = F.shiftrightunsigned("h", 64 - bits)
+    words = hashes.select(slot.alias("slot")).selectExpr("slot >> 6 AS w", "shiftleft(1L, int(slot & 63)) AS b")
+    merged = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    table[merged.column("w").to_numpy()] = merged.column("b").to_numpy().view(np.uint64)
+    return table
+
+
+def _passes(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    slot = h >> np.uint64(64 - 6 - int(len(table)).bit_length() + 1)
+    return (table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
+
+
+def _places(length: int, gram: int, known: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in kernel.slices(batch, "text"):
                 data, offsets = kernel.buffers(piece.column("text"))
                 h, doc, low, high, p = anchors(data, offsets, length, gram)
-                if known is not None and len(known):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    keep = known[at] == h
-                    h, doc, low, high, p = h[keep], doc[keep], low[keep], high[keep], p[keep]
-                elif known is not None:
-                    continue
+                keep = _passes(known, h)
+                h, doc, low, high, p = h[keep], doc[keep], low[keep], high[keep], p[keep]
                 keys = piece.column("key").to_numpy(zero_copy_only=False)[doc]
                 columns = [h.astype(np.int64), p.astype(np.int64), keys.astype(np.int64), low - offsets[doc], high - low + 1]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["h", "p", "key", "low", "n"])
@@ -368,18 +386,12 @@ def repeated_runs(firsts: DataFrame, scratch: Scratch, length: int, gram: int) -
     """(key, runs): per document the intervals [first, last] of strings that start earlier too; firsts: rows (key, text), no text twice."""
     once = firsts.mapInArrow(_anchor_hashes(length, gram), "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
     again = scratch.save(once)
-    if again.count() <= 4 * BROADCAST_ROWS:
-        table = again.toArrow().column("h").to_numpy().astype(np.uint64)
-        table.sort()
-        context = firsts.sparkSession.sparkContext
-        shared = context.broadcast(table)
-
-        def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            return _places(length, gram, shared.value)(batches)
-
-        found = firsts.mapInArrow(places, "h long, p long, key long, low long, n long")
-    else:
-        found = firsts.mapInArrow(_places(length, gram, None), "h long, p long, key long, low long, n long").join(again, "h", "left_semi")
+    shared = firsts.sparkSession.sparkContext.broadcast(_filter(again))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _places(length, gram, shared.value)(batches)
+
+    found = firsts.mapInArrow(places, "h long, p long, key long, low long, n long")
     places_ = scratch.save(found)
     scratch.drop(again)
     place = F.struct("key", "low")
@@ -477,7 +489,7 @@ def dedup(docs: DataFrame, columns: list[str], length: int = LENGTH, gram: int =
     copies = scratch.save(prints.join(least, ["a", "b", "size"]).where("key > first").select("key").distinct())
     n_copies = copies.count()
     scratch.drop(prints)
-    firsts = source.where(F.octet_length("text") >= length).join(_sized(copies, n_copies), "key", "left_anti")
+    firsts = source.where(F.col("key").isNotNull() & (F.octet_length("text") >= length)).join(_sized(copies, n_copies), "key", "left_anti")
     runs = repeated_runs(firsts, scratch, length, gram)
     n_runs = runs.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0]
     picked = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{key}`").cast("long").alias("__key"), value.alias("__text"))

@@ -7,6 +7,8 @@ executor can be lost at any time.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections import deque
@@ -28,6 +30,7 @@ def saved(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _local:
             _local.append("file://" + tempfile.mkdtemp(prefix="murmuration-graph-"))
+            atexit.register(shutil.rmtree, _local[0].removeprefix("file://"), ignore_errors=True)
         place = _local[0]
     path = f"{place.rstrip('/')}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
