@@ -7,8 +7,8 @@ were taken.  The share of the template's words that are aligned is its coverage.
 
 Only stretches that hold enough of a template's distinct words are aligned, a
 bound that no stretch with the wanted coverage can miss.  Stretches are twice the
-template long and start every half template, so copies in one text are told
-apart.  Documents are not shuffled; the templates are a fixed list.
+template long and start every half template, up to the last that can hold a copy,
+so copies in one text are told apart.  Documents are not shuffled; the templates are a fixed list.
 
 Defined cases: null and empty texts have no license; repeated rows get a row each
 and repeated licenses count in `n_places`; all words of a long text are scanned;
@@ -130,7 +130,7 @@ def _places(template: list[int], tokens: np.ndarray, needed: int, coverage: floa
     size, step = 2 * len(template), max(1, len(template) // 2)
     hits = np.isin(tokens, np.array(template, np.uint64))
     below = np.r_[0, np.cumsum(hits)]
-    starts = np.arange(0, max(1, len(tokens) - size + step), step)
+    starts = np.arange(0, max(1, len(tokens) - int(np.ceil(coverage * len(template))) + 1), step)
     dense = starts[below[np.minimum(starts + size, len(tokens))] - below[starts] >= needed]
     found = []
     for s in dense.tolist():
