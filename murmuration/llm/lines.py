@@ -7,7 +7,9 @@ occur at one place only are dropped; at the others the match is extended both
 ways, to the lines before and after, which gives the whole window.  A window that
 occurs at an earlier place (smaller id, or same document and earlier line) marks
 its lines, and overlapping windows join to runs.  So every run of `run` or more
-lines that appeared before is deleted, and its first appearance stays.
+lines that appeared before is deleted, and its first appearance stays.  With `words`
+there are also windows of fewer lines, down to one, whose lines hold more than so many
+words together, and such passages go likewise.
 
 No pair of occurrences is ever made: each window is compared with the earliest
 place of its kind, found by a pre-aggregated minimum, so a passage that a third
@@ -15,7 +17,8 @@ of all documents share costs no more than its rows.
 
 Defined cases: a null text has no lines and stays null; blank lines are kept and
 do not interrupt a run; repeated rows count as later ones of the same document;
-documents shorter than `run` lines keep all, and so do rows without an id; other
+documents shorter than `run` lines keep all unless `words` is given, and rows without
+an id keep all; other
 columns are carried along, but for those with the name of an output, which are
 replaced; an empty table gives no rows.
 """
@@ -29,53 +32,74 @@ from murmuration.llm.rules import WORD, let
 from murmuration.llm.scratch import Scratch
 
 RUN = 3
+#: Fewer lines than a run go too if they hold more words than this.
+WORDS = 50
 
 
 def _lines(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
 
 
-def windows(docs: DataFrame, run: int, text: str, key: str) -> DataFrame:
-    """(key, at, first, last, least, content): each window of lines, its least hash, and what stands before and after."""
-    hashed = F.transform(F.filter(_lines(F.col(f"`{text}`").cast("string")), lambda s: s["x"].rlike(WORD)), lambda s: F.struct(s["i"].alias("i"), F.xxhash64(F.regexp_replace(s["x"], r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")).alias("h")))
+def windows(docs: DataFrame, run: int, text: str, key: str, words: int | None = None) -> DataFrame:
+    """(key, at, size, first, last, least, content): each window of lines, its least hash, and what stands before and after."""
+
+    def line(s: Column) -> Column:
+        plain = F.xxhash64(F.regexp_replace(s["x"], r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")).alias("h")
+        return F.struct(s["i"].alias("i"), plain, *([] if words is None else [F.regexp_count(s["x"], F.lit(f"{WORD}+")).alias("w")]))
+
+    hashed = F.transform(F.filter(_lines(F.col(f"`{text}`").cast("string")), lambda s: s["x"].rlike(WORD)), line)
 
     def cut(s: Column) -> Column:
-        def one(i: Column) -> Column:
-            part = F.slice(s, i, run)
-            return F.struct(
-                i.alias("at"),
-                F.get(part, F.lit(0))["i"].alias("first"),
-                F.get(part, F.lit(run - 1))["i"].alias("last"),
-                F.array_min(F.transform(part, lambda y: y["h"])).alias("least"),
-                F.xxhash64(F.transform(part, lambda y: y["h"])).alias("content"),
-            )
-
-        return F.when(F.size(s) >= run, F.transform(F.sequence(F.lit(1), F.greatest(F.size(s) - run + 1, F.lit(1))), one))
+        def of(size: int) -> Column:
+            def one(i: Column) -> Column:
+                part = F.slice(s, i, size)
+                return F.struct(
+                    i.alias("at"),
+                    F.lit(size).alias("size"),
+                    F.get(part, F.lit(0))["i"].alias("first"),
+                    F.get(part, F.lit(size - 1))["i"].alias("last"),
+                    F.array_min(F.transform(part, lambda y: y["h"])).alias("least"),
+                    F.xxhash64(F.transform(part, lambda y: y["h"])).alias("content"),
+                )
+
+            starts = F.sequence(F.lit(1), F.greatest(F.size(s) - size + 1, F.lit(1)))
+            if size < run:
+                starts = F.filter(starts, lambda i: sum((F.get(s, i + j - 1)["w"] for j in range(size)), F.lit(0)) > words)
+            return F.when(F.size(s) >= size, F.transform(starts, one))
+
+        sizes = [run] if words is None else range(1, run + 1)
+        found = [of(size) for size in sizes]
+        return found[0] if len(found) == 1 else F.flatten(F.filter(F.array(*found), lambda x: x.isNotNull()))
 
     return docs.select(F.col(f"`{key}`").alias("key"), F.explode(let(hashed, cut)).alias("w")).select("key", "w.*")
 
 
-def repeated_runs(docs: DataFrame, run: int = RUN, text: str = "text", key: str = "doc_id") -> DataFrame:
+def repeated_runs(docs: DataFrame, run: int = RUN, text: str = "text", key: str = "doc_id", words: int | None = None) -> DataFrame:
     """(key, runs): for each document with later repeats, the line intervals to delete."""
     scratch = Scratch(docs.sparkSession)
-    seen = scratch.save(windows(docs, run, text, key))
+    seen = scratch.save(windows(docs, run, text, key, words))
     # a selected line is at one place if all windows that chose it overlap in one document
-    places = seen.groupBy("least").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.min("at").alias("c"), F.max("at").alias("d"), F.count(F.lit(1)).alias("n"))
-    shared = places.where((F.col("a") != F.col("b")) | (F.col("d") - F.col("c") >= 1) | (F.col("n") > 1)).select("least")
-    matched = seen.join(shared, "least", "left_semi")
+    places = seen.groupBy("size", "least").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.min("at").alias("c"), F.max("at").alias("d"), F.count(F.lit(1)).alias("n"))
+    shared = places.where((F.col("a") != F.col("b")) | (F.col("d") - F.col("c") >= 1) | (F.col("n") > 1)).select("size", "least")
+    matched = seen.join(shared, ["size", "least"], "left_semi")
     place = F.struct("key", "at")
-    earliest = matched.groupBy("least", "content").agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = matched.join(earliest, ["least", "content"]).where(place > F.col("origin"))
-    marks = later.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("at", "first", "last"))).alias("m"))
-    m = F.col("m")
-    opens = F.filter(m, lambda x, i: (i == 0) | F.coalesce(x["at"] - F.get(m, i - 1)["at"] > run, F.lit(True)))
-    ends = F.filter(m, lambda x, i: F.coalesce(F.get(m, i + 1)["at"] - x["at"] > run, F.lit(True)))
+    earliest = matched.groupBy("size", "least", "content").agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = matched.join(earliest, ["size", "least", "content"]).where(place > F.col("origin"))
+    widest = later.groupBy("key", "at").agg(F.max(F.struct("size", "first", "last")).alias("w")).select("key", "at", "w.*")
+    marks = widest.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "size", "first", "last"))).alias("m"))
+    # places differ, so no window that starts `run` marks earlier reaches further than this one
+    before = lambda i: [F.get(F.col("m"), i - j) for j in range(run)]
+    reach = F.transform("m", lambda x, i: F.struct(x["at"].alias("at"), x["first"].alias("first"), F.greatest(x["last"], *[y["last"] for y in before(i)]).alias("last"), F.greatest(x["at"] + x["size"], *[y["at"] + y["size"] for y in before(i)]).alias("next")))
+    marks = marks.select("key", reach.alias("r"))
+    r = F.col("r")
+    opens = F.filter(r, lambda x, i: F.coalesce(x["at"] > F.get(r, i - 1)["next"], F.lit(True)))
+    ends = F.filter(r, lambda x, i: F.coalesce(F.get(r, i + 1)["at"] > x["next"], F.lit(True)))
     return marks.select("key", F.zip_with(opens, ends, lambda a, b: F.struct(a["first"].alias("first"), b["last"].alias("last"))).alias("runs"))
 
 
-def dedup(docs: DataFrame, run: int = RUN, text: str = "text", key: str = "doc_id") -> DataFrame:
+def dedup(docs: DataFrame, run: int = RUN, text: str = "text", key: str = "doc_id", words: int | None = None) -> DataFrame:
     """All columns, the text without later repeated runs; then n_lines, n_removed_lines and n_runs."""
-    runs = repeated_runs(docs, run, text, key).withColumnRenamed("key", "__key").withColumnRenamed("runs", "__runs")
+    runs = repeated_runs(docs, run, text, key, words).withColumnRenamed("key", "__key").withColumnRenamed("runs", "__runs")
     joined = docs.join(runs, F.col(f"`{key}`") == F.col("__key"), "left")
     value = F.col(f"`{text}`").cast("string")
 

@@ -65,12 +65,19 @@ def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+def _cut_lines(cut: DataFrame) -> DataFrame:
     return cut.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed_lines").cast("long").alias("n_removed_lines"), F.col("n_runs").cast("long").alias("n_runs"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_histogram_shards, op4_bpe, op5_line_dedup, op6_decontamination, op7_near_duplicates, op8_suffix_dedup, op9_license_scan, op10_ordinal_quality)}
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cut_lines(lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op5_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cut_lines(lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), words=lines.WORDS))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_histogram_shards, op4_bpe, op5_line_dedup, op5_passage_dedup, op6_decontamination, op7_near_duplicates, op8_suffix_dedup, op9_license_scan, op10_ordinal_quality)}
 
 OP5_SQL = r"""
 WITH lines AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS x FROM documents),

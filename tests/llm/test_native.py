@@ -8,6 +8,7 @@ from collections import Counter
 
 import pytest
 
+import corpus_pipeline
 from murmuration.llm import lines, queries, rules, sharding
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -113,3 +114,43 @@ def test_line_dedup_of_odd_tables(awkward, nothing, crowded):
     cut = lines.dedup(crowded)
     assert cut.count() == crowded.count() and len(set(cut.columns)) == len(cut.columns)
     assert cut.where("doc_id is null").first().n_removed_lines == 0
+
+
+def brute_passages(rows, run, words):
+    """As brute_lines, with windows of fewer lines that hold more than so many words."""
+    strip = " \t\n\x0b\x0c\r"
+    seen, out = set(), {}
+    for key, text in sorted(rows):
+        raw = (text or "").split("\n")
+        filled = [i for i, x in enumerate(raw) if WORD.search(x)]
+        gone = set()
+        for k in range(len(filled)):
+            for part in (filled[k : k + n] for n in range(1, run + 1) if k + n <= len(filled)):
+                gram = tuple(raw[i].strip(strip) for i in part)
+                if len(part) == run or sum(len(WORD.findall(raw[i])) for i in part) > words:
+                    gone |= set(part) if gram in seen else set()
+                    seen.add(gram)
+        runs = sum(a in gone and (not n or filled[n - 1] not in gone) for n, a in enumerate(filled))
+        out[key] = (None if text is None else "\n".join(x for i, x in enumerate(raw) if i not in gone), len(filled), len(gone), runs)
+    return out
+
+
+def check_passages(docs, run, words):
+    want = brute_passages([(r.doc_id, r.text) for r in docs.collect()], run, words)
+    found = {r.doc_id: (r.text, r.n_lines, r.n_removed_lines, r.n_runs) for r in lines.dedup(docs.select("doc_id", "text"), run, words=words).collect()}
+    assert found == want
+
+
+@pytest.mark.parametrize("run, words", [(3, 50), (4, 7)])
+def test_passages_of_few_lines(spark, data, awkward, run, words):
+    for docs in (queries.table(spark, data, "documents"), awkward.dropDuplicates(["doc_id"]).where("doc_id is not null")):
+        check_passages(docs, run, words)
+
+
+def test_a_long_line_and_a_long_pair_go_from_short_documents(spark):
+    line = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(1, line("a", 51)), (2, line("a", 51)), (3, line("b", 50)), (4, line("b", 50)), (5, line("c", 30) + "\n" + line("d", 21)), (6, "own\n" + line("c", 30) + "\n\n" + line("d", 21) + "\nend")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check_passages(docs, 3, 50)
+    kept = {r.doc_id: r.text for r in corpus_pipeline.cut_repeated_lines(spark, docs.selectExpr("*", "'en' lang", "'s' source", "0L n_chars"), "").collect()}
+    assert kept == {1: rows[0][1], 3: rows[2][1], 4: rows[3][1], 5: rows[4][1], 6: "own\n\nend"}
