@@ -60,6 +60,12 @@ def collapse_repeats(spark: SparkSession, d: str) -> DataFrame:
     return plain.select("doc_id", F.sha2(X.collapse_repeats(F.col("t")), 256).alias("collapsed_sha256"))
 
 
+@query()
+def collapse_repeats_all(spark: SparkSession, d: str) -> DataFrame:
+    """`collapse_repeats` for every document: DuckDB has no back-references, so its SQL cannot follow."""
+    return _dirty(spark, d).select("doc_id", F.sha2(X.collapse_repeats(F.col("t")), 256).alias("collapsed_sha256"))
+
+
 LEET_FROM, LEET_TO = "".join(X.LEET), "".join(X.LEET.values())
 LEET_WORD = f"translate(lower(w), '{LEET_FROM}', '{LEET_TO}')"
 LEET_OK = f"""(regexp_full_match({LEET_WORD}, '[a-z]{{4,}}') AND regexp_matches({LEET_WORD}, '[aeiouy]') AND len(regexp_replace(lower(w), '[a-z]', '', 'g')) >= 1

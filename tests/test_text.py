@@ -1,10 +1,16 @@
 from __future__ import annotations
 
+import hashlib
+import itertools
+import re
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
 from murmuration.functions import text as X
 from murmuration.operators import similarity
+from murmuration.plans import text as plans
 
 
 def one(spark, column, *values):
@@ -96,3 +102,22 @@ def test_emoji_and_hashtags(spark):
     row = spark.createDataFrame([("go 🔥!", "#stopthewar #BigNews #a_b #ünï"), (None, None)], "e string, h string").select(L.demojize("e").alias("e"), L.split_hashtags(F.col("h"), ["stop", "the", "war"]).alias("h")).collect()
     assert row[0].e.text == "go  fire !" and row[0].e.emoji == ["🔥"] and row[0].h == "stop the war big news a b ünï"
     assert row[1].h is None
+
+
+def stored(spark, folder, texts):
+    """The folder, with the texts as `documents`; ids of each remainder by 4 appear."""
+    spark.createDataFrame(list(enumerate(texts, 100)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def dirty(i, t):
+    return [f"RT @user{i}: {t}", f"see https://ex.org/{i} &amp; {t}", f"{t} @name_{i} sooooo", f"{t} v3ry b4dword www.ex.net"][i % 4]
+
+
+ODD = ["plain words", "ÀÀÀ éééé AAAA 11112222 ____", "aaa\nbbbb", "漢漢漢漢", "rаcist words of one text", "they k i l l it", "zero​width​here", "v1le\nw0rds", "", "привет мир", "k.i.l.l s0me соrрse fiiiine", "a­b⁠c​d‎e‏f⁡g"]
+
+
+def test_collapse_repeats_of_all_documents(spark, tmp_path):
+    made = plans.collapse_repeats_all(spark, stored(spark, tmp_path / "t", ODD))
+    brute = lambda t: re.sub(r"(\w)\1{2,}", r"\1\1", t)
+    assert {r.doc_id: r.collapsed_sha256 for r in made.collect()} == {i: hashlib.sha256(brute(dirty(i, t)).encode()).hexdigest() for i, t in enumerate(ODD, 100)}
