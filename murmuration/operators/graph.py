@@ -11,10 +11,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections import deque
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,60 +127,41 @@ def top_subgraph(edges: DataFrame, rank: DataFrame, most: int) -> DataFrame:
     return edges.join(top.withColumnRenamed("id", "src"), "src", "left_semi").join(top.withColumnRenamed("id", "dst"), "dst", "left_semi").select(edges.columns)
 
 
-def betweenness(edges: DataFrame, sources: int = 200, most_edges: int = 2_000_000) -> DataFrame:
+def betweenness(edges: DataFrame, sources: int = 200) -> DataFrame:
     """(id, betweenness): unweighted shortest-path counts from a fixed number of sampled sources.
 
-    Sources are spread over tasks; each walks an adjacency table that is shipped to
-    all of them.  Its size is checked first: cut the graph (`top_subgraph`) before
-    the call if it has more than `most_edges` edges.
+    All sources walk at once: a level is a table of (source, id, depth, paths), grown
+    by joining the one before it with the edges; dependencies go back the same way.
+    Each level is saved, so the work is joins and sums over `sources` rows a vertex.
     """
-    spark = edges.sparkSession
-    plain = edges.select("src", "dst").distinct()
-    if plain.count() > most_edges:
-        raise ValueError("the graph is too large for sampled betweenness; take a top subgraph first")
-    table = plain.toPandas()
-    ids = sorted(set(table["src"]) | set(table["dst"]))
-    place = {v: i for i, v in enumerate(ids)}
-    near: list[list[int]] = [[] for _ in ids]
-    for s, t in zip(table["src"].map(place), table["dst"].map(place), strict=True):
-        near[s].append(t)
-    n = len(ids)
+    plain = saved(edges.select("src", "dst").distinct())
+    ids = saved(vertices(plain))
+    n = ids.count()
     if n <= 2:
-        return spark.createDataFrame([(int(v), 0.0) for v in ids], "id long, betweenness double")
-    shared = spark.sparkContext.broadcast((ids, near))
-    chosen = vertices(edges).orderBy(F.xxhash64("id"), "id").limit(sources).repartition(min(sources, 64))
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, out = shared.value
-        total = [0.0] * len(names)
-        where = {v: i for i, v in enumerate(names)}
-        for batch in batches:
-            for source in batch["id"]:
-                s = where[source]
-                order, before, paths, depth = [], [[] for _ in names], [0.0] * len(names), [-1] * len(names)
-                paths[s], depth[s] = 1.0, 0
-                todo = deque([s])
-                while todo:
-                    v = todo.popleft()
-                    order.append(v)
-                    for w in out[v]:
-                        if depth[w] < 0:
-                            depth[w] = depth[v] + 1
-                            todo.append(w)
-                        if depth[w] == depth[v] + 1:
-                            paths[w] += paths[v]
-                            before[w].append(v)
-                share = [0.0] * len(names)
-                for w in reversed(order):
-                    for v in before[w]:
-                        share[v] += paths[v] / paths[w] * (1 + share[w])
-                    if w != s:
-                        total[w] += share[w]
-        yield pd.DataFrame({"id": names, "part": total})
-
-    parts = chosen.mapInPandas(walk, "id long, part double").groupBy("id").agg(F.sum("part").alias("part"))
+        return ids.select("id", F.lit(0.0).alias("betweenness"))
+    chosen = ids.orderBy(F.xxhash64("id"), "id").limit(sources)
+    levels = [saved(chosen.select(F.col("id").alias("source"), "id", F.lit(0).alias("depth"), F.lit(1.0).alias("paths")))]
+    seen = levels[0].select("source", "id")
+    while True:
+        ahead = levels[-1].join(plain, F.col("id") == F.col("src")).groupBy("source", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
+        level = saved(ahead.join(seen, ["source", "id"], "left_anti").select("source", "id", F.lit(len(levels)).alias("depth"), "paths"))
+        if not level.limit(1).count():
+            break
+        levels.append(level)
+        seen = seen.union(level.select("source", "id"))
+    parts = []
+    below = levels[-1].select("source", "id", "paths", F.lit(0.0).alias("part"))
+    for level in reversed(levels[:-1]):
+        parts.append(below.select("id", "part"))
+        back = below.select("source", F.col("id").alias("dst"), ((1 + F.col("part")) / F.col("paths")).alias("given"))
+        got = back.join(plain, "dst").groupBy("source", F.col("src").alias("id")).agg(F.sum("given").alias("given"))
+        found = level.join(got, ["source", "id"], "left")
+        below = saved(found.select("source", "id", "paths", (F.col("paths") * F.coalesce("given", F.lit(0.0))).alias("part")))
     scale = n / min(sources, n) / ((n - 1) * (n - 2))
-    return parts.select("id", (F.col("part") * scale).alias("betweenness"))
+    total = ids.select("id", F.lit(0.0).alias("part"))
+    for part in parts:
+        total = total.union(part)
+    return total.groupBy("id").agg((F.sum("part") * scale).alias("betweenness"))
 
 
 def thread_depth(posts: DataFrame, key: str, parent: str, most: int = 50) -> DataFrame:

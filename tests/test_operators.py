@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -173,3 +174,39 @@ def test_forest(spark):
     rows = spark.createDataFrame([(str(i), i % 2, float(i % 2 * 5 + i % 3)) for i in range(200)], "id string, label int, f double")
     model, area = learning.train_accounts(rows, ["f"], trees=5)
     assert area == 1.0 and learning.score_accounts(model, rows).where("label = 1").agg(F.min("bot_probability")).first()[0] > 0.5
+
+
+def brute_betweenness(rows):
+    """With every vertex as a source."""
+    near, ids = {}, sorted({v for a, b, _ in rows for v in (a, b)})
+    for a, b, _ in rows:
+        near.setdefault(a, set()).add(b)
+    total = dict.fromkeys(ids, 0.0)
+    for s in ids:
+        depth, paths, order = {s: 0}, {s: 1}, [s]
+        for v in order:
+            for w in near.get(v, ()):
+                if w not in depth:
+                    depth[w], paths[w] = depth[v] + 1, 0
+                    order.append(w)
+                paths[w] += paths[v] if depth[w] == depth[v] + 1 else 0
+        share = dict.fromkeys(order, 0.0)
+        for w in reversed(order):
+            for v in order:
+                if w in near.get(v, ()) and depth[w] == depth[v] + 1:
+                    share[v] += paths[v] / paths[w] * (1 + share[w])
+            total[w] += share[w] if w != s else 0
+    return {v: x / ((len(ids) - 1) * (len(ids) - 2)) for v, x in total.items()}
+
+
+def test_betweenness_stays_in_tables(spark, monkeypatch):
+    r = random.Random(4)
+    rows = [(r.randrange(25), r.randrange(25), 1) for _ in range(60)] + [(100 + i, 101 + i, 1) for i in range(6)]
+    made = edges(spark, rows)
+
+    def no_copy(self):
+        raise AssertionError("the edges went through the driver")
+
+    monkeypatch.setattr(type(made), "toPandas", no_copy)
+    found = {r.id: r.betweenness for r in graph.betweenness(made).collect()}
+    assert found == pytest.approx(brute_betweenness(rows))
