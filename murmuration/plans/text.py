@@ -86,6 +86,12 @@ def obfuscation_score(spark: SparkSession, d: str) -> DataFrame:
     return _dirty(spark, d).select("doc_id", X.obfuscation_score(F.size(F.split(t, " ")), X.leet_count(t), none, none, none, none).alias("score"))
 
 
+@query()
+def obfuscation_score_all(spark: SparkSession, d: str) -> DataFrame:
+    """The score of all five signals, each counted on the text that the repair before it leaves."""
+    return X.obfuscation(_dirty(spark, d), "t").select("doc_id", "score")
+
+
 LETTERS = "len(regexp_replace(text, '[^\\pL]', '', 'g'))"
 LATIN = "len(regexp_replace(regexp_replace(text, '[^\\pL]', '', 'g'), '[^A-Za-zªµºÀ-ÖØ-öø-ɏ]', '', 'g'))"
 

@@ -121,3 +121,33 @@ def test_collapse_repeats_of_all_documents(spark, tmp_path):
     made = plans.collapse_repeats_all(spark, stored(spark, tmp_path / "t", ODD))
     brute = lambda t: re.sub(r"(\w)\1{2,}", r"\1\1", t)
     assert {r.doc_id: r.collapsed_sha256 for r in made.collect()} == {i: hashlib.sha256(brute(dirty(i, t)).encode()).hexdigest() for i, t in enumerate(ODD, 100)}
+
+
+def brute_score(t):
+    x = "".join(c for c in t if c not in X.ZERO_WIDTH)
+    zero = len(t) - len(x)
+    words, odd = [], 0
+    for w in re.split(r"\s", unicodedata.normalize("NFKC", x)):
+        latin, like = sum(c.isascii() and c.isalpha() for c in w), sum(c in X.CONFUSABLE for c in w)
+        fits = latin and like and latin + like == len(w) and like <= max(1, len(w) // 2)
+        odd += bool(fits)
+        words.append("".join(X.CONFUSABLE.get(c, c) for c in w) if fits else w)
+    spaced = re.compile(r"(?<!\w)(?:[^\W\d_][\s.\-_*]){2,}[^\W\d_](?!\w)")
+    x = " ".join(words)
+    n_spaced = len(spaced.findall(x))
+    words, leet = [], 0
+    for w in spaced.sub(lambda m: re.sub(r"[\s.\-_*]", "", m[0]), x).split(" "):
+        low = w.lower()
+        plain, signs = "".join(X.LEET.get(c, c) for c in low), len(re.sub("[a-z]", "", low))
+        ok = re.fullmatch("[a-z]{4,}", plain) and re.search("[aeiouy]", plain) and 1 <= signs <= len(low) / 2 and not re.fullmatch("[a-z]+[0-9]+|[0-9]+[a-z]+", low)
+        leet += bool(ok)
+        words.append(plain if ok else w)
+    x = " ".join(words)
+    repeats = len(re.findall(r"(\w)\1{2,}", x))
+    return min(1.0, (leet + 1.5 * odd + n_spaced + 0.6 * min(zero, 5) + 0.3 * repeats) / (max(1, len(x.split())) ** 0.5 + 1))
+
+
+def test_obfuscation_score_counts_five_signals(spark, tmp_path):
+    texts = [f"{t} {'word ' * n}" for t in ODD for n in (0, 30, 31, 32)]
+    made = {r.doc_id: r.score for r in plans.obfuscation_score_all(spark, stored(spark, tmp_path / "t", texts)).collect()}
+    assert made == pytest.approx({i: brute_score(dirty(i, t)) for i, t in enumerate(texts, 100)}, abs=6e-5)
