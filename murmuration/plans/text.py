@@ -187,3 +187,11 @@ def fuzzy_lexicon_join(spark: SparkSession, d: str) -> DataFrame:
     words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word")).where(F.col("word").rlike("^[a-z]+$"))
     lexicon = F.broadcast(spark.createDataFrame([(t,) for t in TERMS], "term string"))  # eight rows
     return similarity.fuzzy_hits(words, lexicon, transpositions=False).select("word", "term", "distance")
+
+
+@query()
+def fuzzy_lexicon_join_all(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest terms of words of all letters, with swapped neighbours as one edit."""
+    words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word"))
+    lexicon = F.broadcast(spark.createDataFrame([(t,) for t in TERMS], "term string"))  # eight rows
+    return similarity.fuzzy_hits(words, lexicon).select("word", "term", "distance")

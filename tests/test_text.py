@@ -151,3 +151,23 @@ def test_obfuscation_score_counts_five_signals(spark, tmp_path):
     texts = [f"{t} {'word ' * n}" for t in ODD for n in (0, 30, 31, 32)]
     made = {r.doc_id: r.score for r in plans.obfuscation_score_all(spark, stored(spark, tmp_path / "t", texts)).collect()}
     assert made == pytest.approx({i: brute_score(dirty(i, t)) for i, t in enumerate(texts, 100)}, abs=6e-5)
+
+
+def brute_edits(a, b):
+    d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i * j}
+    for i, j in itertools.product(range(1, len(a) + 1), range(1, len(b) + 1)):
+        d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+        if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+            d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+def test_fuzzy_join_takes_all_letters_and_swaps(spark, tmp_path):
+    words = "réation raetion reatoin erationn Ertiönen ertionenß thanér htaner stntrе stnter reation ouenth ouénht edwhrén ingthandïs idiótt idoitt äouenth other réatión"
+    hits = {}
+    for w in {w.lower() for w in words.split()} - set(plans.TERMS):
+        near = [(brute_edits(w, t), t) for t in plans.TERMS if t[0] in w[:2] and brute_edits(w, t) <= (1 if len(w) < 8 else 2)]
+        if len(w) >= 5 and near:
+            hits[w] = min(near)
+    made = plans.fuzzy_lexicon_join_all(spark, stored(spark, tmp_path / "t", [words, words]))
+    assert {r.word: (r.distance, r.term) for r in made.collect()} == hits and {"réation", "raetion", "ertiönen"} <= set(hits)
