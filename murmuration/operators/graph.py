@@ -164,17 +164,22 @@ def betweenness(edges: DataFrame, sources: int = 200) -> DataFrame:
     return total.groupBy("id").agg((F.sum("part") * scale).alias("betweenness"))
 
 
-def thread_depth(posts: DataFrame, key: str, parent: str, most: int = 50) -> DataFrame:
-    """(key, root, depth): how far a post is below its thread's first known post, at most `most`.
+def thread_depth(posts: DataFrame, key: str, parent: str, most: int | None = 50) -> DataFrame:
+    """(key, root, depth): how far a post is below its thread's first known post; `most` only clips the depth.
 
-    Jumps double in length, so a thread of depth d takes log2(d) steps.
+    Jumps double in length until no post moves, so a thread of depth d takes log2(d)
+    steps.  Jumps as long as the table are enough for any thread without a circle.
     """
     known = posts.select(F.col(key).alias("k"), F.col(parent).alias("p"))
     known = known.join(known.select(F.col("k").alias("p"), F.lit(1).alias("there")), "p", "left").select("k", F.when(F.col("there").isNotNull(), F.col("p")).alias("up"))
-    state = saved(known.select("k", F.coalesce("up", "k").alias("up"), F.when(F.col("up").isNotNull(), 1).otherwise(0).alias("depth")))
-    reach = 1
-    while reach < most:
+    state = saved(known.select("k", F.coalesce("up", "k").alias("up"), F.when(F.col("up").isNotNull(), 1).otherwise(0).cast("long").alias("depth")))
+    reach, rows, moving = 1, state.count(), True
+    while moving and reach < rows:
         above = state.select(F.col("k").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"))
-        state = saved(state.join(above, "up").select("k", F.col("up2").alias("up"), F.least(F.lit(most), F.col("depth") + F.col("d2")).alias("depth")))
+        moved = state.join(above, "up").select("k", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("up2") != F.col("up")).alias("moved"))
+        fresh = saved(moved)
+        moving = bool(fresh.where("moved").limit(1).count())
+        state = fresh.select("k", "up", "depth")
         reach *= 2
-    return state.select(F.col("k").alias(key), F.col("up").alias("root"), "depth")
+    depth = F.col("depth") if most is None else F.least(F.lit(most), F.col("depth")).cast("int")
+    return state.select(F.col("k").alias(key), F.col("up").alias("root"), depth.alias("depth"))

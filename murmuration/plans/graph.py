@@ -85,8 +85,7 @@ def sampled_betweenness(spark: SparkSession, d: str) -> DataFrame:
  SELECT DISTINCT conv_id, turn, CAST(depth AS INTEGER) AS depth FROM t""")
 def thread_depth(spark: SparkSession, d: str) -> DataFrame:
     turns = table(spark, d, "conversations").select("conv_id", "turn").distinct()
-    step = 1 << 20
-    keyed = turns.select((F.col("conv_id") * step + F.col("turn")).alias("key"), F.when(F.col("turn") > 0, F.col("conv_id") * step + F.col("turn") - 1).alias("parent"))
-    found = G.thread_depth(keyed, "key", "parent")
-    whole = found.where(F.pmod("root", F.lit(step)) == 0)
-    return whole.select(F.floor(F.col("key") / step).alias("conv_id"), F.pmod("key", F.lit(step)).alias("turn"), F.col("depth").cast("int").alias("depth"))
+    at = lambda turn: F.struct("conv_id", turn.alias("turn"))
+    keyed = turns.select(at(F.col("turn")).alias("key"), F.when(F.col("turn") > 0, at(F.col("turn") - 1)).alias("parent"))
+    found = G.thread_depth(keyed, "key", "parent", most=None)
+    return found.where("root.turn = 0").select("key.conv_id", "key.turn", F.col("depth").cast("int").alias("depth"))

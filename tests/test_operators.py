@@ -210,3 +210,14 @@ def test_betweenness_stays_in_tables(spark, monkeypatch):
     monkeypatch.setattr(type(made), "toPandas", no_copy)
     found = {r.id: r.betweenness for r in graph.betweenness(made).collect()}
     assert found == pytest.approx(brute_betweenness(rows))
+
+
+def test_long_threads_keep_rows_and_depth(spark, tmp_path):
+    from murmuration.plans import graph as plans
+
+    turns = [(c, t) for c, n in ((1, 300), (2, 66), (3, 1)) for t in range(n)] + [(4, 1), (4, 2)]  # the last has no first turn
+    spark.createDataFrame(turns, "conv_id long, turn long").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = [(r.conv_id, r.turn, r.depth) for r in plans.thread_depth(spark, str(tmp_path)).collect()]
+    assert sorted(found) == sorted((c, t, t) for c, t in turns if c < 4)
+    circle = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (5, 1), (6, None)], "k long, p long")
+    assert {r.k: r.depth for r in graph.thread_depth(circle, "k", "p").collect()}[6] == 0
