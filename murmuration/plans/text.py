@@ -139,11 +139,14 @@ def shingle_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def lsh_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that share a band with an earlier one, and the earliest such document."""
+    """(band, doc_id, candidate): the documents of each band that two or more share, with the band's earliest.
+
+    Two documents are candidates if they share a band, so all pairs follow from these
+    rows, which are at most `BANDS` a document.
+    """
     keyed = similarity.bands(similarity.signatures(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
-    heads = keyed.groupBy("band").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = keyed.join(heads.select("band", "head"), "band").where("doc_id > head")
-    return met.groupBy("doc_id").agg(F.min("head").alias("candidate"), F.count(F.lit(1)).alias("n_bands"))
+    heads = keyed.groupBy("band").agg(F.min("doc_id").alias("candidate"), F.max("doc_id").alias("last")).where("candidate < last")
+    return keyed.join(heads.select("band", "candidate"), "band").select("band", "doc_id", "candidate").distinct()
 
 
 @query(f"""WITH {SHINGLES}, e AS (SELECT doc_id, len(s) AS n, unnest(s) AS h FROM s), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) / (any_value(a.n) + any_value(b.n) - count(*))::DOUBLE AS sim FROM e a JOIN e b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id)

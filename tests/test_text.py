@@ -171,3 +171,17 @@ def test_fuzzy_join_takes_all_letters_and_swaps(spark, tmp_path):
             hits[w] = min(near)
     made = plans.fuzzy_lexicon_join_all(spark, stored(spark, tmp_path / "t", [words, words]))
     assert {r.word: (r.distance, r.term) for r in made.collect()} == hits and {"réation", "raetion", "ertiönen"} <= set(hits)
+
+
+def test_all_pairs_of_a_band_follow_from_lsh_candidates(spark, data):
+    keyed = similarity.bands(similarity.signatures(spark.read.parquet(f"{data}/documents.parquet"), "doc_id", "text"), "doc_id").collect()
+    by = {}
+    for r in keyed:
+        by.setdefault(r.band, set()).add(r.doc_id)
+    want = {p for ids in by.values() for p in itertools.combinations(sorted(ids), 2)}
+    found, heads = {}, {}
+    for r in plans.lsh_candidates(spark, data).collect():
+        found.setdefault(r.band, set()).add(r.doc_id)
+        heads[r.band] = r.candidate
+    assert {p for ids in found.values() for p in itertools.combinations(sorted(ids), 2)} == want and want
+    assert all(heads[b] == min(ids) for b, ids in found.items())
