@@ -488,8 +488,14 @@ def dedup(docs: DataFrame, columns: list[str], length: int = LENGTH, gram: int =
     least = prints.groupBy("a", "b", "size").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     copies = scratch.save(prints.join(least, ["a", "b", "size"]).where("key > first").select("key").distinct())
     n_copies = copies.count()
+    twice = prints.join(least, ["a", "b", "size"]).where((F.col("key") == F.col("first")) & (F.col("size") >= length))
+    rows_again = scratch.save(twice.groupBy("key", "a", "b", "size").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key").distinct())
+    n_again = rows_again.count()
     scratch.drop(prints)
     firsts = source.where(F.col("key").isNotNull() & (F.octet_length("text") >= length)).join(_sized(copies, n_copies), "key", "left_anti")
+    if n_again:  # a row and its repeats are one text
+        again = firsts.join(_sized(rows_again, n_again), "key", "left_semi").dropDuplicates(["key", "text"])
+        firsts = firsts.join(_sized(rows_again, n_again), "key", "left_anti").union(again)
     runs = repeated_runs(firsts, scratch, length, gram)
     n_runs = runs.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0]
     picked = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{key}`").cast("long").alias("__key"), value.alias("__text"))

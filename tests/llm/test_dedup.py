@@ -134,3 +134,10 @@ def test_suffix_order():
         t = [r.randrange(1, symbols + 1) for _ in range(r.randrange(1, 200))] + [0]
         order = substrings.Sorter(np.array(t, np.int16), 1000, r.choice([0, 100, 1 << 20])).order()
         assert order.tolist() == sorted(range(len(t)), key=lambda i: t[i:])
+
+
+def test_cuts_leave_a_repeated_row_whole(awkward):
+    docs = awkward.where("doc_id is not null")
+    rows = substrings.dedup(docs, ["doc_id"], digest=True).collect()
+    want = brute_cut({(r.doc_id, r.text) for r in docs.collect()}, 100)
+    assert sorted(tuple(r) for r in rows) == sorted((r.doc_id, *want[r.doc_id]) for r in docs.collect())
