@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from murmuration.llm import kernel
 
-CACHE_WORDS = 200_000
+CACHE_WORDS, SLICE_BYTES = 200_000, 2 << 20
 
 #: The public pre-tokenisation pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -53,7 +53,7 @@ class Vocabulary:
         model, alphabet = spec["model"], byte_alphabet()
         ids = model["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        size = max(*ids.values(), *self.special.values()) + 1
+        size = max(0, *ids.values(), *self.special.values()) + 1
         self.token_bytes = [b""] * size
         for token, i in ids.items():
             self.token_bytes[i] = bytes(alphabet[c] for c in token)
@@ -199,7 +199,7 @@ def encode_decode(docs: DataFrame, path: str, columns: list[str], text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(path)
         for batch in batches:
-            for piece in kernel.slices(batch, "__text", 8 << 20):
+            for piece in kernel.slices(batch, "__text", SLICE_BYTES):
                 codes = coder.encode(piece.column(piece.num_columns - 1).to_pylist())
                 kept = [piece.column(i) for i in range(piece.num_columns - 1)]
                 if digest:

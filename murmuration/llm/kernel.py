@@ -9,12 +9,15 @@ text counts as empty.  Slices are cut at document borders to about
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 SLICE_BYTES = 512 << 10
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -77,7 +80,14 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES, *more: s
         held += int(size)
     if begin < len(sizes):
         yield batch.slice(begin)
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back to the system, so that a reused worker holds no more than its next slice needs."""
     pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 class Words:
