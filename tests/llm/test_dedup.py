@@ -51,7 +51,7 @@ def test_classes(spark, data, k):
 
 @pytest.mark.parametrize("common, broadcast", [(400, 2_000_000), (5, 1)])
 def test_long_lists(spark, monkeypatch, common, broadcast):
-    for name, value in (("LONG", 4), ("CENTRES", 2), ("COMMON", common), ("BROADCAST_IDS", broadcast)):
+    for name, value in (("LONG", 4), ("SEEN", 3), ("COMMON", common), ("BROADCAST_IDS", broadcast)):
         monkeypatch.setattr(neardup, name, value)
     r = random.Random(6)
     base = [f"w{i}" for i in range(60)]
@@ -65,6 +65,25 @@ def test_long_lists(spark, monkeypatch, common, broadcast):
     check_classes(spark.createDataFrame(rows, "doc_id long, text string"), 2)
 
 
+@pytest.mark.parametrize("long_", [1, 3, 64])
+def test_groups_of_near_copies_that_are_not_all_linked(spark, monkeypatch, long_):
+    """Members far from the hub find their partners by the deviations that they share."""
+    monkeypatch.setattr(neardup, "LONG", long_)
+    monkeypatch.setattr(neardup, "COMMON", 20)
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(80)]
+    rows, parents = [], [base]
+    for i in range(150):  # each a changed copy of the base or of an earlier copy, so that links come in chains and islands
+        t = list(r.choice(parents[-6:] if i % 3 else parents[:1]))
+        for _ in range(r.choice([0, 1, 2, 4, 7, 9])):
+            at = r.randrange(len(t))
+            t[at : at + r.randrange(3)] = [f"x{r.randrange(40)}"] * r.randrange(3)
+        parents.append(t)
+        rows.append((i, " ".join(t)))
+    rows += [(1000 + i, " ".join(base[:12] + [f"u{r.randrange(10**6)}" for _ in range(r.randrange(70))])) for i in range(40)]
+    check_classes(spark.createDataFrame(rows, "doc_id long, text string"), 2)
+
+
 def test_classes_of_odd_tables(awkward, nothing, crowded):
     clean = awkward.where("doc_id is not null").dropDuplicates(["doc_id"])
     check_classes(clean, 2)
