@@ -1,30 +1,37 @@
 """Line dedup by winnowing over line hashes, in DataFrame functions only.
 
 A document is the list of its lines that hold a word, each hashed without its
-outer white space.  Of every window of `run` lines the least hash is selected, so
-two documents that share `run` lines share a selected line.  Selected lines that
-occur at one place only are dropped; at the others the match is extended both
-ways, to the lines before and after, which gives the whole window.  A window that
-occurs at an earlier place (smaller id, or same document and earlier line) marks
-its lines, and overlapping windows join to runs.  So every run of `run` or more
-lines that appeared before is deleted, and its first appearance stays.  With `words`
-there are also windows of fewer lines, down to one, whose lines hold more than so many
-words together, and such passages go likewise.
-
-No pair of occurrences is ever made: each window is compared with the earliest
-place of its kind, found by a pre-aggregated minimum, so a passage that a third
-of all documents share costs no more than its rows.
+outer white space.  Of every window of `run` lines the least hash is selected: it is
+a fingerprint, a row of nothing but hash, document and position.  Two documents that
+share `run` lines share a fingerprint at the same place of the shared run.
+
+Fingerprints that stand at one place only are dropped.  The places of the others are
+joined with the lines around them, and a match grows line by line, first to the
+right and then to the left: places stay together while their next line is equal, and
+a place that has none like it any more is dropped.  When a match has grown to `run`
+lines, all its places but the earliest (smaller id, or same document and earlier
+line) are later repeats.  Their lines are deleted; overlapping repeats join to runs.
+So every run of `run` or more lines that appeared before is deleted, and its first
+appearance stays.  With `words` a match of fewer lines, down to one, is as good as a
+run if they hold more than so many words together; such windows have fingerprints too.
+
+No pair of places is ever made: a place is compared with the earliest one of its
+match, found by a pre-aggregated minimum, so a passage that a third of all documents
+share costs no more than its rows.
 
 Defined cases: a null text has no lines and stays null; blank lines are kept and
-do not interrupt a run; repeated rows count as later ones of the same document;
-documents shorter than `run` lines keep all unless `words` is given, and rows without
-an id keep all; other
-columns are carried along, but for those with the name of an output, which are
-replaced; an empty table gives no rows.
+do not interrupt a run; lines are equal if their 64-bit hashes are; a row that is
+repeated, id included, is one document, and all its copies are cut alike; different
+texts under one id are ordered by a hash; documents shorter than `run` lines keep all
+unless `words` is given, and rows without an id keep all; other columns are carried
+along, but for those with the name of an output, which are replaced; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,79 +41,106 @@ from murmuration.llm.scratch import Scratch
 RUN = 3
 #: Fewer lines than a run go too if they hold more words than this.
 WORDS = 50
+#: Bytes up to which the runs to delete go to all tasks; beyond, documents are joined with them by a shuffle.
+BROADCAST_BYTES = 16 << 20
+
+OUTER = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 
 
 def _lines(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
 
 
-def windows(docs: DataFrame, run: int, text: str, key: str, words: int | None = None) -> DataFrame:
-    """(key, at, size, first, last, least, content): each window of lines, its least hash, and what stands before and after."""
+def hashed_lines(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(key, t, i, h, w): of each document the numbers, hashes and word counts of its lines with a word."""
+    value = F.col(f"`{text}`").cast("string")
+    full = F.filter(_lines(value), lambda s: s["x"].rlike(WORD))
+    each = F.transform(full, lambda s: F.struct(s["i"].alias("i"), F.xxhash64(F.regexp_replace(s["x"], OUTER, "")).alias("h"), F.regexp_count(s["x"], F.lit(f"{WORD}+")).alias("w")))
+    rows = docs.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("key"), F.xxhash64(value).alias("t"), each.alias("s")).where(F.size("s") > 0)
+    once = rows.groupBy("key", "t").agg(F.first("s").alias("s"))
+    return once.select("key", "t", F.col("s.i").alias("i"), F.col("s.h").alias("h"), F.col("s.w").alias("w"))
 
-    def line(s: Column) -> Column:
-        plain = F.xxhash64(F.regexp_replace(s["x"], r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")).alias("h")
-        return F.struct(s["i"].alias("i"), plain, *([] if words is None else [F.regexp_count(s["x"], F.lit(f"{WORD}+")).alias("w")]))
 
-    hashed = F.transform(F.filter(_lines(F.col(f"`{text}`").cast("string")), lambda s: s["x"].rlike(WORD)), line)
+def fingerprints(lined: DataFrame, run: int, words: int | None) -> DataFrame:
+    """(key, t, at, c): the place and hash of each line that a window selects; of equal least ones the first."""
 
-    def cut(s: Column) -> Column:
-        def of(size: int) -> Column:
-            def one(i: Column) -> Column:
-                part = F.slice(s, i, size)
-                return F.struct(
-                    i.alias("at"),
-                    F.lit(size).alias("size"),
-                    F.get(part, F.lit(0))["i"].alias("first"),
-                    F.get(part, F.lit(size - 1))["i"].alias("last"),
-                    F.array_min(F.transform(part, lambda y: y["h"])).alias("least"),
-                    F.xxhash64(F.transform(part, lambda y: y["h"])).alias("content"),
-                )
-
-            starts = F.sequence(F.lit(1), F.greatest(F.size(s) - size + 1, F.lit(1)))
-            if size < run:
-                starts = F.filter(starts, lambda i: sum((F.get(s, i + j - 1)["w"] for j in range(size)), F.lit(0)) > words)
-            return F.when(F.size(s) >= size, F.transform(starts, one))
-
-        sizes = [run] if words is None else range(1, run + 1)
-        found = [of(size) for size in sizes]
-        return found[0] if len(found) == 1 else F.flatten(F.filter(F.array(*found), lambda x: x.isNotNull()))
-
-    return docs.select(F.col(f"`{key}`").alias("key"), F.explode(let(hashed, cut)).alias("w")).select("key", "w.*")
+    def selected(size: int) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size("h") - size, F.lit(0)))
+        if size < run:
+            held = lambda i: reduce(lambda a, b: a + b, [F.get("w", i + j) for j in range(size)])
+            starts = F.filter(starts, lambda i: held(i) > words)
+        least = lambda part: F.array_position(part, F.array_min(part)).cast("int") - 1
+        return F.when(F.size("h") >= size, F.transform(starts, lambda i: i + let(F.slice("h", i + 1, size), least)))
+
+    sizes = [run] if words is None else range(1, run + 1)
+    at = F.array_distinct(F.flatten(F.filter(F.array(*[selected(s) for s in sizes]), lambda x: x.isNotNull())))
+    return lined.select("key", "t", "h", F.explode(at).alias("at")).select("key", "t", "at", F.get("h", F.col("at")).alias("c"))
+
+
+def _matched(places: DataFrame, scratch: Scratch) -> DataFrame:
+    """The places whose match c has others, with `first`, the earliest of them."""
+    place = F.struct("key", "t", "at")
+    several = places.groupBy("c").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return scratch.save(places.drop("first").join(several, "c"))
 
 
 def repeated_runs(docs: DataFrame, run: int = RUN, text: str = "text", key: str = "doc_id", words: int | None = None) -> DataFrame:
-    """(key, runs): for each document with later repeats, the line intervals to delete."""
+    """(key, t, runs): for each document with later repeats, the line intervals to delete."""
     scratch = Scratch(docs.sparkSession)
-    seen = scratch.save(windows(docs, run, text, key, words))
-    # a selected line is at one place if all windows that chose it overlap in one document
-    places = seen.groupBy("size", "least").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.min("at").alias("c"), F.max("at").alias("d"), F.count(F.lit(1)).alias("n"))
-    shared = places.where((F.col("a") != F.col("b")) | (F.col("d") - F.col("c") >= 1) | (F.col("n") > 1)).select("size", "least")
-    matched = seen.join(shared, ["size", "least"], "left_semi")
-    place = F.struct("key", "at")
-    earliest = matched.groupBy("size", "least", "content").agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = matched.join(earliest, ["size", "least", "content"]).where(place > F.col("origin"))
-    widest = later.groupBy("key", "at").agg(F.max(F.struct("size", "first", "last")).alias("w")).select("key", "at", "w.*")
-    marks = widest.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "size", "first", "last"))).alias("m"))
-    # places differ, so no window that starts `run` marks earlier reaches further than this one
-    before = lambda i: [F.get(F.col("m"), i - j) for j in range(run)]
-    reach = F.transform("m", lambda x, i: F.struct(x["at"].alias("at"), x["first"].alias("first"), F.greatest(x["last"], *[y["last"] for y in before(i)]).alias("last"), F.greatest(x["at"] + x["size"], *[y["at"] + y["size"] for y in before(i)]).alias("next")))
-    marks = marks.select("key", reach.alias("r"))
+    lined = scratch.save(hashed_lines(docs, text, key))
+    seeds = scratch.save(fingerprints(lined, run, words))
+    shared = seeds.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("c")
+    near = lambda name: F.transform(F.sequence(F.lit(1 - run), F.lit(run - 1)), lambda j: F.when(F.col("at") + j >= 0, F.get(name, F.col("at") + j)))
+    around = seeds.join(shared, "c", "left_semi").join(lined, ["key", "t"]).select("key", "t", "at", "c", near("h").alias("h"), near("w").alias("w"))
+    line = lambda name, j: F.get(name, F.lit(j + run - 1))
+
+    def grown(places: DataFrame, j: int) -> DataFrame:
+        return _matched(places.where(line("h", j).isNotNull()).withColumn("c", F.xxhash64("c", line("h", j))), scratch)
+
+    later: list[DataFrame] = []
+
+    def note(places: DataFrame, left: int, right: int) -> None:
+        """Notes the later places of a match of lines -left to right around the fingerprint, if it is long enough."""
+        size = left + right + 1
+        if size < run and words is None:
+            return
+        repeated = places.where(F.struct("key", "t", "at") > F.col("first"))
+        if size < run:
+            repeated = repeated.where(reduce(lambda a, b: a + b, [line("w", j) for j in range(-left, right + 1)]) > words)
+        later.append(repeated.select("key", "t", (F.col("at") - left).alias("a"), (F.col("at") + right).alias("b")))
+
+    match = _matched(around, scratch)
+    for right in range(run):
+        match = grown(match, right) if right else match
+        note(match, 0, right)
+        wider = match
+        for left in range(1, run - right):
+            wider = grown(wider, -left)
+            note(wider, left, right)
+    widest = reduce(DataFrame.union, later).groupBy("key", "t", "a").agg(F.max("b").alias("b"))
+    marks = widest.groupBy("key", "t").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("m"))
+    # a match has `run` lines at most, so of the marks before only the last `run` can reach beyond this one
     r = F.col("r")
-    opens = F.filter(r, lambda x, i: F.coalesce(x["at"] > F.get(r, i - 1)["next"], F.lit(True)))
-    ends = F.filter(r, lambda x, i: F.coalesce(F.get(r, i + 1)["at"] > x["next"], F.lit(True)))
-    return marks.select("key", F.zip_with(opens, ends, lambda a, b: F.struct(a["first"].alias("first"), b["last"].alias("last"))).alias("runs"))
+    reach = F.transform("m", lambda x, i: F.struct(x["a"].alias("a"), F.greatest(x["b"], *[F.get("m", i - j)["b"] for j in range(run)]).alias("b")))
+    marks = marks.select("key", "t", reach.alias("r"))
+    opens = F.filter(r, lambda x, i: F.coalesce(x["a"] > F.get(r, i - 1)["b"] + 1, F.lit(True)))
+    ends = F.filter(r, lambda x, i: F.coalesce(F.get(r, i + 1)["a"] > x["b"] + 1, F.lit(True)))
+    spans = marks.select("key", "t", F.zip_with(opens, ends, lambda a, b: F.struct(a["a"].alias("a"), b["b"].alias("b"))).alias("spans")).join(lined.select("key", "t", "i"), ["key", "t"])
+    found = scratch.save(spans.select("key", "t", F.transform("spans", lambda s: F.struct(F.get("i", s["a"]).alias("first"), F.get("i", s["b"]).alias("last"))).alias("runs")))
+    return found
 
 
 def dedup(docs: DataFrame, run: int = RUN, text: str = "text", key: str = "doc_id", words: int | None = None) -> DataFrame:
     """All columns, the text without later repeated runs; then n_lines, n_removed_lines and n_runs."""
-    runs = repeated_runs(docs, run, text, key, words).withColumnRenamed("key", "__key").withColumnRenamed("runs", "__runs")
-    joined = docs.join(runs, F.col(f"`{key}`") == F.col("__key"), "left")
+    runs = repeated_runs(docs, run, text, key, words).select(F.col("key").alias("__key"), F.col("t").alias("__t"), F.col("runs").alias("__runs"))
+    held = runs.agg(F.coalesce(F.sum(F.size("__runs") * 16 + 48), F.lit(0))).first()[0]
     value = F.col(f"`{text}`").cast("string")
+    joined = docs.join(F.broadcast(runs) if held <= BROADCAST_BYTES else runs, (F.col(f"`{key}`") == F.col("__key")) & (F.xxhash64(value) == F.col("__t")), "left")
 
     def cut(s: Column) -> Column:
-        gone = F.filter(s, lambda y: y["x"].rlike(WORD) & F.exists(F.col("__runs"), lambda r: y["i"].between(r["first"], r["last"])))
-        kept = F.filter(s, lambda y: ~(y["x"].rlike(WORD) & F.exists(F.col("__runs"), lambda r: y["i"].between(r["first"], r["last"]))))
-        return F.struct(F.array_join(F.transform(kept, lambda y: y["x"]), "\n").alias("text"), F.size(gone).alias("removed"))
+        gone = lambda y: y["x"].rlike(WORD) & F.exists(F.col("__runs"), lambda r: y["i"].between(r["first"], r["last"]))
+        kept = F.filter(s, lambda y: ~gone(y))
+        return let(kept, lambda k: F.struct(F.array_join(F.transform(k, lambda y: y["x"]), "\n").alias("text"), (F.size(s) - F.size(k)).alias("removed")))
 
     done = F.when(F.col("__runs").isNotNull(), let(_lines(value), cut)).otherwise(F.struct(value.alias("text"), F.lit(0).alias("removed")))
     lined = F.coalesce(F.size(F.filter(F.split(value, "\n"), lambda x: x.rlike(WORD))), F.lit(0))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -147,6 +148,25 @@ def test_passages_of_few_lines(spark, data, awkward, run, words):
         check_passages(docs, run, words)
 
 
+def test_repeated_rows_are_one_document(spark):
+    """All copies of a row are cut alike, and different texts under one id each by their own lines."""
+    text = "\n".join(f"line {i} of the text" for i in range(6))
+    rows = [(1, text), (1, text), (2, "own\n" + text), (2, "own\n" + text), (3, "a\nb\nc"), (3, "x\na\nb\nc")]
+    kept = sorted((r.doc_id, r.text, r.n_removed_lines) for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept[:4] == [(1, text, 0)] * 2 + [(2, "own", 6)] * 2
+    assert sorted(n for _, _, n in kept[4:]) == [0, 3]
+
+
+def test_matches_grow_from_one_line_that_stands_in_many_contexts(spark):
+    r = random.Random(4)
+    rows = [(i, "\n".join(f"l{r.randrange(4)}" for _ in range(r.randrange(12)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for run in (1, 2, 3, 4):
+        want = brute_lines(rows, run)
+        assert {x.doc_id: (x.text, x.n_lines, x.n_removed_lines) for x in lines.dedup(docs, run).collect()} == want
+    check_passages(docs, 4, 2)
+
+
 def test_a_long_line_and_a_long_pair_go_from_short_documents(spark):
     line = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
     rows = [(1, line("a", 51)), (2, line("a", 51)), (3, line("b", 50)), (4, line("b", 50)), (5, line("c", 30) + "\n" + line("d", 21)), (6, "own\n" + line("c", 30) + "\n\n" + line("d", 21) + "\nend")]
