@@ -1,6 +1,6 @@
 """Benchmark decontamination by greedy string tiling.
 
-A document and a benchmark item become a pair if they share a seed, that is
+A document and a benchmark item become a pair if they share seeds, that is
 `LEAST` consecutive tokens (letters and digits, lower case).  Each pair is tiled:
 running Karp-Rabin hashes find the longest matches of tokens that are not yet
 covered, these are marked, longest first and without overlap, and the search
@@ -8,10 +8,13 @@ goes on with shorter ones down to `LEAST` tokens.  The share of the item's token
 under tiles is its coverage; tiles may come in any order, so passages that were
 cut up and reordered are found too.
 
-Documents are never shuffled: each task looks its token windows up in the seeds.
-The benchmark's size is measured first and it is taken in blocks of at most
-`BLOCK_BYTES`; a benchmark of any size is thus compared in bounded memory, block
-by block against all rows.
+Documents are scanned once.  A table of bits of a fixed size, merged in the tasks,
+says which seeds the benchmark has; documents with none of them go no further.
+The others are written with their seeds and joined with the items' seeds.  Tiles
+that cover enough of an item hold so many of its seeds that one is among its rarest,
+so items are joined by these alone, and a seed that very many documents share is
+left out.  The benchmark is a table throughout: only its bits reach the driver, and
+its texts are broadcast only if they were measured and are small.
 
 Defined cases: null and empty texts and items of fewer than `LEAST` tokens match
 nothing; repeated rows and repeated items give a row each; all tokens of a long
@@ -21,24 +24,27 @@ ignored; an empty table on either side gives no rows.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from murmuration.llm import kernel
+from murmuration.llm.scratch import Scratch
 
-LEAST, COVERAGE, BLOCK_BYTES = 5, 0.6, 8 << 20
-_FILTER_BITS = 20
+LEAST, COVERAGE = 5, 0.6
+#: Bytes of item texts up to which they go to all tasks; beyond, a shuffle join is used.
+BROADCAST_BYTES = 8 << 20
+#: Bits of the table of the benchmark's seeds: 2 MB, whatever its size.
+FILTER_BITS = 24
 
 
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     words = kernel.Words(*kernel.buffers(texts), space=kernel.NO_LETTER)
+    if not len(words):
+        return np.empty(0, np.uint64), words.first
     return words.hashes(kernel.LOWER), words.first
 
 
@@ -61,95 +67,157 @@ def _open_windows(free: np.ndarray, length: int) -> np.ndarray:
     return np.flatnonzero(below[length:] - below[:-length] == length) if len(free) >= length else np.empty(0, np.int64)
 
 
+def _meet(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of all pairs of equal values."""
+    order = np.argsort(b, kind="stable")
+    low, high = np.searchsorted(b[order], a), np.searchsorted(b[order], a, "right")
+    count = high - low
+    left = np.repeat(np.arange(len(a)), count)
+    return left, order[np.repeat(low, count) + np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count)]
+
+
+def _matches(item: np.ndarray, text: np.ndarray, free_item: np.ndarray, free_text: np.ndarray, rolls: tuple[_Rolling, _Rolling], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in both, and lengths, of free matches of `length` tokens or more that begin at a free window."""
+    at_item, at_text = _open_windows(free_item, length), _open_windows(free_text, length)
+    i, j = _meet(rolls[0].of(length, at_item), rolls[1].of(length, at_text))
+    p, t = at_item[i], at_text[j]
+    same = np.ones(len(p), bool)
+    for k in range(length):  # equal hashes are not yet equal tokens
+        same &= item[p + k] == text[t + k]
+    p, t = p[same], t[same]
+    n = np.full(len(p), length)
+    grows = np.arange(len(p))
+    while len(grows):
+        a, b = p[grows] + n[grows], t[grows] + n[grows]
+        inside = (a < len(item)) & (b < len(text))
+        grows, a, b = grows[inside], a[inside], b[inside]
+        grows = grows[free_item[a] & free_text[b] & (item[a] == text[b])]
+        n[grows] += 1
+    return p, t, n
+
+
 def tile(item: np.ndarray, text: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
     """Tiles (place in item, place in text, length) of greedy string tiling."""
     if len(item) < least or len(text) < least:
         return []
     free_item, free_text = np.ones(len(item), bool), np.ones(len(text), bool)
-    roll_item, roll_text = _Rolling(item), _Rolling(text)
+    rolls = _Rolling(item), _Rolling(text)
     tiles: list[tuple[int, int, int]] = []
     length = min(len(item), len(text))
     while True:
-        at_item, at_text = _open_windows(free_item, length), _open_windows(free_text, length)
-        places: dict[int, list[int]] = defaultdict(list)
-        hashes = roll_text.of(length, at_text)
-        known = np.isin(hashes, roll_item.of(length, at_item))
-        for h, t in zip(hashes[known].tolist(), at_text[known].tolist(), strict=True):
-            places[h].append(t)
-        matches = []
-        for p, h in zip(at_item.tolist(), roll_item.of(length, at_item).tolist(), strict=True):
-            for t in places.get(h, ()):
-                if not np.array_equal(item[p : p + length], text[t : t + length]):
-                    continue
-                n = length
-                while p + n < len(item) and t + n < len(text) and free_item[p + n] and free_text[t + n] and item[p + n] == text[t + n]:
-                    n += 1
-                matches.append((-n, p, t))
-        for minus, p, t in sorted(matches):
-            if free_item[p : p - minus].all() and free_text[t : t - minus].all():
-                free_item[p : p - minus] = free_text[t : t - minus] = False
-                tiles.append((p, t, -minus))
+        p, t, n = _matches(item, text, free_item, free_text, rolls, length)
+        while len(p):
+            k = np.lexsort((t, p, -n))[0]
+            size = int(n[k])
+            free_item[p[k] : p[k] + size] = free_text[t[k] : t[k] + size] = False
+            tiles.append((int(p[k]), int(t[k]), size))
+            longest = n == size
+            p, t, n = p[longest], t[longest], n[longest]
+            taken_item, taken_text = np.r_[0, np.cumsum(~free_item)], np.r_[0, np.cumsum(~free_text)]
+            open_ = (taken_item[p + size] == taken_item[p]) & (taken_text[t + size] == taken_text[t])
+            p, t, n = p[open_], t[open_], n[open_]
+            if not len(p):  # shorter matches may have been cut by the tiles of this length
+                p, t, n = _matches(item, text, free_item, free_text, rolls, length)
         if length == least:
             return tiles
         length = max(least, length * 3 // 4)
 
 
-def _search(block: list[tuple[int, str]], least: int, coverage: float):
-    """A task over batches (key, text) that yields the covered pairs with one block of items."""
+def _seeds(texts: pa.Array, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Seeds of all texts, n + 1 offsets, and the tokens of each text."""
+    tokens, first = _tokens(texts)
+    seeds, at = kernel.grams(tokens, first, least)
+    return seeds, at, np.diff(first)
+
+
+def _item_seeds(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in kernel.slices(batch, "text"):
+                seeds, at, tokens = _seeds(piece.column("text"), least)
+                owner = np.repeat(np.arange(piece.num_rows), np.diff(at))
+                b = piece.column("b").to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(b[owner], pa.int64()), pa.array(tokens[owner], pa.int64()), pa.array(seeds.astype(np.int64))], names=["b", "n_tokens", "h"])
+
+    return run
+
+
+def _seeded_docs(least: int, table):
+    """The rows that hold seeds of the benchmark, with these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = [i for i, _ in block]
-        tokens, first = _tokens(pa.array([t for _, t in block], pa.large_string()))
-        items = [tokens[a:b] for a, b in zip(first, first[1:], strict=False)]
-        seeds, seed_first = kernel.grams(tokens, first, least)
-        order = np.argsort(seeds, kind="stable")
-        seeds, owner = seeds[order], np.repeat(np.arange(len(items)), np.diff(seed_first))[order]
-        sieve = np.zeros(1 << _FILTER_BITS, bool)
-        sieve[seeds >> np.uint64(64 - _FILTER_BITS)] = True
+        words = table.value
         for batch in batches:
-            rows = []
             for piece in kernel.slices(batch, "text"):
-                own, own_first = _tokens(piece.column("text"))
-                grams, gram_first = kernel.grams(own, own_first, least)
-                at = np.flatnonzero(sieve[grams >> np.uint64(64 - _FILTER_BITS)]) if len(seeds) else np.empty(0, np.int64)
-                low, high = np.searchsorted(seeds, grams[at]), np.searchsorted(seeds, grams[at], "right")
-                at, low, high = at[high > low], low[high > low], high[high > low]
-                doc = np.searchsorted(gram_first, at, "right") - 1
-                for d in np.unique(doc).tolist():
-                    text = own[own_first[d] : own_first[d + 1]]
-                    mine = doc == d
-                    near = np.zeros(len(text), bool)  # tokens under no seed can be in no tile
-                    for k in (at[mine] - gram_first[d]).tolist():
-                        near[k : k + least] = True
-                    kept = text.copy()
-                    kept[~near] = 0
+                seeds, at, _ = _seeds(piece.column("text"), least)
+                owner = np.repeat(np.arange(piece.num_rows), np.diff(at))
+                known = kernel.has_bit(words, seeds)
+                seeds, owner = seeds[known], owner[known]
+                order = np.lexsort((seeds, owner))
+                seeds, owner = seeds[order], owner[order]
+                new = np.ones(len(seeds), bool)
+                new[1:] = (seeds[1:] != seeds[:-1]) | (owner[1:] != owner[:-1])
+                seeds, owner = seeds[new], owner[new]
+                rows, first = np.unique(owner, return_index=True)
+                kept = piece.take(pa.array(rows, pa.int64()))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(seeds)), pa.int32()), pa.array(seeds.astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([kept.column("key"), kept.column("text"), lists], names=["key", "text", "seeds"])
+
+    return run
+
+
+def _tiled(least: int, coverage: float):
+    """Pairs with both texts in, the covered ones out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in kernel.slices(batch, "text", kernel.SLICE_BYTES, "item_text"):
+                own, first = _tokens(piece.column("text"))
+                items, item_first = _tokens(piece.column("item_text"))
+                rows = []
+                for r in range(piece.num_rows):
+                    text, item = own[first[r] : first[r + 1]], items[item_first[r] : item_first[r + 1]]
+                    ends = np.array([0, len(text)]), np.array([0, len(item)])
+                    grams = kernel.grams(text, ends[0], least)[0]
+                    shared = np.isin(grams, kernel.grams(item, ends[1], least)[0])
+                    edge = np.zeros(len(text) + 1, np.int64)
+                    np.add.at(edge, np.flatnonzero(shared), 1)
+                    np.add.at(edge, np.flatnonzero(shared) + least, -1)
+                    near = np.cumsum(edge[:-1]) > 0  # tokens under no seed can be in no tile
+                    kept = np.where(near, text, np.uint64(0))
                     # runs of tokens outside all seeds shrink to one, which ends every match
-                    kept = kept[near | np.r_[True, near[:-1]]]
-                    shared = {int(o) for a, b in zip(low[mine], high[mine], strict=True) for o in owner[a:b]}
-                    for o in sorted(shared):
-                        tiles = tile(items[o], kept, least)
-                        covered = sum(n for _, _, n in tiles)
-                        if tiles and covered >= coverage * len(items[o]):
-                            rows.append((piece.column("key")[d].as_py(), ids[o], len(items[o]), covered, len(tiles), max(n for _, _, n in tiles)))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "item", "n_tokens", "n_covered", "n_tiles", "longest"])
+                    tiles = tile(item, kept[near | np.r_[True, near[:-1]]], least)
+                    covered = sum(n for _, _, n in tiles)
+                    if tiles and covered >= coverage * len(item):
+                        rows.append((piece.column("key")[r].as_py(), piece.column("item")[r].as_py(), len(item), covered, len(tiles), max(n for _, _, n in tiles)))
+                columns = list(zip(*rows, strict=True)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "item", "n_tokens", "n_covered", "n_tiles", "longest"])
 
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE, key: str = "doc_id", item: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE, key: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
     """(key, item, n_tokens, n_covered, n_tiles, longest, coverage) of all pairs with at least that coverage."""
-    tests = benchmark.select(F.col(f"`{item}`").cast("long").alias("item"), F.col(f"`{text}`").cast("string").alias("text")).where("text is not null")
-    total = tests.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    blocks = max(1, -(-2 * total // block_bytes))
-    kind = T.StructType([T.StructField("key", T.LongType()), T.StructField("item", T.LongType()), *T._parse_datatype_string("n_tokens long, n_covered long, n_tiles long, longest long").fields])
+    scratch = Scratch(docs.sparkSession)
+    tests = scratch.save(benchmark.select(F.col(f"`{item}`").cast("long").alias("item"), F.col(f"`{text}`").cast("string").alias("text")).where("text is not null").withColumn("b", F.monotonically_increasing_id()))
+    held = tests.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
+    item_seeds = scratch.save(tests.select("b", "text").mapInArrow(_item_seeds(least), "b long, n_tokens long, h long"))
+    table = docs.sparkSession.sparkContext.broadcast(kernel.bit_table(item_seeds.select("h"), FILTER_BITS))
     source = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
-    parts = []
-    for b in range(blocks):
-        held = tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b) if blocks > 1 else tests
-        block = sorted((r["item"], r["text"]) for r in held.toLocalIterator())
-        parts.append(source.mapInArrow(_search(block, least, coverage), kind))
-    found = reduce(DataFrame.unionByName, parts)
+    # each seeded row has a name of its own, which the written table fixes
+    seeded = scratch.save(source.mapInArrow(_seeded_docs(least, table), "key long, text string, seeds array<long>").withColumn("r", F.monotonically_increasing_id()))
+    places = seeded.select("r", F.explode("seeds").alias("h"))
+    often = places.groupBy("h").agg(F.count(F.lit(1)).alias("times"))
+    # tiles over c tokens hold c / least seeds of the item or more; so many of its seeds a partner shares
+    asked = F.ceil(F.ceil(F.col("n_tokens") * coverage - 1e-9) / least)
+    ranked = item_seeds.join(often, "h", "left").withColumn("place", F.row_number().over(Window.partitionBy("b").orderBy(F.coalesce("times", F.lit(0)), "h")))
+    probes = ranked.where(F.col("times").isNotNull() & (F.col("place") <= F.col("n_tokens") - least + 1 - asked + 1)).select("b", "h").distinct()
+    pairs = scratch.save(places.join(probes, "h").select("r", "b").distinct())
+    items = tests.select("b", "item", F.col("text").alias("item_text"))
+    met = pairs.join(seeded.select("r", "key", "text"), "r").join(F.broadcast(items) if held <= BROADCAST_BYTES else items, "b")
+    found = met.select("key", "text", "item", "item_text").mapInArrow(_tiled(least, coverage), "key long, item long, n_tokens long, n_covered long, n_tiles long, longest long")
+    found = scratch.save(found)  # in batches of few whole texts; what is saved is a few numbers a pair
+    scratch.drop(seeded, pairs, item_seeds, tests)
     return found.withColumn("coverage", F.col("n_covered") / F.col("n_tokens")).withColumnsRenamed({"key": key, "item": item})
 
 

@@ -15,6 +15,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
@@ -146,3 +148,23 @@ def grams(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np
     np.cumsum(counts, out=at[1:])
     value = value[keep]
     return value[: at[-1]], at
+
+
+def bit_table(hashes: DataFrame, most_bits: int) -> np.ndarray:
+    """A table of at most 2**most_bits bits, one set for each hash of column `h`: a hash without its bit is not there.
+
+    Bits are merged in the tasks; the driver gets a table of a fixed size, never the
+    hashes.  With more hashes than bits it lets more pass, which costs time only.
+    """
+    bits = max(12, min(most_bits, (16 * hashes.count()).bit_length()))
+    slot = F.shiftrightunsigned("h", 64 - bits)
+    words = hashes.select(slot.alias("slot")).selectExpr("slot >> 6 AS w", "shiftleft(1L, int(slot & 63)) AS b")
+    merged = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    table[merged.column("w").to_numpy()] = merged.column("b").to_numpy().view(np.uint64)
+    return table
+
+
+def has_bit(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    slot = h >> np.uint64(64 - 6 - int(len(table)).bit_length() + 1)
+    return (table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0

@@ -27,8 +27,8 @@ are told apart one by one: their 128-bit hashes are grouped with partial minima.
 
 Defined cases: null and empty texts and texts shorter than `length` keep all;
 repeated rows are copies of each other, and the one met as smallest is kept whole;
-rows without an id keep all; very long texts are cut at no place; extra columns are carried; an empty table
-gives no rows.
+rows without an id keep all; very long texts are cut at no place; extra columns are carried, but
+for those with the name of an output, which are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -298,33 +298,13 @@ def _anchor_hashes(length: int, gram: int):
     return run
 
 
-def _filter(hashes: DataFrame) -> np.ndarray:
-    """A bit table of hashes, `FILTER_BITS` bits at most: what is not in it does not occur again.
-
-    Bits are merged in the tasks; the driver gets a table of a fixed size, never the
-    hashes.  With more hashes than bits it lets more pass, which costs time only.
-    """
-    bits = max(12, min(FILTER_BITS, (16 * hashes.count()).bit_length()))
-    slot = F.shiftrightunsigned("h", 64 - bits)
-    words = hashes.select(slot.alias("slot")).selectExpr("slot >> 6 AS w", "shiftleft(1L, int(slot & 63)) AS b")
-    merged = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    table = np.zeros(1 << (bits - 6), np.uint64)
-    table[merged.column("w").to_numpy()] = merged.column("b").to_numpy().view(np.uint64)
-    return table
-
-
-def _passes(table: np.ndarray, h: np.ndarray) -> np.ndarray:
-    slot = h >> np.uint64(64 - 6 - int(len(table)).bit_length() + 1)
-    return (table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
-
-
 def _places(length: int, gram: int, known: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in kernel.slices(batch, "text"):
                 data, offsets = kernel.buffers(piece.column("text"))
                 h, doc, low, high, p = anchors(data, offsets, length, gram)
-                keep = _passes(known, h)
+                keep = kernel.has_bit(known, h)
                 h, doc, low, high, p = h[keep], doc[keep], low[keep], high[keep], p[keep]
                 keys = piece.column("key").to_numpy(zero_copy_only=False)[doc]
                 columns = [h.astype(np.int64), p.astype(np.int64), keys.astype(np.int64), low - offsets[doc], high - low + 1]
@@ -386,7 +366,7 @@ def repeated_runs(firsts: DataFrame, scratch: Scratch, length: int, gram: int) -
     """(key, runs): per document the intervals [first, last] of strings that start earlier too; firsts: rows (key, text), no text twice."""
     once = firsts.mapInArrow(_anchor_hashes(length, gram), "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
     again = scratch.save(once)
-    shared = firsts.sparkSession.sparkContext.broadcast(_filter(again))
+    shared = firsts.sparkSession.sparkContext.broadcast(kernel.bit_table(again, FILTER_BITS))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _places(length, gram, shared.value)(batches)
@@ -481,6 +461,7 @@ def _cut_texts(length: int, digest: bool, names: list[str]):
 def dedup(docs: DataFrame, columns: list[str], length: int = LENGTH, gram: int = GRAM, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
     """The given columns, then n_bytes, n_removed, n_spans and the kept bytes, or with `digest` their SHA-256."""
     scratch = Scratch(docs.sparkSession)
+    columns = [c for c in columns if c not in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")]
     value = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     source = docs.select(F.col(f"`{key}`").cast("long").alias("key"), value.alias("text"))
     named = source.select("key", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(7), "text").alias("b"), F.octet_length("text").alias("size"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -39,7 +40,7 @@ def test_toxicity_of_odd_tables(spark, awkward, nothing, crowded):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.fit(toxicity.training_rows(awkward, labels))
     assert toxicity.score(nothing, model, ["doc_id"]).count() == 0
-    found = toxicity.score(crowded.drop("score", "hits"), model, ["doc_id", "lang", "key"]).collect()
+    found = toxicity.score(crowded, model, ["doc_id", "lang", "key", "score", "hits", "weight", "predicted"]).collect()
     assert len(found) == crowded.count() and {r.hits for r in found if r.doc_id == 16} == {2}
     base = {r.score for r in found if r.doc_id in (0, 1, 2)}
     assert len(base) == 1
@@ -68,8 +69,9 @@ def test_bpe_table(awkward, nothing, crowded):
     path = queries.tokenizer_path()
     for r in bpe.encode_decode(awkward, path, ["doc_id", "text"]).collect():
         assert r.decoded == (r.text or "")
-    digest = bpe.encode_decode(crowded, path, ["doc_id", "text", "n"], digest=True).collect()
+    digest = bpe.encode_decode(crowded, path, ["doc_id", "text", "n", "n_tokens"], digest=True).collect()
     assert all(r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest() for r in digest)
+    assert bpe.encode_decode(crowded, path, ["doc_id", "ids"]).count() == crowded.count()
     assert bpe.encode_decode(nothing, path, ["doc_id"]).count() == 0
 
 
@@ -105,7 +107,7 @@ def brute_tiles(item, text, least):
 
 def test_tiles_cover_as_brute_force_does():
     r = random.Random(2)
-    for _ in range(60):
+    for _ in range(300):
         item = [r.randrange(3) for _ in range(r.randrange(3, 25))]
         text = [r.randrange(3) for _ in range(r.randrange(3, 40))]
         ours = decontam.tile(np.array(item, np.uint64), np.array(text, np.uint64), 3)
@@ -114,11 +116,10 @@ def test_tiles_cover_as_brute_force_does():
         covered = [i for p, _, n in ours for i in range(p, p + n)]
         assert len(set(covered)) == len(covered)
         theirs = brute_tiles(item, text, 3)
-        assert max((n for *_, n in ours), default=0) == max((n for *_, n in theirs), default=0)
-        assert bool(ours) == bool(theirs)
+        assert sorted(n for *_, n in ours) == sorted(n for *_, n in theirs)
 
 
-def test_contamination(spark, awkward, nothing):
+def test_contamination(spark, awkward, nothing, crowded, monkeypatch):
     r = random.Random(4)
     item = [f"b{r.randrange(999)}" for _ in range(40)]
     noise = lambda n: [f"z{r.randrange(9999)}" for _ in range(n)]
@@ -134,11 +135,50 @@ def test_contamination(spark, awkward, nothing):
     tests = spark.createDataFrame([(0, " ".join(item)), (1, "too short"), (2, None), (3, "")], "item_id long, text string")
     found = {(x.doc_id, x.item_id): x for x in decontam.contaminated(table, tests).collect()}
     assert set(found) == {(1, 0), (2, 0), (5, 0), (6, 0)} and found[2, 0].n_tiles == 2 and found[1, 0].coverage == 1.0
-    blocks = decontam.contaminated(table, tests, block_bytes=200).collect()
-    assert {(x.doc_id, x.item_id) for x in blocks} == set(found)
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 0)
+    assert {(x.doc_id, x.item_id) for x in decontam.contaminated(table, tests).collect()} == set(found)
     assert {x.doc_id for x in decontam.decontaminate(table, tests).collect()} == {3, 4}
     assert decontam.contaminated(nothing, tests).count() == 0 == decontam.contaminated(awkward, tests.limit(0)).count()
     assert decontam.decontaminate(awkward, tests).count() == awkward.count()
+    assert decontam.contaminated(crowded, tests).count() == 0 and decontam.decontaminate(crowded, tests).columns == crowded.columns
+
+
+def brute_coverage(item: str, text: str, least: int) -> tuple[int, int]:
+    tokens = lambda x: re.findall(r"[^\W_]+", (x or "").lower())
+    tiles = brute_tiles(tokens(item), tokens(text), least)
+    return len(tokens(item)), sum(n for *_, n in tiles)
+
+
+def test_contamination_is_that_of_brute_force_tiling(spark):
+    """Reordered, cut and repeated passages over few words, repeated rows and items, and a seed that all documents share."""
+    r = random.Random(9)
+    pool = [f"w{i}" for i in range(12)]
+    items = [(i, " ".join(r.choice(pool) for _ in range(r.randrange(3, 30)))) for i in range(12)]
+    rows = []
+    for d in range(60):
+        parts = ["w0 w1 w2 w3 w4"]
+        for _ in range(r.randrange(3)):
+            words = r.choice(items)[1].split()
+            a = r.randrange(len(words))
+            parts += [" ".join(words[a:]), "x" * r.randrange(1, 3), " ".join(words[:a])]
+        r.shuffle(parts)
+        rows.append((d, " ".join(parts)))
+    rows, items = [*rows, rows[5]], [*items, items[3]]
+    docs, tests = spark.createDataFrame(rows, "doc_id long, text string").repartition(5), spark.createDataFrame(items, "item_id long, text string")
+    want = []
+    for d, text in rows:
+        for i, item in items:
+            n, covered = brute_coverage(item, text, 5)
+            if n and covered and covered >= 0.6 * n:
+                want.append((d, i, n, covered))
+    found = [(x.doc_id, x.item_id, x.n_tokens, x.n_covered) for x in decontam.contaminated(docs, tests).collect()]
+    assert sorted(found) == sorted(want) and len(want) > 20
+
+
+def test_tiling_a_long_text_of_few_words_is_quick():
+    r = np.random.default_rng(3)
+    item, text = r.integers(1, 4, 100).astype(np.uint64), r.integers(1, 4, 32_000).astype(np.uint64)
+    assert sum(n for *_, n in decontam.tile(item, text)) > 60
 
 
 def test_planted_benchmark_passages(spark, data):
@@ -155,7 +195,44 @@ def test_patience_alignment():
     assert licenses.align([], [1]) == [] and licenses.align([1, 1, 2], [1, 1, 3]) == [(0, 0), (1, 1)]
 
 
-def test_license_scan(spark, awkward, nothing):
+def brute_copies(template: list, tokens: list) -> int:
+    """How many whole copies of a template stand in a text, back to back or apart."""
+    n = at = 0
+    while at + len(template) <= len(tokens):
+        whole = tokens[at : at + len(template)] == template
+        n, at = n + whole, at + (len(template) if whole else 1)
+    return n
+
+
+@pytest.mark.parametrize("name", ["Apache-2.0", "Apache-2.0-header", "MIT-text", "BSD", "MIT", "Zlib"])
+def test_copies_of_a_license_are_told_apart(name):
+    words = re.findall(r"[^\W_]+", licenses.TEMPLATES[name].lower())
+    code = {w: i + 1 for i, w in enumerate(sorted(set(words)))}
+    template, r = [code[w] for w in words], random.Random(3)
+    needed = max(1, len(set(template)) - int(0.2 * len(template) + 1e-9))
+    for copies in (0, 1, 2, 3, 6):
+        for gap in (0, 1, len(template) // 4, len(template), 3 * len(template)):
+            text = []
+            for _ in range(copies):
+                text += [r.choice([1, 2, 999]) if gap < 9 else 999 for _ in range(gap)] + template
+            found = licenses._places(template, np.array(text, np.uint64), needed, 0.8)
+            assert len(found) == copies == brute_copies(template, text)
+    changed = list(template)
+    changed[len(changed) // 2] = 999
+    found = licenses._places(template, np.array(changed * 4, np.uint64), needed, 0.8)
+    assert [n for n, _, _ in found] == [len(template) - 1] * 4
+
+
+def test_bank_from_a_folder(spark, tmp_path):
+    (tmp_path / "Own-1.0.txt").write_text("you may use this thing as you like but never sell it to anybody else")
+    bank = licenses.read_bank(spark, str(tmp_path))
+    docs = spark.createDataFrame([(1, "x y You may use this thing, as you like; but never sell it to anybody else! z")], "doc_id long, text string")
+    assert list(bank) == ["Own-1.0"] and [r.license for r in licenses.scan(docs, bank).collect()] == ["Own-1.0"]
+    with pytest.raises(ValueError):
+        licenses.read_bank(spark, str(tmp_path), most_bytes=3)
+
+
+def test_license_scan(spark, awkward, nothing, crowded):
     gone = "noise " * 50
     texts = {
         1: licenses.TEMPLATES["MIT-text"],
@@ -167,6 +244,7 @@ def test_license_scan(spark, awkward, nothing):
     found = {(r.doc_id, r.license): r for r in licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
     assert {(1, "MIT-text"), (2, "BSD"), (3, "MIT")} <= set(found) and found[3, "MIT"].n_places == 2
     assert {d for d, _ in found} == {1, 2, 3} and 0.8 <= found[2, "BSD"].coverage < 1
+    assert licenses.scan(crowded).count() == licenses.scan(awkward).count()
     assert licenses.scan(nothing).count() == 0 and {r.doc_id for r in licenses.scan(awkward).collect()} == {15}
 
 
@@ -195,7 +273,7 @@ def test_quality_on_rows_outside_the_sample(spark, data):
 def test_quality_of_odd_tables(spark, awkward, nothing, crowded):
     labels = spark.createDataFrame([(9, 1, 0), (12, 0, 0), (None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
     model = ordinal.fit(ordinal.graded_rows(awkward, labels), grades=3)
-    rows = ordinal.grade(crowded.drop("kept"), model, ["doc_id", "n"]).collect()
+    rows = ordinal.grade(crowded, model, ["doc_id", "n", "kept", "tail_prob"]).collect()
     assert len(rows) == crowded.count() and not any(r.kept for r in rows if r.doc_id in (0, 1, 2))
     assert all(0 <= r.tail_prob <= 1 and 0 <= r.expected_grade <= 2 for r in rows)
     assert ordinal.grade(nothing, model, ["doc_id"]).count() == 0
