@@ -12,8 +12,8 @@ Spark deals the documents; a task keeps the codes of the words it has met, at
 most ``CACHE_WORDS`` of them.  Whole texts are encoded and nothing is shuffled.
 
 Defined cases: a null text is encoded as the empty text, which has no tokens;
-the text of a special token becomes that token; long texts, repeated rows and
-extra columns change nothing; an empty table gives no rows.
+the text of a special token becomes that token; long texts and repeated rows change
+nothing; extra columns with the name of an output are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -190,10 +190,11 @@ DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def encode_decode(docs: DataFrame, path: str, columns: list[str], text: str = "text", digest: bool = False) -> DataFrame:
-    """The given columns, then the ids and the decoded text, or with `digest` their count and hashes."""
+    """The given columns but those with the name of an output, then the ids and the decoded text, or with `digest` their count and hashes."""
     from pyspark.sql import functions as F
 
-    source = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text}`").cast("string").alias("__text"))
+    made_here = T._parse_datatype_string(DIGEST if digest else FULL).fieldNames()
+    source = docs.select(*[F.col(f"`{c}`") for c in columns if c not in made_here], F.col(f"`{text}`").cast("string").alias("__text"))
     schema = T.StructType([*source.schema.fields[:-1], *T._parse_datatype_string(DIGEST if digest else FULL).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

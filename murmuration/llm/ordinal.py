@@ -11,7 +11,8 @@ Arrow tasks, shuffles nothing and ships a table of fixed size to the tasks.
 
 Defined cases: null and empty texts have no features and score 0, so they get the
 prior's grade but are never kept; repeated rows get equal grades; extra columns
-are carried; grades with no rows keep their order; an empty table gives no rows.
+are carried, but for those with the name of an output, which are replaced; of equal
+hashes the smaller id enters the sample first; grades with no rows keep their order; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import types as T
 from murmuration.llm import kernel
 
 BITS, SAMPLE, STEPS = 18, 6_000, 120
+MADE = ("expected_grade", "tail_prob", "kept")
 
 _CLASS = np.zeros(256, np.int64)
 _CLASS[65:91] = 1  # upper case
@@ -133,8 +135,8 @@ def fit_arrays(at: np.ndarray, first: np.ndarray, grade: np.ndarray, grades: int
 
 
 def grade(docs: DataFrame, model: Model, columns: list[str], text: str = "text", tail: int = 1, least: float = 0.5) -> DataFrame:
-    """The given columns, then expected_grade, tail_prob = P(grade >= tail), and kept = tail_prob >= least with a word in the text."""
-    source = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text}`").cast("string").alias("__text"))
+    """The given columns but those with the name of an output, then expected_grade, tail_prob = P(grade >= tail), and kept = tail_prob >= least with a word in the text."""
+    source = docs.select(*[F.col(f"`{c}`") for c in columns if c not in MADE], F.col(f"`{text}`").cast("string").alias("__text"))
     schema = T.StructType([*source.schema.fields[:-1], *T._parse_datatype_string("expected_grade double, tail_prob double, kept boolean").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,8 +13,10 @@ the frequency and odds tests reach the driver.  Scoring covers every whole text,
 shuffles nothing and broadcasts only the fitted lexicon of `TERMS` terms at most.
 
 Defined cases: null and empty texts have no hits and get the model's base score;
-repeated rows get equal scores; extra columns are carried; with no toxic training
-rows the fixed list alone scores; an empty table gives no rows.
+repeated rows get equal scores; extra columns are carried, but for those with the
+name of an output, which are replaced; rows without an id are scored, and never
+learned from; of equal hashes the smaller id enters the sample first; with no toxic
+training rows the fixed list alone scores; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ from pyspark.sql import types as T
 SAMPLE, TERMS = 12_000, 4_000
 LEAST_ODDS, LEAST_ROWS, LEAST_SHARE = 3.5, 4, 0.004
 STEM = range(4, 9)
+MADE = ("score", "hits", "weight", "predicted")
 
 # English insults, and phrases in which they are harmless.
 INSULTS = """
@@ -205,8 +208,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60
 
 
 def score(docs: DataFrame, model: Model, columns: list[str], text: str = "text", threshold: float = 0.7) -> DataFrame:
-    """The given columns of every document, then score, hits, weight and predicted."""
-    source = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text}`").cast("string").alias("__text"))
+    """The given columns of every document but those with the name of an output, then score, hits, weight and predicted."""
+    source = docs.select(*[F.col(f"`{c}`") for c in columns if c not in MADE], F.col(f"`{text}`").cast("string").alias("__text"))
     schema = T.StructType([*source.schema.fields[:-1], *T._parse_datatype_string("score double, hits int, weight double, predicted int").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,8 +228,8 @@ def score(docs: DataFrame, model: Model, columns: list[str], text: str = "text",
 
 
 def held_out() -> F.Column:
-    """The rows that no model learns from: crc32 of the id as text, modulo 3, is 1."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    """The rows that no model learns from: crc32 of the id as text, modulo 3, is 1; a row without an id is not one of them."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -234,7 +237,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
     The sample is drawn from the labels alone, by a hash of the id, so only its own texts are moved.
     """
-    known = labels.where(~held_out() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.where(F.col("doc_id").isNotNull() & ~held_out() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     halves = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2) for y in (1, 0)]
     chosen = halves[0].unionByName(halves[1])
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `sample` rows of two numbers at most

@@ -39,4 +39,4 @@ def crowded(awkward):
     """Extra columns with names that operators use for their own results."""
     from pyspark.sql import functions as F
 
-    return awkward.withColumns({c: F.lit(1) for c in ("size", "shard", "slot", "text_crc32", "n", "h", "key", "low", "a", "b", "s", "n_lines", "n_runs", "n_removed_lines", "kept", "score", "hits", "item_id", "label", "quality")})
+    return awkward.withColumns({c: F.lit(1) for c in ("size", "shard", "slot", "text_crc32", "n", "h", "key", "low", "a", "b", "s", "n_lines", "n_runs", "n_removed_lines", "kept", "score", "hits", "item_id", "label", "quality", "hits", "weight", "predicted", "expected_grade", "tail_prob", "n_tokens", "ids", "n_bytes", "n_removed", "license", "coverage", "item", "text_x")})
