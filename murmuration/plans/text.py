@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from murmuration.functions import language as L
 from murmuration.functions import text as X
 from murmuration.operators import behaviour, similarity
 from murmuration.plans.registry import query
@@ -105,7 +106,7 @@ def _profile_sql() -> str:
     parts = []
     for lang, known in X.PROFILES.items():
         words = ", ".join(f"'{w}'" for w in known.split())
-        bonus = f" + CASE WHEN regexp_matches(lower(text), '{X.DIACRITICS[lang][0]}') THEN 0.1::DOUBLE ELSE 0 END" if lang in X.DIACRITICS else ""
+        bonus = f" + CASE WHEN regexp_matches(array_to_string(w, ' '), '{X.DIACRITICS[lang][0]}') THEN 0.1::DOUBLE ELSE 0 END" if lang in X.DIACRITICS else ""
         parts.append(f"round(len(list_filter(w, lambda x: x IN ({words}))) / greatest(len(w), 1)::DOUBLE{bonus}, 4) AS {lang}_score")
     return f"WITH p AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[a-zà-ÿ0-9'']+') AS w FROM documents) SELECT doc_id, {', '.join(parts)} FROM p"
 
@@ -115,6 +116,36 @@ def language_profile(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", *[F.round(v, 4).alias(f"{k}_score") for k, v in X.profile_scores(F.col("text")).items()])
 
 
+def _verdict_sql() -> str:
+    names = list(X.SCRIPTS)
+    counts = ", ".join(f"len(regexp_replace(l, '[^{block}]', '', 'g')) AS n_{k}" for k, block in X.SCRIPTS.items())
+    most = f"greatest({', '.join(f'n_{k}' for k in names)}, n_other)"
+    script = "CASE WHEN len(l) = 0 THEN 'unknown' " + " ".join(f"WHEN n_{k} = {most} THEN '{k}'" for k in names) + " ELSE 'other' END"
+    mixed = " + ".join(f"(n_{k} / greatest(len(l), 1)::DOUBLE > 0.15)::INT" for k in [*names, "other"])
+    known = {k: v.split() for k, v in (X.PROFILES | L.ROMANISED).items()}
+    bonus = {k: f" + CASE WHEN regexp_matches(j, '{v[0]}') THEN {v[1]}::DOUBLE ELSE 0 END" for k, v in X.DIACRITICS.items()}
+    bonus["fr"] = " + CASE WHEN regexp_matches(j, '[éèêàçùœ]') AND contains(text, chr(39)) THEN 0.05::DOUBLE ELSE 0 END"
+    d = L.DIGITS
+    bonus["ar-latn"] = f" + 0.15::DOUBLE * len(regexp_extract_all(a, '[a-zA-Z]{d}[a-zA-Z]|\\b{d}[a-zA-Z]{{2,}}|[a-zA-Z]{{2,}}{d}\\b')) / n"
+    listed = lambda words: ", ".join(f"'{w}'" for w in words)
+    scores = ", ".join(f"{{'minus': -(len(list_filter(w, lambda x: x IN ({listed(v)}))) / n{bonus.get(k, '')}), 'i': {i}, 'lang': '{k}'}}" for i, (k, v) in enumerate(known.items()))
+    of = lambda k: f"-list_filter(r, lambda x: x.lang = '{k}')[1].minus"
+    fixed = lambda at: " ".join(f"WHEN '{k}' THEN {v[at]!r}" for k, v in L.SCRIPT_VERDICT.items())
+    return f"""WITH t AS (SELECT doc_id, text, regexp_replace(text, '[^\\pL]', '', 'g') AS l, regexp_extract_all(lower(text), '[a-zà-ÿ0-9'']+') AS w, regexp_replace(regexp_replace(text, '[^\\x00-\\x7F\\pL\\pN]', ' ', 'g'), '[^\\x00-\\x7F]', '_', 'g') AS a FROM documents),
+ c AS (SELECT *, {counts} FROM t), o AS (SELECT *, len(l) - ({' + '.join(f'n_{k}' for k in names)}) AS n_other, array_to_string(w, ' ') AS j, greatest(len(w), 1)::DOUBLE AS n FROM c),
+ s AS (SELECT doc_id, {script} AS script, {mixed} > 1 AS mixed, list_sort([{scores}]) AS r FROM o),
+ v AS (SELECT *, -r[1].minus AS best, r[1].lang AS top, script NOT IN ({listed(L.SCRIPT_VERDICT)}) AS latin, contains(r[1].lang, '-') AND r[1].minus < 0 AS roman FROM s)
+ SELECT doc_id, CASE script {fixed(0)} ELSE CASE WHEN best = 0 THEN 'en' ELSE string_split(top, '-')[1] END END AS language,
+ round(CASE script {fixed(1)} ELSE CASE WHEN best = 0 THEN 0.3::DOUBLE ELSE least(0.99::DOUBLE, 0.5::DOUBLE + best + (best + r[2].minus)) END END::DOUBLE, 4) AS confidence, script, latin AND roman AS romanised,
+ mixed OR (latin AND ((roman AND {of('en')} > 0.08) OR (top = 'en' AND ({of('hi-latn')} > 0.08 OR {of('ar-latn')} > 0.08)))) AS code_switched FROM v"""
+
+
+@query(_verdict_sql())
+def language_verdict(spark: SparkSession, d: str) -> DataFrame:
+    verdict = L.detect(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", verdict.alias("v")).select("doc_id", F.col("v.lang").alias("language"), "v.confidence", "v.script", "v.romanised", "v.code_switched")
+
+
 def _dialect_sql() -> str:
     cue = lambda words: "len(regexp_extract_all(' ' || regexp_replace(regexp_replace(lower(text), '[^\\pL\\pN_'']', ' ', 'g'), ' ', '  ', 'g') || ' ', ' (" + "|".join(w.replace("'", "''").replace(" ", "  ") for w in words) + ") '))"
     counts = ", ".join(f"{cue(v)} AS {k}" for k, v in X.CUES.items())

@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import random
 import re
 import unicodedata
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,9 +67,17 @@ def test_obfuscation_score(spark):
     assert spark.range(1).select(score.alias("x")).first().x == 1.0
 
 
-@pytest.mark.parametrize("a, b, most, expected", [("ab", "ba", 2, 1), ("kitten", "sitting", 3, 3), ("abc", "abcdef", 2, 3), ("", "", 1, 0)])
-def test_osa(a, b, most, expected):
-    assert X.osa_distance(a, b, most) == expected
+@pytest.mark.parametrize("a, b, expected", [("ab", "ba", 1), ("kitten", "sitting", 3), ("abc", "abcdef", 3), ("", "", 0)])
+def test_osa(a, b, expected):
+    assert X.swap_distances(pd.Series([a]), pd.Series([b])).tolist() == [expected]
+
+
+def test_swap_distances_equal_brute_force():
+    r = random.Random(1)
+    word = lambda: "".join(r.choice("abcß漢") for _ in range(r.randrange(8)))
+    pairs = [(word(), word()) for _ in range(400)]
+    found = X.swap_distances(pd.Series([a for a, _ in pairs]), pd.Series([b for _, b in pairs]))
+    assert found.tolist() == [brute_edits(a, b) for a, b in pairs]
 
 
 def test_fuzzy_hits(spark):
@@ -92,8 +102,23 @@ def test_language_verdicts(spark):
     found = {r.i: r.v for r in rows.collect()}
     assert [found[i].lang for i in range(6)] == ["en", "ru", "und", "hi", "ar", "de"]
     assert found[3].romanised and found[4].romanised and not found[0].romanised and found[5].confidence > 0.6
-    moved = {r.i: r.x for r in rows.select("i", L.transliterate(F.col("t"), F.col("v.lang"), F.coalesce(F.col("v.romanised"), F.lit(False))).alias("x")).collect()}
-    assert moved[0] == texts[0] and "यार" in moved[3] and moved[4].startswith("أنا") and moved[6] is None
+    moved = L.transliterate(F.col("t"), F.col("v.lang"), F.coalesce(F.col("v.romanised"), F.lit(False)), {"yaar": "यार"}, {"ana": "أنا"})
+    moved = {r.i: r.x for r in rows.select("i", moved.alias("x")).collect()}
+    assert moved[0] == texts[0] and "यार kya" in moved[3] and moved[6] is None
+    assert moved[4] == "أنا mesh عايز الكالب da"
+
+
+def test_marks_outside_words_give_no_bonus(spark):
+    rows = spark.createDataFrame([("¿the ¡and",), ("señor",)], "t string").select(X.profile_scores(F.col("t"))["es"].alias("es")).collect()
+    assert [r.es for r in rows] == [0.0, 0.1]
+
+
+def test_segments_take_the_commonest_words():
+    from murmuration.functions import language as L
+
+    costs = L.word_costs(["the", "a", "now", "here", "nowhere", "war", "stop"])
+    found = {w: L.segment(w, costs) for w in ("stopthewar", "nowhere", "stopxyzthe", "qqqqzzzz", "ab", "स्टॉप", "THEwar")}
+    assert found == {"stopthewar": "stop the war", "nowhere": "nowhere", "stopxyzthe": "stop xyz the", "qqqqzzzz": "qqqqzzzz", "ab": "ab", "स्टॉप": "स्टॉप", "THEwar": "the war"}
 
 
 def test_emoji_and_hashtags(spark):
