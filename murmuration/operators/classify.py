@@ -1,14 +1,14 @@
 """Rule-based classification of texts: rule bank, group terms, scores, targets, attribution, thread context.
 
-The bank and the lexicon are small tables of our own placeholder terms; both can be
-extended.  Matching runs in Arrow batches with patterns compiled once per worker;
-everything after it is column arithmetic.
+The bank is made from frames and word lists of our own, the lexicon holds placeholder
+terms; both are parameters and can be extended.  Matching runs in Arrow batches with
+patterns compiled once per worker; everything after it is column arithmetic.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -43,7 +43,7 @@ class Term:
 
 @dataclass
 class Lexicon:
-    """Rules may hold {G}, which stands for any group term."""
+    """Rules may hold {G}, which stands for any group term, and ~ for what is between two words."""
 
     rules: list[Rule] = field(default_factory=list)
     terms: list[Term] = field(default_factory=list)
@@ -57,17 +57,38 @@ class Lexicon:
         return "|".join(re.escape(t.term) for t in sorted(self.terms, key=lambda t: (-len(t.term), t.term)))
 
 
+INSULTS = "idiot moron imbecile fool clown loser trash scum scumbag vermin filth".split()
+ADJECTIVES = "stupid worthless pathetic disgusting useless dumb filthy".split()
+CREATURES = "rats vermin insects parasites animals cockroaches dogs pigs".split()
+HARMS = "attack destroy remove hurt crush expel deport".split()
+
+#: (category, weight, targeted, frame, words of {w}): a frame makes one rule of each word.
+FRAMES = [
+    ("offensive", 0.4, False, "{w}s?", INSULTS),
+    ("offensive", 0.35, False, "{w}", ADJECTIVES),
+    ("harassment", 0.6, False, "you~(?:are~)?(?:an?~)?(?:such~)?(?:an?~)?{w}s?", INSULTS),
+    ("harassment", 0.55, False, r"you~{w}~\w+", ADJECTIVES),
+    ("harassment", 0.5, False, "{w}~(?:people|person|man|woman)", ADJECTIVES),
+    ("harassment", 0.7, False, "(?:nobody|no~one)~{w}~you", "likes loves wants needs misses".split()),
+    ("dehumanization", 0.7, True, "{G}~are~(?:just~|nothing~but~)?{w}", CREATURES),
+    ("dehumanization", 0.6, True, "{w}~like~{G}", CREATURES),
+    ("stereotype", 0.5, True, r"all~{G}~{w}~\w+", "are do want steal lie".split()),
+    ("stereotype", 0.45, True, "{G}~(?:always|never|only)~{w}", "work lie steal cheat pay".split()),
+    ("incitement", 0.9, True, "{w}~(?:all~)?(?:the~|those~)?{G}", HARMS),
+    ("incitement", 0.8, True, "{G}~(?:must|should)~be~{w}(?:e?d|ed)?", HARMS),
+    ("counterspeech", 0.6, False, "(?:stop|report|condemn|end)~(?:the~|this~)?{w}", "hate abuse racism violence bullying".split()),
+    ("counterspeech", 0.4, False, "{w}~is~(?:wrong|not~ok|unacceptable)", "this hate that racism".split()),
+]
+
+
+def bank(frames: list[tuple] | None = None) -> list[Rule]:
+    """A rule of each word of each frame."""
+    return [Rule(category, weight, frame.replace("{w}", word), targeted) for category, weight, targeted, frame, words in frames or FRAMES for word in words]
+
+
 def placeholder_lexicon() -> Lexicon:
-    rules = [
-        Rule("stereotype", 0.5, r"all {G} are \w+", True),
-        Rule("dehumanization", 0.7, r"{G} are (?:vermin|animals|parasites)", True),
-        Rule("harassment", 0.6, r"you (?:stupid|worthless|pathetic) \w+"),
-        Rule("incitement", 0.9, r"(?:attack|destroy|remove) (?:all )?{G}", True),
-        Rule("offensive", 0.4, r"(?:idiot|moron|trash|scum|loser|clown|disgusting)s?"),
-        Rule("counterspeech", 0.6, r"(?:report|stop|condemn) (?:the )?(?:hate|abuse)"),
-    ]
     terms = [Term(f"group{x}", c, f"label{x}") for x, c in (("a", "ethnicity"), ("b", "religion"), ("c", "nationality"))]
-    return Lexicon(rules, [*terms, Term("slurx", "ethnicity", "labela", 0.8), Term("slury", "religion", "labelb", 0.8, True)])
+    return Lexicon(bank(), [*terms, Term("slurx", "ethnicity", "labela", 0.8), Term("slury", "religion", "labelb", 0.8, True)])
 
 
 def _edges(pattern: str) -> str:
@@ -77,7 +98,7 @@ def _edges(pattern: str) -> str:
 def matches(texts: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
     """All columns, then `matches`: every non-empty rule match and every longest group term, with its place."""
     group = f"(?:{lexicon.alternation()})" if lexicon.terms else r"(?!x)x"
-    specs = [(r.category, r.weight, _edges(r.pattern.replace("{G}", group)), r.targeted) for r in lexicon.rules]
+    specs = [(r.category, r.weight, _edges(r.pattern.replace("{G}", group).replace("~", r"[\W_]+")), r.targeted) for r in lexicon.rules]
     known = {t.term.lower(): t for t in lexicon.terms}
 
     @F.pandas_udf(MATCHES)
@@ -140,7 +161,7 @@ def targets() -> Column:
 
 
 def attributions(classified: DataFrame, text: str = "text") -> DataFrame:
-    """Adds `attributions` (token, start, weight) and `top_positive`: each token has its strongest overlapping match's signed weight, scaled to [-1, 1]."""
+    """Adds `attributions` (token, start, end, weight) and `top_positive`: each token has its strongest overlapping match's signed weight, scaled to [-1, 1]."""
 
     @F.pandas_udf("array<struct<token:string,start:int,end:int>>")
     def split(texts: pd.Series) -> pd.Series:
@@ -152,17 +173,34 @@ def attributions(classified: DataFrame, text: str = "text") -> DataFrame:
         signed = F.transform(over, lambda m: F.when(m["category"] == "counterspeech", -m["weight"]).when(m["label"].isNotNull() & ~m["slur"], F.when(F.col("toxicity") >= 0.3, 0.2 * F.col("toxicity")).otherwise(0.0)).otherwise(m["weight"]))
         return F.aggregate(signed, F.lit(0.0), lambda a, w: F.when(F.abs(w) > F.abs(a), w).otherwise(a))
 
-    rows = classified.withColumn("__t", split(F.col(text))).withColumn("__w", F.transform("__t", lambda t: F.struct(t["token"].alias("token"), t["start"].alias("start"), weigh(t).alias("weight"))))
+    rows = classified.withColumn("__t", split(F.col(text))).withColumn("__w", F.transform("__t", lambda t: F.struct(t["token"].alias("token"), t["start"].alias("start"), t["end"].alias("end"), weigh(t).alias("weight"))))
     most = F.greatest(F.coalesce(F.array_max(F.transform("__w", lambda x: F.abs(x["weight"]))), F.lit(0.0)), F.lit(1e-12))
-    scaled = rows.withColumn("attributions", F.transform("__w", lambda x: F.struct(x["token"].alias("token"), x["start"].alias("start"), F.round(x["weight"] / most, 4).alias("weight")))).drop("__t", "__w")
+    scaled = rows.withColumn("attributions", F.transform("__w", lambda x: F.struct(x["token"].alias("token"), x["start"].alias("start"), x["end"].alias("end"), F.round(x["weight"] / most, 4).alias("weight")))).drop("__t", "__w")
     best = F.array_sort(F.transform(F.filter("attributions", lambda x: x["weight"] > 0), lambda x: F.struct((-x["weight"]).alias("minus"), x["start"].alias("start"), x["token"].alias("token"))))
     return scaled.withColumn("top_positive", F.slice(F.array_distinct(F.transform(best, lambda x: x["token"])), 1, 8))
 
 
-def merge_attributions(a: Column, b: Column, share: float = 0.6) -> Column:
-    """Two attribution lists of one text, blended by place: `share` of a and the rest of b."""
-    other = F.map_from_entries(F.transform(b, lambda x: F.struct(x["start"].alias("key"), x["weight"].alias("value"))))
-    return F.transform(a, lambda x: F.struct(x["token"].alias("token"), x["start"].alias("start"), F.round(share * x["weight"] + (1 - share) * F.coalesce(F.try_element_at(other, x["start"]), F.lit(0.0)), 4).alias("weight")))
+def merge_attributions(a: Column, b: Column, same_text: Column, share: float = 0.6) -> Column:
+    """Two attribution lists blended by place: `share` of a and the rest of b; a alone if they are of different texts."""
+    place = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))
+    other = F.map_from_entries(F.transform(b, lambda x: F.struct(place(x).alias("key"), x["weight"].alias("value"))))
+    blend = lambda x: F.round(share * x["weight"] + (1 - share) * F.coalesce(F.try_element_at(other, place(x)), F.lit(0.0)), 4)
+    both = F.transform(a, lambda x: F.struct(x["token"].alias("token"), x["start"].alias("start"), x["end"].alias("end"), blend(x).alias("weight")))
+    return F.when(same_text, both).otherwise(a)
+
+
+def scored_by(texts: DataFrame, scorer: Callable[[Column], Column], text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """Adds `score` and `flagged` of any scorer from a text column to numbers: a column expression or a pandas UDF."""
+    return texts.withColumn("score", scorer(F.col(text)).cast("double")).withColumn("flagged", F.col("score") >= threshold)
+
+
+def backend(name: str, lexicon: Lexicon | None = None, scorer: Callable[[Column], Column] | None = None, text: str = "text") -> Callable[[DataFrame], DataFrame]:
+    """The strategy that adds `toxicity`: `rules` classifies by a lexicon, `scorer` by a function of the text."""
+    if name == "rules":
+        return lambda texts: classify(matches(texts, lexicon or placeholder_lexicon(), text))
+    if name == "scorer" and scorer is not None:
+        return lambda texts: scored_by(texts, scorer, text).withColumnRenamed("score", "toxicity")
+    raise ValueError(f"no backend {name}, or no scorer for it")
 
 
 def with_parents(classified: DataFrame, key: str, parent: str) -> DataFrame:

@@ -31,7 +31,7 @@ def _task_a() -> dict:
     return S.task_a(*[F.col(c) for c in CATEGORIES], F.col("has_target"), F.col("explicit_group"), F.col("obfuscation"))
 
 
-TASK_A = f"""{INPUTS}, h AS (SELECT *, greatest(harassment, dehumanization, 0.9::DOUBLE * stereotype) AS host FROM x),
+TASK_A_STEPS = """h AS (SELECT *, greatest(harassment, dehumanization, 0.9::DOUBLE * stereotype) AS host FROM x),
  r AS (SELECT *, CASE WHEN explicit_group THEN host WHEN has_target THEN 0.75::DOUBLE * host ELSE 0.55::DOUBLE * host END * (1 - 0.75::DOUBLE * counterspeech) AS hate0,
  CASE WHEN explicit_group OR incitement >= 0.9 THEN incitement ELSE 0.6::DOUBLE * incitement END * (1 - 0.75::DOUBLE * counterspeech) AS ve0,
  CASE WHEN has_target THEN offensive ELSE greatest(offensive, 0.5::DOUBLE * host) END * (1 - 0.4::DOUBLE * counterspeech) AS off FROM h),
@@ -39,6 +39,7 @@ TASK_A = f"""{INPUTS}, h AS (SELECT *, greatest(harassment, dehumanization, 0.9:
  CASE WHEN obfuscation > 0 AND (hate0 > 0.2 OR ve0 > 0.2) THEN least(1.0, ve0 * (1 + 0.15::DOUBLE * obfuscation)) ELSE ve0 END::DOUBLE AS ve FROM r),
  m AS (SELECT *, 1 - greatest(ve, hate, off) AS m0, off * (1 - greatest(hate, ve)) AS m1, hate * (1 - 0.5::DOUBLE * ve) AS m2, ve AS m3 FROM b),
  a AS (SELECT *, m0 / (m0 + m1 + m2 + m3) AS non_toxic, m1 / (m0 + m1 + m2 + m3) AS offensive_p, m2 / (m0 + m1 + m2 + m3) AS hate_speech, m3 / (m0 + m1 + m2 + m3) AS violent_extremism FROM m)"""
+TASK_A = f"{INPUTS}, {TASK_A_STEPS}"
 
 
 @query(f"{TASK_A} SELECT post_id, round(non_toxic, 4) AS non_toxic, round(offensive_p, 4) AS offensive, round(hate_speech, 4) AS hate_speech, round(violent_extremism, 4) AS violent_extremism, round(1 - non_toxic, 4) AS toxicity_score FROM a")
@@ -58,9 +59,13 @@ def noisy_or(spark: SparkSession, d: str) -> DataFrame:
     return posts(spark, d).groupBy("author_id", "target").agg(F.round(S.noisy_or_agg(F.col("tox") / 50), 6).alias("strength"))
 
 
-@query(f"""{INPUTS}, c AS (SELECT *, incitement * least(1.0, tox / 0.4) AS g4 FROM x), c3 AS (SELECT *, greatest(g4, harassment * least(1.0, tox / 0.4)) AS g3 FROM c), c2 AS (SELECT *, greatest(g3, dehumanization * least(1.0, tox / 0.4)) AS g2 FROM c3),
- c1 AS (SELECT *, greatest(g2, stereotype * least(1.0, tox / 0.4), CASE WHEN has_target THEN 0.5::DOUBLE * tox ELSE 0 END) AS g1 FROM c2)
- SELECT post_id, CASE WHEN g4 >= 0.5 THEN 4 WHEN g3 >= 0.5 THEN 3 WHEN g2 >= 0.5 THEN 2 WHEN g1 >= 0.5 THEN 1 ELSE 0 END AS level, round(((g1 - g2) + 2 * (g2 - g3) + 3 * (g3 - g4) + 4 * g4) / ((1 - g1) + (g1 - g2) + (g2 - g3) + (g3 - g4) + g4) + 1e-9::DOUBLE, 4) AS expected_level FROM c1""")
+SEVERITY_STEPS = """c AS (SELECT *, incitement * least(1.0, tox / 0.4) AS g4 FROM x), c3 AS (SELECT *, greatest(g4, harassment * least(1.0, tox / 0.4)) AS g3 FROM c), c2 AS (SELECT *, greatest(g3, dehumanization * least(1.0, tox / 0.4)) AS g2 FROM c3),
+ c1 AS (SELECT *, greatest(g2, stereotype * least(1.0, tox / 0.4), CASE WHEN has_target THEN 0.5::DOUBLE * tox ELSE 0 END) AS g1 FROM c2)"""
+LEVEL = "CASE WHEN g4 >= 0.5 THEN 4 WHEN g3 >= 0.5 THEN 3 WHEN g2 >= 0.5 THEN 2 WHEN g1 >= 0.5 THEN 1 ELSE 0 END"
+
+
+@query(f"""{INPUTS}, {SEVERITY_STEPS}
+ SELECT post_id, {LEVEL} AS level, round(((g1 - g2) + 2 * (g2 - g3) + 3 * (g3 - g4) + 4 * g4) / ((1 - g1) + (g1 - g2) + (g2 - g3) + (g3 - g4) + g4) + 1e-9::DOUBLE, 4) AS expected_level FROM c1""")
 def severity_ordinal(spark: SparkSession, d: str) -> DataFrame:
     c = {n: F.col(n) for n in CATEGORIES}
     level, expected = S.severity(c["stereotype"], c["dehumanization"], c["harassment"], c["incitement"], F.col("tox"), F.col("has_target"))
