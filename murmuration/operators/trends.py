@@ -117,3 +117,10 @@ def event_lift(series: DataFrame, day: str, value: str, events: DataFrame, span:
     means = joined.groupBy(*events.columns).agg(F.coalesce(F.avg(F.when(F.col("offset") < 0, F.col("__v"))), F.lit(0.0)).alias("b"), F.coalesce(F.avg(F.when(F.col("offset") >= 0, F.col("__v"))), F.lit(0.0)).alias("a"))
     lift = F.when(F.col("b") > 0, (F.col("a") - F.col("b")) / F.col("b")).when(F.col("a") > 0, F.col("a")).otherwise(0.0)
     return means.select(*events.columns, F.round("b", 2).alias("before"), F.round("a", 2).alias("after"), F.round(lift, 3).alias("lift"))
+
+
+def pointed(series: DataFrame, at: str, many: int = 400) -> DataFrame:
+    """The series with `point`, its time as a day, or as a full timestamp from `many` points on."""
+    size = series.agg(F.count(F.lit(1)).alias("__points"))
+    name = F.when(F.col("__points") >= many, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(at, "yyyy-MM-dd"))
+    return series.crossJoin(F.broadcast(size)).withColumn("point", name).drop("__points")  # one row

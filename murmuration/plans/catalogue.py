@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from murmuration.plans import classification, evaluation, graph, relational, scoring, series, text
+from murmuration.plans import classification, evaluation, graph, moderation, relational, scoring, series, text
 from murmuration.plans.registry import PLANS, SQL, Plan
 
-MODULES = (relational, series, text, scoring, evaluation, graph, classification)
+MODULES = (relational, series, text, scoring, evaluation, graph, classification, moderation)
 
 
 def queries() -> dict[str, Plan]:
