@@ -61,6 +61,28 @@ def pairwise_jaccard(texts: DataFrame, key: str, text: str, order: str, most: in
     return sets.select(key, pairs.alias("p")).select(key, F.size("p").cast("long").alias("n_pairs"), F.coalesce(F.try_divide(F.aggregate("p", F.lit(0.0), lambda x, y: x + y), F.size("p")), F.lit(0.0)).alias("mean_jaccard"))
 
 
+def repetition(posts: DataFrame, author: str = "author_id", text: str = "text", order: str = "post_id", most: int = 40) -> DataFrame:
+    """(author, repetitiveness): the larger of the share of texts that repeat others and the mean similarity of the first `most` texts.
+
+    Distinct texts are counted by their hashes, so no author's texts are gathered.
+    """
+    seen = posts.groupBy(author).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.xxhash64(normalised(F.col(text)))).alias("kinds"))
+    alike = pairwise_jaccard(posts, author, text, order, most).select(author, "mean_jaccard")
+    both = seen.join(alike, author, "left")
+    return both.select(author, F.when(F.col("n") > 1, F.greatest(1 - F.col("kinds") / F.col("n"), F.coalesce("mean_jaccard", F.lit(0.0)))).otherwise(0.0).alias("repetitiveness"))
+
+
+def post_shares(posts: DataFrame, author: str = "author_id") -> DataFrame:
+    """(author, retweet_share, reply_share)."""
+    share = lambda c: F.avg(F.col(c).isNotNull().cast("double"))
+    return posts.groupBy(author).agg(share("retweeted_id").alias("retweet_share"), share("parent_id").alias("reply_share"))
+
+
+def rate(observed: Column, lifetime_posts: Column, age_days: Column) -> Column:
+    """Posts a day: the observed rate, or that over the account's life if it is higher."""
+    return F.greatest(observed, lifetime_posts / age_days)
+
+
 def bot_terms(features: dict[str, Column]) -> dict[str, Column]:
     """Each feature scaled to about [0, 1] and weighted."""
     logs = {"account_age_days": 3650, "posts_per_day": 200, "follower_following_ratio": 100}

@@ -105,7 +105,7 @@ def severity_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{P}, s AS (SELECT date_trunc('hour', created_at) AS hr, count(*) AS n FROM posts GROUP BY hr), k AS (SELECT count(*) AS points FROM s)
- SELECT strftime(hr, CASE WHEN points >= 400 THEN '%Y-%m-%dT%H:%M:%S' ELSE '%Y-%m-%d' END) AS point, sum(n)::BIGINT AS n FROM s, k GROUP BY point""")
+ SELECT CASE WHEN points >= 400 THEN strftime(hr, '%Y-%m-%dT%H:%M:%S') ELSE strftime(hr, '%Y-%m-%d') END AS point, sum(n)::BIGINT AS n FROM s, k GROUP BY point""")
 def series_points(spark: SparkSession, d: str) -> DataFrame:
     hourly = posts(spark, d).groupBy(F.date_trunc("hour", "created_at").alias("at")).agg(F.count(F.lit(1)).alias("n"))
     return trends.pointed(hourly, "at").groupBy("point").agg(F.sum("n").alias("n"))

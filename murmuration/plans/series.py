@@ -160,23 +160,33 @@ def account_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return behaviour.poisson_bootstrap(_account_rows(spark, d), as_of())
 
 
-FEATURES = f"""{GAPS.replace(P, with_views("posts", "authors"))}, x AS (SELECT a.author_id, greatest(1.0, 400 + a.author_id % 900)::DOUBLE AS age, f.per_day, (followers + 1) / (following + 1)::DOUBLE AS ff,
+FEATURES = f"""{GAPS.replace(P, with_views("posts", "authors"))}, said AS (SELECT author_id, post_id, target || ' ' || category || ' ' || CAST(k % 40 AS VARCHAR) || ' ' || CAST(severity AS VARCHAR) AS t FROM posts),
+ kinds AS (SELECT author_id, count(*) AS n, count(DISTINCT t) AS u FROM said GROUP BY author_id), firsts AS (SELECT author_id, row_number() OVER (PARTITION BY author_id ORDER BY post_id) AS i, list_distinct(string_split(t, ' ')) AS w FROM said QUALIFY i <= 40),
+ alike AS (SELECT a.author_id, avg(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE) AS j FROM firsts a JOIN firsts b ON a.author_id = b.author_id AND a.i < b.i GROUP BY a.author_id),
+ rep AS (SELECT k.author_id, CASE WHEN n > 1 THEN greatest(1 - u / n::DOUBLE, coalesce(j, 0)) ELSE 0 END::DOUBLE AS r FROM kinds k LEFT JOIN alike j ON j.author_id = k.author_id),
+ sh AS (SELECT author_id, avg(CASE WHEN retweeted_id IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END) AS rt, avg(CASE WHEN parent_id IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END) AS re FROM posts GROUP BY author_id), x AS (SELECT a.author_id, greatest(1.0, 400 + a.author_id % 900)::DOUBLE AS age, greatest(f.per_day, (a.author_id * 211 % 5000) / greatest(1.0, 400 + a.author_id % 900)::DOUBLE) AS per_day, rep.r AS rep, sh.rt AS rt, sh.re AS re, (followers + 1) / (following + 1)::DOUBLE AS ff,
  (CAST(location IS NOT NULL AS INTEGER) + 1 + CAST(NOT default_avatar AS INTEGER) + CAST(verified AS INTEGER)) / 5.0::DOUBLE AS prof, f.regularity AS reg,
- len(regexp_replace(username, '[^0-9]', '', 'g')) / len(username)::DOUBLE AS digits, CASE WHEN default_avatar THEN 1.0::DOUBLE ELSE 0 END AS ava, f.night AS night, f.burstiness AS burst FROM authors a JOIN f ON f.author_id = a.author_id),
+ len(regexp_replace(username, '[^0-9]', '', 'g')) / len(username)::DOUBLE AS digits, CASE WHEN default_avatar THEN 1.0::DOUBLE ELSE 0 END AS ava, f.night AS night, f.burstiness AS burst FROM authors a JOIN f ON f.author_id = a.author_id JOIN rep ON rep.author_id = a.author_id JOIN sh ON sh.author_id = a.author_id),
  terms AS (SELECT author_id, -1.4::DOUBLE * least(1.0, ln(1 + age) / ln(3651)) AS t_age, 1.6::DOUBLE * least(1.0, ln(1 + per_day) / ln(201)) AS t_day, -1.0::DOUBLE * least(1.0, ln(1 + ff) / ln(101)) AS t_ff, -1.3::DOUBLE * prof AS t_prof,
- 2.2::DOUBLE * reg AS t_reg, 1.2::DOUBLE * least(1.0, 2 * digits) AS t_dig, 0.9::DOUBLE * ava AS t_ava, 0.6::DOUBLE * night AS t_night, 0.8::DOUBLE * burst AS t_burst FROM x)"""
+ 2.2::DOUBLE * reg AS t_reg, 1.2::DOUBLE * least(1.0, 2 * digits) AS t_dig, 0.9::DOUBLE * ava AS t_ava, 0.6::DOUBLE * night AS t_night, 0.8::DOUBLE * burst AS t_burst, 2.4::DOUBLE * rep AS t_rep, 1.1::DOUBLE * rt AS t_rt, -0.3::DOUBLE * re AS t_re FROM x)"""
 
 
 def bot_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, dict]:
     """Authors with their timing, and the bot model's features over those columns."""
-    joined = authors(spark, d).join(behaviour.timing(posts(spark, d)).drop("n"), "author_id")
+    p = posts(spark, d)
+    texts = p.select("author_id", "post_id", F.concat_ws(" ", "target", "category", (F.col("k") % 40).cast("string"), F.col("severity").cast("string")).alias("text"))
+    joined = authors(spark, d).join(behaviour.timing(p).drop("n"), "author_id").join(behaviour.repetition(texts), "author_id").join(behaviour.post_shares(p), "author_id")
+    age = F.greatest(F.lit(1.0), (400 + F.col("author_id") % 900).cast("double"))
     profile = F.col("location").isNotNull().cast("int") + 1 + (~F.col("default_avatar")).cast("int") + F.col("verified").cast("int")
     features = {
-        "account_age_days": F.greatest(F.lit(1.0), (400 + F.col("author_id") % 900).cast("double")),
-        "posts_per_day": F.col("posts_per_day"),
+        "account_age_days": age,
+        "posts_per_day": behaviour.rate(F.col("posts_per_day"), F.col("author_id") * 211 % 5000, age),
         "follower_following_ratio": (F.col("followers") + 1) / (F.col("following") + 1),
         "profile_completeness": profile / 5.0,
         "timing_regularity": F.col("regularity"),
+        "content_repetitiveness": F.col("repetitiveness"),
+        "retweet_ratio": F.col("retweet_share"),
+        "reply_ratio": F.col("reply_share"),
         "username_digit_ratio": F.regexp_count("username", F.lit("[0-9]")) / F.length("username"),
         "default_avatar": F.col("default_avatar").cast("double"),
         "night_activity_ratio": F.col("night_share"),
@@ -185,14 +195,14 @@ def bot_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, dict]:
     return joined, features
 
 
-@query(f"{FEATURES} SELECT author_id, round(1 / (1 + exp(-(-2.4::DOUBLE + t_age + t_day + t_ff + t_prof + t_reg + t_dig + t_ava + t_night + t_burst))), 4) AS bot_probability FROM terms")
+@query(f"{FEATURES} SELECT author_id, round(1 / (1 + exp(-(-2.4::DOUBLE + t_age + t_day + t_ff + t_prof + t_reg + t_dig + t_ava + t_night + t_burst + t_rep + t_rt + t_re))), 4) AS bot_probability FROM terms")
 def bot_logistic(spark: SparkSession, d: str) -> DataFrame:
     joined, features = bot_inputs(spark, d)
     return joined.select("author_id", F.round(behaviour.bot_probability(features), 4).alias("bot_probability"))
 
 
 @query(f"""{FEATURES}, sig AS (SELECT author_id, unnest([{{'v': -t_age - 1.4::DOUBLE, 'k': 'account_age_days'}}, {{'v': t_day, 'k': 'posts_per_day'}}, {{'v': -t_ff - 1.0::DOUBLE, 'k': 'follower_following_ratio'}}, {{'v': -t_prof - 1.3::DOUBLE, 'k': 'profile_completeness'}},
- {{'v': t_reg, 'k': 'timing_regularity'}}, {{'v': t_dig, 'k': 'username_digit_ratio'}}, {{'v': t_ava, 'k': 'default_avatar'}}, {{'v': t_night, 'k': 'night_activity_ratio'}}, {{'v': t_burst, 'k': 'burstiness'}}]) AS s FROM terms),
+ {{'v': t_reg, 'k': 'timing_regularity'}}, {{'v': t_dig, 'k': 'username_digit_ratio'}}, {{'v': t_ava, 'k': 'default_avatar'}}, {{'v': t_night, 'k': 'night_activity_ratio'}}, {{'v': t_burst, 'k': 'burstiness'}}, {{'v': t_rep, 'k': 'content_repetitiveness'}}, {{'v': t_rt, 'k': 'retweet_ratio'}}, {{'v': t_re, 'k': 'reply_ratio'}}]) AS s FROM terms),
  r AS (SELECT author_id, s.k AS k, row_number() OVER (PARTITION BY author_id ORDER BY round(s.v, 9) DESC, s.k) AS rn FROM sig WHERE round(s.v, 9) > 0.15)
  SELECT t.author_id, coalesce(string_agg(k, ',' ORDER BY rn), '') AS signals FROM terms t LEFT JOIN r ON r.author_id = t.author_id AND rn <= 3 GROUP BY t.author_id""")
 def bot_top_signals(spark: SparkSession, d: str) -> DataFrame:

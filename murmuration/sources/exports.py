@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DISCLAIMER = "Model-estimated probability, not a definitive human judgement."
@@ -53,3 +53,32 @@ def report_counts(posts: DataFrame) -> DataFrame:
     """(kind, name, n): the label, severity and target counts of a report, deleted posts included, in one pass."""
     pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("name")) for k, c in (("label", "label"), ("severity", "severity"), ("target", "target"))])
     return posts.select(F.inline(pairs)).groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def save_thresholds(thresholds: DataFrame, path: str, default: float = 0.5) -> None:
+    """A decision threshold a group and the default, as one JSON folder; the default's group is null."""
+    rows = thresholds.select(F.col("group").cast("string").alias("group"), F.col("threshold").cast("double").alias("threshold"))
+    rows.union(thresholds.sparkSession.createDataFrame([(None, default)], rows.schema)).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def load_thresholds(spark: SparkSession, path: str) -> tuple[DataFrame, float]:
+    """(thresholds, default) as `save_thresholds` wrote them; without a default it is 0.5."""
+    rows = spark.read.schema("group string, threshold double").json(path)
+    default = rows.where("group is null").first()
+    return rows.where("group is not null"), 0.5 if default is None else default["threshold"]
+
+
+def payloads_of(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
+    """The latest stored payload of each id."""
+    held = spark.read.parquet(path).join(ids.select("post_id").distinct(), "post_id", "left_semi")
+    return held.groupBy("post_id").agg(F.max_by("payload", "stored_at").alias("payload"), F.max("stored_at").alias("stored_at"))
+
+
+def without_payloads(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
+    """The stored payloads but those of the ids, for a store written anew."""
+    return spark.read.parquet(path).join(ids.select("post_id").distinct(), "post_id", "left_anti")
+
+
+def write_retrain(batch: DataFrame, path: str) -> None:
+    """A retraining batch as JSON lines; an empty one writes no rows."""
+    batch.write.mode("overwrite").json(path)

@@ -6,11 +6,13 @@ that fetches them.  All parsing is in DataFrame functions.
 
 from __future__ import annotations
 
+import itertools
 import json
 import random
 import time
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -137,8 +139,9 @@ def fetch(url: str, get: Callable[[str], tuple[int, dict, str]], sleep: Callable
 class SearchPages(DataSource):
     """`spark.read.format("search_pages")`: one partition per query, one row per page.
 
-    Options: url (with {query} and {token}), queries (a JSON list), since (a JSON map
-    query to id), max_pages.
+    Options: url (with {query}, {token}, {since} and {size}), queries (a JSON list), since
+    (a JSON map query to id), page_size (10 to 100, others are set to the nearer bound),
+    max_pages.  All pages are read; with max_pages, a search that has more is an error.
     """
 
     @classmethod
@@ -177,10 +180,36 @@ class _PageReader(DataSourceReader):
                 return error.code, dict(error.headers), ""
 
         token, since = "", json.loads(self.options.get("since", "{}")).get(partition.query, "")
-        for _ in range(int(self.options.get("max_pages", "10"))):
-            url = self.options["url"].replace("{query}", quote(partition.query)).replace("{token}", quote(token)).replace("{since}", quote(since))
+        most, size = int(self.options.get("max_pages", "0")), min(100, max(10, int(self.options.get("page_size", "100"))))
+        for page in itertools.count(1):
+            url = self.options["url"]
+            for name, value in (("query", partition.query), ("token", token), ("since", since), ("size", str(size))):
+                url = url.replace("{" + name + "}", quote(value))
             body = fetch(url, get)
             yield partition.query, body
             token = (json.loads(body).get("meta") or {}).get("next_token") or ""
             if not token:
                 return
+            if page == most:
+                raise ValueError(f"{partition.query} has more than {most} pages")
+
+
+def lookup(ids: DataFrame, url: str, get: Callable[[str], tuple[int, dict, str]], key: str = "post_id", size: int = 100) -> DataFrame:
+    """(page): answers to requests for the given ids, `size` of them in each; url holds {ids}.
+
+    Ids are dealt over the tasks and asked for where they are, so any number of them
+    can be looked up; `get` is called in the tasks.
+    """
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[str] = []
+        for batch in batches:
+            held += batch["id"].tolist()
+            while len(held) >= size:
+                yield pd.DataFrame({"page": [fetch(url.replace("{ids}", ",".join(held[:size])), get)]})
+                held = held[size:]
+        if held:
+            yield pd.DataFrame({"page": [fetch(url.replace("{ids}", ",".join(held)), get)]})
+
+    wanted = ids.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("id")).distinct()
+    return wanted.mapInPandas(ask, "page string")

@@ -62,6 +62,55 @@ def test_search_pages_follow_the_token(spark, tmp_path):
     spark.dataSource.register(feeds.SearchPages)
     pages = spark.read.format("search_pages").option("url", f"file://{tmp_path}/{{query}}-{{token}}.json").option("queries", '["q"]').load()
     assert pages.count() == 2
+    few = spark.read.format("search_pages").option("url", f"file://{tmp_path}/{{query}}-{{token}}.json").option("queries", '["q"]').option("max_pages", "1").load()
+    with pytest.raises(Exception, match="more than 1 pages"):
+        few.count()
+
+
+def test_lookup_asks_for_all_ids_in_parts(spark):
+    def get(url):
+        ids = url.removeprefix("u?").split(",")
+        return 200, {}, json.dumps({"data": [{"id": i} for i in ids]}) if len(ids) <= 7 else "too many"
+
+    ids = spark.createDataFrame([(i % 50,) for i in range(100)] + [(None,)], "post_id long").repartition(3)
+    pages = [json.loads(r.page) for r in feeds.lookup(ids, "u?{ids}", get, size=7).collect()]
+    assert sorted(int(x["id"]) for p in pages for x in p["data"]) == list(range(50))
+
+
+def test_thresholds_payloads_and_audits(spark, tmp_path):
+    from murmuration.operators import moderation
+
+    exports.save_thresholds(spark.createDataFrame([("en", 0.7)], "group string, threshold double"), str(tmp_path / "t"), 0.4)
+    rows, default = exports.load_thresholds(spark, str(tmp_path / "t"))
+    assert [tuple(r) for r in rows.collect()] == [("en", 0.7)] and default == 0.4
+    stored = spark.sql("select * from values ('1', 'a', timestamp '2024-01-01'), ('1', 'b', timestamp '2024-01-02'), ('2', 'c', timestamp '2024-01-01') as v(post_id, payload, stored_at)")
+    exports.write_payloads(stored, str(tmp_path / "p"))
+    ids = spark.createDataFrame([("1",), ("9",)], "post_id string")
+    assert [r.payload for r in exports.payloads_of(spark, str(tmp_path / "p"), ids).collect()] == ["b"]
+    assert [r.post_id for r in exports.without_payloads(spark, str(tmp_path / "p"), ids).collect()] == ["2"]
+    exports.write_retrain(stored.select("post_id"), str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r")).count() == 3
+    for week in ("2024-W01", "2024-W02"):
+        moderation.append_audit(spark.createDataFrame([("g", 0.1)], "group string, fpr double"), str(tmp_path / "a"), week)
+    assert [json.loads(r.report)["group"] for r in spark.read.json(str(tmp_path / "a")).collect()] == ["g", "g"]
+
+
+def test_attributions_merge_by_place_and_text(spark):
+    rows = spark.sql("""select array(named_struct('token', 'x', 'start', 0, 'end', 1, 'weight', 1.0D), named_struct('token', 'y', 'start', 2, 'end', 3, 'weight', 0.5D)) a,
+     array(named_struct('token', 'x', 'start', 0, 'end', 1, 'weight', -1.0D), named_struct('token', 'yz', 'start', 2, 'end', 4, 'weight', 1.0D)) b""")
+    merged = rows.select(classify.merge_attributions(F.col("a"), F.col("b"), F.lit(True)).alias("m"), classify.merge_attributions(F.col("a"), F.col("b"), F.lit(False)).alias("n")).first()
+    assert [x.weight for x in merged.m] == [0.2, 0.3] and [x.weight for x in merged.n] == [1.0, 0.5]
+
+
+def test_scorers_and_backends(spark):
+    texts = spark.createDataFrame([("you idiot",), ("a day",)], "text string")
+    scored = classify.scored_by(texts, lambda t: F.when(t.contains("idiot"), 0.9).otherwise(0.1))
+    assert [r.flagged for r in scored.collect()] == [True, False]
+    for made in (classify.backend("rules"), classify.backend("scorer", scorer=lambda t: F.length(t) / 10)):
+        first, second = made(texts).select("toxicity").collect()
+        assert first.toxicity > second.toxicity
+    with pytest.raises(ValueError):
+        classify.backend("other")
 
 
 def test_exports(spark, tmp_path):
