@@ -68,12 +68,17 @@ def naive_forecast(series: DataFrame, order: str, value: str, horizon: int, widt
     return level.select(steps, F.round("m", 3).alias("forecast"), F.round(F.greatest(F.lit(0.0), F.col("m") - width * F.col("s")), 3).alias("low"), F.round(F.col("m") + width * F.col("s"), 3).alias("high"))
 
 
-def holt_winters(series: DataFrame, order: str, value: str, keys: list[str], horizon: int, alpha: float = 0.3, beta: float = 0.05, gamma: float = 0.2, width: float = 1.28) -> DataFrame:
+#: Smoothing weights (level, trend, season) that are tried for each series.
+GRID = [(a, b, c) for a in (0.1, 0.2, 0.3, 0.5, 0.8) for b in (0.02, 0.1) for c in (0.1, 0.3)]
+
+
+def holt_winters(series: DataFrame, order: str, value: str, keys: list[str], horizon: int, grid: list[tuple[float, float, float]] | None = None, width: float = 1.28) -> DataFrame:
     """(keys, step, forecast, low, high): additive trend, and a season of 7 from 21 values on.
 
     A series of buckets is short however many rows it counts, so each key's list is
-    folded in one expression.  Below 7 values, or all zero, the level is the mean of
-    the last 7.  The band grows with the root of the step.
+    folded in one expression, once for each weights of the grid; those with the least
+    squared error of one step ahead, the first of equals, are taken.  Below 7 values, or
+    all zero, the level is the mean of the last 7.  The band grows with the root of the step.
     """
     gathered = series.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(value).cast("double").alias("v")))), lambda x: x["v"]).alias("y"))
     y, n = F.col("y"), F.size("y")
@@ -83,16 +88,22 @@ def holt_winters(series: DataFrame, order: str, value: str, keys: list[str], hor
     empty = F.array_repeat(F.lit(0.0), 7)
     start = F.struct(base.alias("level"), F.lit(0.0).alias("trend"), F.when(seasonal, F.transform(first, lambda x: x - base)).otherwise(empty).alias("season"), F.lit(0.0).alias("sse"), F.lit(0).alias("t"))
 
-    def step(s: Column, x: Column) -> Column:
-        at = F.pmod(s["t"], F.lit(7))
-        effect = F.when(seasonal, F.get(s["season"], at)).otherwise(0.0)
-        error = x - (s["level"] + s["trend"] + effect)
-        level = s["level"] + s["trend"] + alpha * error
-        trend = s["trend"] + alpha * beta * error
-        season = F.transform(s["season"], lambda v, i: F.when(seasonal & (i == at), v + gamma * (1 - alpha) * error).otherwise(v))
-        return F.struct(level.alias("level"), trend.alias("trend"), season.alias("season"), (s["sse"] + error * error).alias("sse"), (s["t"] + 1).alias("t"))
-
-    state = gathered.withColumn("f", F.aggregate("y", start, step))
+    def fold(w: Column) -> Column:
+        def step(s: Column, x: Column) -> Column:
+            at = F.pmod(s["t"], F.lit(7))
+            effect = F.when(seasonal, F.get(s["season"], at)).otherwise(0.0)
+            error = x - (s["level"] + s["trend"] + effect)
+            level = s["level"] + s["trend"] + w["a"] * error
+            trend = s["trend"] + w["a"] * w["b"] * error
+            season = F.transform(s["season"], lambda v, i: F.when(seasonal & (i == at), v + w["c"] * (1 - w["a"]) * error).otherwise(v))
+            return F.struct(level.alias("level"), trend.alias("trend"), season.alias("season"), (s["sse"] + error * error).alias("sse"), (s["t"] + 1).alias("t"))
+
+        return F.aggregate("y", start, step)
+
+    weights = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for i, (a, b, c) in enumerate(grid or GRID)])
+    tried = F.transform(weights, lambda w: F.struct(w["i"].alias("i"), fold(w).alias("f")))
+    ranked = F.array_sort(F.transform(tried, lambda s: F.struct(s["f"]["sse"].alias("sse"), s["i"].alias("i"), s["f"].alias("f"))))
+    state = gathered.withColumn("f", F.get(ranked, F.lit(0))["f"])
     tail = F.slice(y, F.greatest(F.lit(1), n - 6), F.least(F.lit(7), n))
     mean = F.aggregate(tail, F.lit(0.0), lambda a, x: a + x) / F.size(tail)
     sd = F.sqrt(F.aggregate(tail, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size(tail))
