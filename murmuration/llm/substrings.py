@@ -19,8 +19,8 @@ append-only lists, one for each byte, which go to disk beyond `MEMORY` bytes.
 Each queue tuple carries the suffix; lengths of common prefixes up to `length`
 follow from the sorted order.  S* substrings are named and sorted by recursion.
 
-Before all this, documents with equal texts count as one: every string of a later
-copy starts earlier in the first.  Passages that very many documents share are
+Before all this, documents with equal texts, named by SHA-256 and size, count as one:
+every string of a later copy starts earlier in the first.  Passages that very many documents share are
 pre-aggregated to their distinct pieces.  Anchors are dealt to shards by hash; the
 strings of an anchor with more than `GROUP` distinct pieces, too many for a shard,
 are told apart one by one: their 128-bit hashes are grouped with partial minima.
@@ -464,13 +464,13 @@ def dedup(docs: DataFrame, columns: list[str], length: int = LENGTH, gram: int =
     columns = [c for c in columns if c not in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")]
     value = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     source = docs.select(F.col(f"`{key}`").cast("long").alias("key"), value.alias("text"))
-    named = source.select("key", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(7), "text").alias("b"), F.octet_length("text").alias("size"))
+    named = source.select("key", F.unhex(F.sha2("text", 256)).alias("name"), F.octet_length("text").alias("size"))
     prints = scratch.save(named)
-    least = prints.groupBy("a", "b", "size").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    copies = scratch.save(prints.join(least, ["a", "b", "size"]).where("key > first").select("key").distinct())
+    least = prints.groupBy("name", "size").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    copies = scratch.save(prints.join(least, ["name", "size"]).where("key > first").select("key").distinct())
     n_copies = copies.count()
-    twice = prints.join(least, ["a", "b", "size"]).where((F.col("key") == F.col("first")) & (F.col("size") >= length))
-    rows_again = scratch.save(twice.groupBy("key", "a", "b", "size").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key").distinct())
+    twice = prints.join(least, ["name", "size"]).where((F.col("key") == F.col("first")) & (F.col("size") >= length))
+    rows_again = scratch.save(twice.groupBy("key", "name", "size").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key").distinct())
     n_again = rows_again.count()
     scratch.drop(prints)
     firsts = source.where(F.col("key").isNotNull() & (F.octet_length("text") >= length)).join(_sized(copies, n_copies), "key", "left_anti")
