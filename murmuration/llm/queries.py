@@ -103,4 +103,13 @@ reach AS (SELECT doc_id, doc_id AS other FROM sets UNION SELECT r.doc_id, l.b FR
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id, c.component_id = s.doc_id AS kept FROM sets s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c ON c.doc_id = s.doc_id
 """
 
-ORACLE: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op7_near_duplicates": OP7_SQL}
+#: The same with windows of one and two lines that hold over 50 words.
+OP5_PASSAGE_SQL = OP5_SQL.replace(
+    "lead(y, 2) OVER d AS y2", "lead(y, 2) OVER d AS y2, w, lead(w, 1) OVER d AS w1"
+).replace("row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM", r"row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS w FROM").replace(
+    "later AS (SELECT doc_id, r FROM (SELECT doc_id, r, row_number() OVER (PARTITION BY y, y1, y2 ORDER BY doc_id, r) AS occurrence FROM starts WHERE y2 IS NOT NULL) o WHERE occurrence > 1)",
+    """cut AS (SELECT doc_id, r, 3 AS size, [y, y1, y2] AS c FROM starts WHERE y2 IS NOT NULL UNION ALL SELECT doc_id, r, 2, [y, y1] FROM starts WHERE y1 IS NOT NULL AND w + w1 > 50 UNION ALL SELECT doc_id, r, 1, [y] FROM starts WHERE w > 50),
+later AS (SELECT doc_id, r, size FROM (SELECT doc_id, r, size, row_number() OVER (PARTITION BY c ORDER BY doc_id, r) AS occurrence FROM cut) o WHERE occurrence > 1)""",
+).replace("FROM later, (VALUES (0), (1), (2)) AS v(k))", "FROM later, (VALUES (0), (1), (2)) AS v(k) WHERE k < size)")
+
+ORACLE: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op5_passage_dedup": OP5_PASSAGE_SQL, "op7_near_duplicates": OP7_SQL}
