@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmuration.llm import bpe, decontam, licenses, lines, neardup, ordinal, rules, sharding, substrings, toxicity
+from murmuration.llm import bpe, decontam, licenses, lines, merkle, mixing, neardup, ordinal, rules, sharding, substrings, toxicity, trie
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,7 +77,32 @@ def op5_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cut_lines(lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), words=lines.WORDS))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_histogram_shards, op4_bpe, op5_line_dedup, op5_passage_dedup, op6_decontamination, op7_near_duplicates, op8_suffix_dedup, op9_license_scan, op10_ordinal_quality)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    text = F.when(changed, merkle.lower_ascii(F.col("text"))).otherwise(F.col("text"))
+    found = merkle.build(docs, ["doc_id", "source", "lang", "n_chars", "text"], tampered={"text": text})
+    folded = merkle.fold(F.col("path"), F.col("changed"))
+    told = found.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return told.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, weights=(3, 1, 2), share=1.5, most=2).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_toxicity, op3_histogram_shards, op4_bpe, op5_line_dedup, op5_passage_dedup, op6_decontamination, op7_near_duplicates,
+        op8_suffix_dedup, op9_license_scan, op10_ordinal_quality, op11_prefix_trie, op12_merkle_manifest, op13_source_mix,
+    )
+}
 
 OP5_SQL = r"""
 WITH lines AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS x FROM documents),
