@@ -1,12 +1,15 @@
 """Rule-based classification of texts: rule bank, group terms, scores, targets, attribution, thread context.
 
 The bank is made from frames and word lists of our own, the lexicon holds placeholder
-terms; both are parameters and can be extended.  Matching runs in Arrow batches with
-patterns compiled once per worker; everything after it is column arithmetic.
+terms; both are parameters, can be extended and are read from files by
+:mod:`murmuration.sources.lexicons`.  Matching runs in Arrow batches through the
+required-literal index of :mod:`murmuration.operators.literals`: a text is scanned once, and only
+rules whose literals it holds run.  Everything after that is column arithmetic.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -16,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmuration.functions import scoring as S
+from murmuration.operators.literals import Index, fold
 
 MATCHES = "array<struct<category:string,weight:double,start:int,end:int,targeted:boolean,label:string,slur:boolean>>"
 
@@ -26,6 +30,7 @@ class Rule:
     weight: float
     pattern: str
     targeted: bool = False
+    plain: bool = False  # the pattern as it is: ~ stands for itself, and no edges are added
 
 
 @dataclass
@@ -43,18 +48,25 @@ class Term:
 
 @dataclass
 class Lexicon:
-    """Rules may hold {G}, which stands for any group term, and ~ for what is between two words."""
+    """Rules may hold {G}, which stands for any group term or one of the patterns of `others`, and ~ for what is between two words."""
 
     rules: list[Rule] = field(default_factory=list)
     terms: list[Term] = field(default_factory=list)
+    others: list[str] = field(default_factory=list)
 
     def extend(self, terms: list[Term]) -> Lexicon:
         """A lexicon with more terms; of equal terms the last holds."""
         known = {t.term: t for t in [*self.terms, *terms]}
-        return Lexicon(self.rules, list(known.values()))
+        return Lexicon(self.rules, list(known.values()), self.others)
 
     def alternation(self) -> str:
-        return "|".join(re.escape(t.term) for t in sorted(self.terms, key=lambda t: (-len(t.term), t.term)))
+        return "|".join([*(re.escape(t.term) for t in sorted(self.terms, key=lambda t: (-len(t.term), t.term))), *self.others])
+
+    def index(self) -> Index:
+        """What tasks need to match texts; of equal terms the last holds."""
+        group = f"(?:{self.alternation()})" if self.terms or self.others else r"(?!x)x"
+        rules = [(r.category, r.weight, r.pattern if r.plain else _edges(r.pattern.replace("~", r"[\W_]+")), r.targeted) for r in self.rules]
+        return Index(rules, {fold(t.term): (t.category, t.label, t.weight, t.ambiguous, t.slur) for t in self.terms}, group, not self.others)
 
 
 INSULTS = "idiot moron imbecile fool clown loser trash scum scumbag vermin filth".split()
@@ -95,36 +107,27 @@ def _edges(pattern: str) -> str:
     return rf"(?<![^\W_])(?:{pattern})(?![^\W_])"
 
 
+#: Bytes of a lexicon that goes to every task.
+MOST_BYTES = 64 << 20
+
+
 def matches(texts: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
     """All columns, then `matches`: every non-empty rule match and every longest group term, with its place."""
-    group = f"(?:{lexicon.alternation()})" if lexicon.terms else r"(?!x)x"
-    specs = [(r.category, r.weight, _edges(r.pattern.replace("{G}", group).replace("~", r"[\W_]+")), r.targeted) for r in lexicon.rules]
-    known = {t.term.lower(): t for t in lexicon.terms}
+    index = lexicon.index()
+    if len(pickle.dumps(index)) > MOST_BYTES:
+        raise ValueError(f"a lexicon holds at most {MOST_BYTES} bytes")
+    shared = texts.sparkSession.sparkContext.broadcast(index)
+    names = ("category", "weight", "start", "end", "targeted", "label", "slur")
 
     @F.pandas_udf(MATCHES)
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        compiled = [(c, w, re.compile(p, re.I), t) for c, w, p, t in specs]
-        terms = re.compile(_edges(group), re.I)
-
-        def one(text: str | None) -> list[dict]:
-            if not text:
-                return []
-            out = [dict(category=c, weight=w, start=m.start(), end=m.end(), targeted=t, label=None, slur=False) for c, w, p, t in compiled for m in p.finditer(text) if m.end() > m.start()]
-            for m in terms.finditer(text):
-                term = known[m[0].lower()]
-                out.append(dict(category=term.category, weight=term.weight * (0.25 if term.ambiguous and not _hostile(out) else 1.0), start=m.start(), end=m.end(), targeted=True, label=term.label, slur=term.slur))
-            return out
-
+        scanner = shared.value.compiled()
         for batch in batches:
-            yield batch.map(one)
+            yield batch.map(lambda t: [dict(zip(names, m, strict=True)) for m in scanner.find(t)] if t else [])
 
     return texts.withColumn("matches", find(F.col(text)))
 
 
-def _hostile(found: list[dict]) -> bool:
-    return any(m["label"] is None and m["category"] != "counterspeech" for m in found)
-
-
 def _weights(category: str) -> Column:
     m = F.filter("matches", lambda x: (x["label"].isNull() & (x["category"] == category)) | (x["slur"] & F.lit(category == "harassment")))
     return F.transform(m, lambda x: x["weight"])

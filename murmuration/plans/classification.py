@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from murmuration.operators import classify as C
 from murmuration.plans.registry import query
 from murmuration.plans.scoring import CATEGORIES, LEVEL, SEVERITY_STEPS, TASK_A_STEPS
-from murmuration.sources.tables import table
+from murmuration.sources.tables import spread, table
 
 #: Group terms and slurs of these queries: made-up words of the documents stand for them.
 TERMS = [
@@ -22,7 +22,7 @@ def lexicon() -> C.Lexicon:
 
 
 def classified(spark: SparkSession, d: str) -> DataFrame:
-    return C.classify(C.matches(table(spark, d, "documents").select("doc_id", "text"), lexicon()))
+    return C.classify(C.matches(spread(table(spark, d, "documents").select("doc_id", "text")), lexicon()))
 
 
 def _sql() -> str:

@@ -20,6 +20,12 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly over all cores where a scan has fewer tasks, as of a file with one row group; else as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def as_of() -> Column:
     return F.lit(AS_OF).cast("timestamp_ntz")
 
