@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmuration.llm import kernel
+from murmuration.llm.ranks import numbered, shares_ids
 from murmuration.llm.scratch import Scratch
 
 LEAST, COVERAGE = 5, 0.6
@@ -223,5 +224,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, cove
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The documents that contain no benchmark item, all columns as they were."""
+    if key != "__row" and shares_ids(docs, key):  # another text under a contaminated id stays
+        return decontaminate(numbered(docs, Scratch(docs.sparkSession)), benchmark, "__row", **options).drop("__row")
     hit = contaminated(docs, benchmark, key=key, **options).select(F.col(key).alias("__hit")).distinct()
     return docs.join(hit, F.col(f"`{key}`").cast("long") == F.col("__hit"), "left_anti")

@@ -25,6 +25,9 @@ SLICE_BYTES = 512 << 10
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
+#: Bytes of a word whose numbers are looked up; further ones are computed.
+_NEAR = 64
+_near: list[np.ndarray] = []
 
 #: The white space of the word rule `[^\x20\x09-\x0D]+`.
 SPACE = np.zeros(256, bool)
@@ -58,6 +61,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def byte_numbers(data: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A number for each byte and its place in its word; sums of them tell words of any length apart.
+
+    Numbers of different places have no common structure, as powers of one base have.
+    """
+    number = lambda byte, at: mix(mix(at + np.uint64(1)) ^ ((byte + np.uint64(1)) * np.uint64(0x9FB21C651E98DF25)))
+    if not _near:
+        cell = np.arange(_NEAR << 8, dtype=np.uint64)
+        _near.append(number(cell & np.uint64(255), cell >> np.uint64(8)))
+    value = _near[0][(np.minimum(place, _NEAR - 1) << 8) | data]
+    far = np.flatnonzero(place >= _NEAR)
+    value[far] = number(data[far].astype(np.uint64), place[far].astype(np.uint64))
+    return value
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, and n + 1 offsets into them."""
     if texts.null_count:
@@ -125,10 +143,13 @@ class Words:
     def hashes(self, fold: np.ndarray | None = None) -> np.ndarray:
         """A 64-bit hash of each word, after a byte-to-byte fold."""
         data = self.data if fold is None else fold[self.data]
-        up, down = powers(len(data) + 1)
+        if not len(self):
+            return np.empty(0, np.uint64)
+        begin = self.start[0]
+        place = np.arange(begin, len(data)) - np.repeat(self.start, np.diff(np.append(self.start, len(data))))
         total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-        value = (total[self.end] - total[self.start]) * down[self.start]
+        np.cumsum(byte_numbers(data[begin:], place), out=total[begin + 1 :])
+        value = total[self.end] - total[self.start]
         return mix(value ^ (self.end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 

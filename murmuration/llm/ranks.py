@@ -46,3 +46,13 @@ def running(table: DataFrame, groups: list[str], order: list[str], sums: list[st
         (F.col("__start") + F.count(F.lit(1)).over(inside)).alias("before"),
         *[(F.col(f"__start_{s}") + F.coalesce(F.sum(s).over(inside), F.lit(0))).alias(f"before_{s}") for s in sums],
     )
+
+
+def shares_ids(docs: DataFrame, key: str) -> bool:
+    """Whether two rows or more have one id; only ids are read."""
+    return bool(docs.select(F.col(f"`{key}`").alias("k")).where("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count())
+
+
+def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows, saved with `__row`, a number of their own, for tables in which ids are shared."""
+    return scratch.save(docs.withColumn("__row", F.monotonically_increasing_id()))

@@ -27,6 +27,7 @@ are told apart one by one: their 128-bit hashes are grouped with partial minima.
 
 Defined cases: null and empty texts and texts shorter than `length` keep all;
 repeated rows are copies of each other, and the one met as smallest is kept whole;
+several texts under one id are texts of their own, in the order of their SHA-256;
 rows without an id keep all; very long texts are cut at no place; extra columns are carried, but
 for those with the name of an output, which are replaced; an empty table gives no rows.
 """
@@ -45,6 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from murmuration.llm import kernel
+from murmuration.llm.ranks import running
 from murmuration.llm.scratch import Scratch
 
 LENGTH, GRAM = 100, 32
@@ -466,6 +468,13 @@ def dedup(docs: DataFrame, columns: list[str], length: int = LENGTH, gram: int =
     source = docs.select(F.col(f"`{key}`").cast("long").alias("key"), value.alias("text"))
     named = source.select("key", F.unhex(F.sha2("text", 256)).alias("name"), F.octet_length("text").alias("size"))
     prints = scratch.save(named)
+    if prints.where("key is not null").groupBy("key").agg(F.min("name").alias("a"), F.max("name").alias("b")).where("a <> b").limit(1).count():
+        # several texts under one id: rows are numbered in the order of id and name, and the numbers are the keys
+        numbers = running(scratch.save(prints.where("key is not null").select("key", "name").distinct()), [], ["key", "name"], [], scratch)
+        numbers = numbers.select(F.col("key").alias("__id"), F.col("name").alias("__name"), F.col("before").alias("__row"))
+        told = docs.withColumn("__id", F.col(f"`{key}`").cast("long")).withColumn("__name", F.unhex(F.sha2(value, 256)))
+        rows = told.join(numbers, ["__id", "__name"], "left")
+        return dedup(rows.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*columns, text])], "__row"), columns, length, gram, "__row", text, digest)
     least = prints.groupBy("name", "size").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     copies = scratch.save(prints.join(least, ["name", "size"]).where("key > first").select("key").distinct())
     n_copies = copies.count()
