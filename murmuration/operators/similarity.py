@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,22 @@ from pyspark.sql import functions as F
 
 from murmuration.functions import text as X
 
-HASHES, BANDS = 32, 8
+#: Hashes of a signature at most, and how many linked pairs may share no band.
+HASHES, MISS = 64, 1e-6
+
+
+def banding(threshold: float, hashes: int = HASHES, miss: float = MISS) -> tuple[int, int]:
+    """(bands, rows): the widest bands of at most so many hashes in which a pair at the threshold shares none below the given chance.
+
+    Two sets of similarity s share a band of r rows with a chance of s ** r.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("a threshold is above 0 and at most 1")
+    if threshold == 1:
+        return 1, hashes
+    found = [(math.ceil(math.log(miss) / math.log(1 - threshold**r)), r) for r in range(1, hashes + 1)]
+    fitting = [(b, r) for b, r in found if b * r <= hashes]
+    return fitting[-1] if fitting else found[0]
 
 
 def shingle_rows(docs: DataFrame, key: str, text: str, k: int = 3) -> DataFrame:
@@ -18,20 +34,16 @@ def shingle_rows(docs: DataFrame, key: str, text: str, k: int = 3) -> DataFrame:
     return sets.select(key, F.size("s").alias("n"), F.explode("s").alias("h"))
 
 
-def _seeded(seed: int) -> Callable[[Column], Column]:
-    return lambda x: F.xxhash64(x, F.lit(seed))
-
-
-def signatures(docs: DataFrame, key: str, text: str, k: int = 3, hashes: int = HASHES) -> DataFrame:
-    """(key, n, m): the least value of the shingles under each of `hashes` functions."""
-    sets = docs.select(key, F.transform(X.shingles(F.col(text), k), lambda x: F.xxhash64(x)).alias("s")).where(F.size("s") > 0)
-    least = F.array(*[F.array_min(F.transform("s", _seeded(i))) for i in range(hashes)])
-    return sets.select(key, F.size("s").alias("n"), least.alias("m"))
+def signatures(docs: DataFrame, key: str, text: str, k: int = 3, hashes: int = HASHES, keep: list[str] | None = None) -> DataFrame:
+    """(key, n, m) and columns to keep: the least value of the shingles, `s`, under each of `hashes` functions."""
+    carried = [c for c in keep or [] if c != "s"]
+    sets = docs.select(key, *carried, F.transform(X.shingles(F.col(text), k), lambda x: F.xxhash64(x)).alias("s")).where(F.size("s") > 0)
+    least = F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.array_min(F.transform("s", lambda x: F.xxhash64(x, i))))
+    return sets.select(key, *(keep or []), F.size("s").alias("n"), least.alias("m"))
 
 
-def bands(signed: DataFrame, key: str, count: int = BANDS) -> DataFrame:
+def bands(signed: DataFrame, key: str, count: int, width: int) -> DataFrame:
     """(key, band): a row for each band of a signature."""
-    width = F.floor(F.size("m") / count).cast("int")
     each = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.xxhash64(i, F.slice(F.col("m"), i * width + 1, width)))
     return signed.select(key, F.explode(each).alias("band"))
 

@@ -169,9 +169,10 @@ def lsh_candidates(spark: SparkSession, d: str) -> DataFrame:
     """(band, doc_id, candidate): the documents of each band that two or more share, with the band's earliest.
 
     Two documents are candidates if they share a band, so all pairs follow from these
-    rows, which are at most `BANDS` a document.
+    rows, one a band of a document at most.  Bands follow from the threshold of 0.8.
     """
-    keyed = similarity.bands(similarity.signatures(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
+    count, width = similarity.banding(0.8)
+    keyed = similarity.bands(similarity.signatures(table(spark, d, "documents"), "doc_id", "text", hashes=count * width), "doc_id", count, width)
     heads = keyed.groupBy("band").agg(F.min("doc_id").alias("candidate"), F.max("doc_id").alias("last")).where("candidate < last")
     return keyed.join(heads.select("band", "candidate"), "band").select("band", "doc_id", "candidate").distinct()
 

@@ -199,7 +199,9 @@ def test_fuzzy_join_takes_all_letters_and_swaps(spark, tmp_path):
 
 
 def test_all_pairs_of_a_band_follow_from_lsh_candidates(spark, data):
-    keyed = similarity.bands(similarity.signatures(spark.read.parquet(f"{data}/documents.parquet"), "doc_id", "text"), "doc_id").collect()
+    count, width = similarity.banding(0.8)
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    keyed = similarity.bands(similarity.signatures(docs, "doc_id", "text", hashes=count * width), "doc_id", count, width).collect()
     by = {}
     for r in keyed:
         by.setdefault(r.band, set()).add(r.doc_id)
@@ -210,3 +212,12 @@ def test_all_pairs_of_a_band_follow_from_lsh_candidates(spark, data):
         heads[r.band] = r.candidate
     assert {p for ids in found.values() for p in itertools.combinations(sorted(ids), 2)} == want and want
     assert all(heads[b] == min(ids) for b, ids in found.items())
+    links = {tuple(sorted((r.doc_id, r.duplicate_of))) for r in similarity.duplicates_of(docs, "doc_id", "text").collect()}
+    assert links and len(links & want) >= 0.9 * len(links)  # of exact links; one in a million is let go
+
+
+def test_bands_follow_from_the_threshold():
+    for t in (0.3, 0.5, 0.8, 0.95):
+        count, width = similarity.banding(t)
+        assert count * width <= similarity.HASHES and (1 - t**width) ** count <= similarity.MISS
+    assert similarity.banding(1.0) == (1, similarity.HASHES)
