@@ -11,11 +11,14 @@ import json
 import random
 import time
 from collections.abc import Callable, Iterator
+from urllib.error import HTTPError
+from urllib.parse import quote
+from urllib.request import urlopen
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 _METRICS = "like_count INT, retweet_count INT, reply_count INT, quote_count INT, impression_count INT"
 PAGE = f"""data ARRAY<STRUCT<id STRING, text STRING, created_at STRING, author_id STRING, lang STRING, conversation_id STRING, in_reply_to_user_id STRING,
@@ -168,24 +171,10 @@ class _PageReader(DataSourceReader):
         return [_Query(q) for q in json.loads(self.options["queries"])]
 
     def read(self, partition: InputPartition) -> Iterator[tuple[str, str]]:
-        from urllib.error import HTTPError
-        from urllib.parse import quote
-        from urllib.request import urlopen
-
-        def get(url: str) -> tuple[int, dict, str]:
-            try:
-                with urlopen(url, timeout=30) as reply:
-                    return reply.status if reply.status is not None else 200, dict(reply.headers), reply.read().decode()
-            except HTTPError as error:
-                return error.code, dict(error.headers), ""
-
         token, since = "", json.loads(self.options.get("since", "{}")).get(partition.query, "")
         most, size = int(self.options.get("max_pages", "0")), min(100, max(10, int(self.options.get("page_size", "100"))))
         for page in itertools.count(1):
-            url = self.options["url"]
-            for name, value in (("query", partition.query), ("token", token), ("since", since), ("size", str(size))):
-                url = url.replace("{" + name + "}", quote(value))
-            body = fetch(url, get)
+            body = _search(self.options, partition.query, since, "", token, size)
             yield partition.query, body
             token = (json.loads(body).get("meta") or {}).get("next_token") or ""
             if not token:
@@ -194,6 +183,123 @@ class _PageReader(DataSourceReader):
                 raise ValueError(f"{partition.query} has more than {most} pages")
 
 
+def _later(a: str, b: str) -> str:
+    """The greater id; longer digit strings are greater."""
+    return max(a, b, key=lambda i: (len(i), i))
+
+
+class SearchStream(DataSource):
+    """`spark.readStream.format("search_stream")`: searches as a stream whose offset is the last id of each query.
+
+    A batch reads the ids after its start and up to its end, however many pages they are,
+    one partition a query; both are in the checkpoint, so a batch that failed is read
+    again with the same ids, and posts that came meanwhile are left to the next.
+
+    Options: url (with {query}, {since}, {until}, {token} and {size}), queries (a JSON list), since
+    (a JSON map query to the id to begin after), page_size, marks (a shared folder for the
+    greatest ids seen, so that an offset never falls back after a restart while a search finds nothing).
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "search_stream"
+
+    def schema(self) -> str:
+        return "query string, id string, page string"
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _SearchReader(dict(self.options))
+
+
+class _Span(InputPartition):
+    def __init__(self, query: str, since: str, until: str):
+        self.query, self.since, self.until = query, since, until
+
+
+class _SearchReader(DataSourceStreamReader):
+    def __init__(self, options: dict):
+        self.options, self.queries = options, json.loads(options["queries"])
+        self.seen: dict[str, str] = {}
+
+    def _marks(self) -> tuple:
+        from pyarrow import fs
+
+        place = self.options["marks"]
+        files, path = fs.FileSystem.from_uri(place if "://" in place else f"file://{place}")
+        return files, f"{path.rstrip('/')}/marks.json"
+
+    def _kept(self) -> dict[str, str]:
+        if "marks" not in self.options:
+            return self.seen
+        files, path = self._marks()
+        if files.get_file_info(path).is_file:
+            with files.open_input_stream(path) as f:
+                return json.loads(f.read())
+        return {}
+
+    def _keep(self, found: dict[str, str]) -> None:
+        self.seen = found
+        if "marks" in self.options:
+            files, path = self._marks()
+            files.create_dir(path.rsplit("/", 1)[0])
+            with files.open_output_stream(path + ".new") as f:
+                f.write(json.dumps(found).encode())
+            files.move(path + ".new", path)
+
+    def initialOffset(self) -> dict:
+        given = json.loads(self.options.get("since", "{}"))
+        return {q: given.get(q, "") for q in self.queries}
+
+    def latestOffset(self) -> dict:
+        found, kept = {}, self._kept()
+        for query in self.queries:
+            page = json.loads(_search(self.options, query, "", "", "", int(self.options.get("page_size", "100"))))
+            ids = [p["id"] for p in page.get("data") or []] + [(page.get("meta") or {}).get("newest_id") or ""]
+            newest = kept.get(query, "")
+            for i in ids:
+                newest = _later(newest, i)
+            found[query] = newest
+        self._keep(found)
+        return found
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        spans = [_Span(q, start.get(q, ""), end.get(q, "")) for q in self.queries]
+        return [s for s in spans if s.until and s.until != s.since and _later(s.since, s.until) == s.until]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple[str, str, str]]:
+        """A row for each post: its page with this post alone, which :func:`parse_pages` reads."""
+        token = ""
+        while True:
+            page = json.loads(_search(self.options, partition.query, partition.since, partition.until, token, int(self.options.get("page_size", "100"))))
+            for post in page.get("data") or []:
+                if post["id"] != partition.since and _later(post["id"], partition.since) == post["id"] and _later(post["id"], partition.until) == partition.until:
+                    yield partition.query, post["id"], json.dumps({"data": [post], "includes": page.get("includes") or {}})
+            token = (page.get("meta") or {}).get("next_token") or ""
+            if not token:
+                return
+
+    def commit(self, end: dict) -> None:
+        pass
+
+    def stop(self) -> None:
+        pass
+
+
+def _search(options: dict, query: str, since: str, until: str, token: str, size: int) -> str:
+    url = options["url"]
+    for name, value in (("query", query), ("token", token), ("since", since), ("until", until), ("size", str(size))):
+        url = url.replace("{" + name + "}", quote(value))
+    return fetch(url, _get)
+
+
+def _get(url: str) -> tuple[int, dict, str]:
+    try:
+        with urlopen(url, timeout=30) as reply:
+            return reply.status if reply.status is not None else 200, dict(reply.headers), reply.read().decode()
+    except HTTPError as error:
+        return error.code, dict(error.headers), ""
+
+
 def lookup(ids: DataFrame, url: str, get: Callable[[str], tuple[int, dict, str]], key: str = "post_id", size: int = 100) -> DataFrame:
     """(page): answers to requests for the given ids, `size` of them in each; url holds {ids}.
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from murmuration.operators.upsert import upsert
+from murmuration.operators.keyed import KeyedTable
 
 
 def read_rows(spark: SparkSession, path: str, schema: str, files: int = 100) -> DataFrame:
@@ -42,44 +42,23 @@ def first_copies(stream: DataFrame, at: str, text: str, late: str = "1 day") ->
 
 
 def with_known_parents(stream: DataFrame, store: DataFrame, parent: str, key: str) -> DataFrame:
-    """A stream-static join to stored scores; parents that come later are left to `reclassify` in batch."""
+    """A stream-static join to stored scores; parents that come later are for :func:`murmuration.streaming.state.late_parents`."""
     side = store.select(F.col(key).alias(parent), F.col("toxicity").alias("parent_toxicity"))
     return stream.join(side, parent, "left")
 
 
-def with_late_parents(stream: DataFrame, parents: DataFrame, parent: str, key: str, at: str, wait: str = "1 hour") -> DataFrame:
-    """A stream-stream join: a post waits up to `wait` for its parent to arrive."""
-    a = stream.withWatermark(at, wait)
-    b = parents.select(F.col(key).alias("__parent"), F.col(at).alias("__at"), F.col("toxicity").alias("parent_toxicity")).withWatermark("__at", wait)
-    close = (F.col(parent) == F.col("__parent")) & F.col("__at").between(F.col(at) - F.expr(f"INTERVAL {wait}"), F.col(at) + F.expr(f"INTERVAL {wait}"))
-    return a.join(b, close, "leftOuter").drop("__parent", "__at")
-
-
-def upsert_sink(stream: DataFrame, folder: str, keys: list[str], version: str, checkpoint: str) -> DataStreamWriter:
-    """Each batch makes the next generation of a keyed table; `current` names the newest complete one."""
+def upsert_sink(stream: DataFrame, folder: str, keys: list[str], version: str, checkpoint: str, buckets: int = 64) -> DataStreamWriter:
+    """Each batch is merged into a :class:`KeyedTable`: only the buckets of its keys are rewritten, and a batch that comes again changes nothing."""
 
     def put(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        latest = current(spark, folder, number)
-        merged = batch if latest is None else upsert(spark.read.parquet(latest), batch, keys, version)
-        merged.write.mode("overwrite").parquet(f"{folder}/generation={number}")
+        table = KeyedTable(batch.sparkSession, folder, keys, version, buckets)
+        if table.merge(batch.persist(), number):
+            table.clean(keep=2)
+        batch.unpersist()
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
 
 
-def current(spark: SparkSession, folder: str, before: int | None = None) -> str | None:
-    """The newest complete generation of an upsert sink, or the newest below a number."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    found = [str(s.getPath().getName()) for s in fs.listStatus(path)]
-    numbers = [int(n.split("=")[1]) for n in found if n.startswith("generation=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))]
-    numbers = [n for n in numbers if before is None or n < before]
-    return f"{folder}/generation={max(numbers)}" if numbers else None
-
-
 def run_available(writer: DataStreamWriter, timeout: int = 300) -> None:
     """Processes what is there and stops."""
     query = writer.trigger(availableNow=True).start()

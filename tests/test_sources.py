@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from murmuration.operators import classify
+from murmuration.operators.keyed import KeyedTable
 from murmuration.sources import exports, feeds
 from murmuration.streaming import ingest
 
@@ -157,12 +158,13 @@ def test_stream_buckets_match_the_batch(spark, tmp_path):
 
 def test_stream_upsert_and_restart(spark, tmp_path):
     _, stream = events(spark, tmp_path)
-    writer = ingest.upsert_sink(stream, str(tmp_path / "out"), ["user_id"], "id", str(tmp_path / "cp"))
-    ingest.run_available(writer)
-    got = {r.user_id: r.id for r in spark.read.parquet(ingest.current(spark, str(tmp_path / "out"))).collect()}
-    assert got == {0: 99, 1: 97, 2: 98}
-    ingest.run_available(ingest.upsert_sink(stream, str(tmp_path / "out"), ["user_id"], "id", str(tmp_path / "cp")))
-    assert {r.user_id: r.id for r in spark.read.parquet(ingest.current(spark, str(tmp_path / "out"))).collect()} == got
+    table = KeyedTable(spark, str(tmp_path / "out"), ["user_id"], "id")
+    for _ in range(2):
+        ingest.run_available(ingest.upsert_sink(stream, str(tmp_path / "out"), ["user_id"], "id", str(tmp_path / "cp")))
+        assert {r.user_id: r.id for r in table.read().collect()} == {0: 99, 1: 97, 2: 98}
+    before = table.manifest()
+    assert table.merge(spark.createDataFrame([(500, None, 0, "a", 1.0)], "id long, ts timestamp, user_id long, event_type string, value double"), batch=before["batch"]) == set()
+    assert table.manifest() == before
 
 
 def test_stream_drops_copies(spark, tmp_path):
