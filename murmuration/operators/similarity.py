@@ -75,25 +75,52 @@ def duplicates_of(docs: DataFrame, key: str, text: str, threshold: float = 0.8,
     return copies.union(best.select(F.col("b_key").alias(key), "x.duplicate_of", "x.similarity"))
 
 
-def fuzzy_hits(words: DataFrame, lexicon: DataFrame, word: str = "word", term: str = "term", transpositions: bool = True) -> DataFrame:
+def _without(word: Column, most: int) -> Column:
+    """A word and all that is left of it after at most so many letters are dropped."""
+    drop = lambda w: F.transform(F.sequence(F.lit(1), F.char_length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.char_length(w))))
+    one = F.array_union(F.array(word), drop(word))
+    return one if most == 1 else F.array_distinct(F.flatten(F.transform(one, lambda w: F.when(F.char_length(w) > 1, F.array_union(F.array(w), drop(w))).otherwise(F.array(w)))))
+
+
+def fuzzy_hits(words: DataFrame, lexicon: DataFrame, word: str = "word", term: str = "term", common: DataFrame | None = None) -> DataFrame:
     """(word, term, distance): the nearest lexicon term of each word that is in no lexicon, within 1 edit, or 2 from 8 letters on.
 
-    Blocked by the first letter: a term's is the word's first or second.
+    Words and terms so near have a common remainder after as many letters of each are
+    dropped, so they meet by equality of remainders; only pairs that meet are measured.
+    A swap of neighbours is one edit.  A term begins with the word's first or second letter.
+    common: ordinary words (word), which are never repaired.
     """
-    length = F.length(word)
+    length = F.char_length(word)
     most = F.when(length < 8, 1).otherwise(2)
+    plain = lexicon.where((F.char_length(term) >= 5) & ~F.col(term).contains(" ")).select(term).distinct()
     usable = words.select(word).distinct().where((length >= 5) & F.col(word).rlike(r"^\p{L}+$")).join(lexicon.select(F.col(term).alias(word)), word, "left_anti")
-    keyed = usable.select(word, F.explode(F.array_distinct(F.array(F.substring(word, 1, 1), F.substring(word, 2, 1)))).alias("k"))
-    terms = lexicon.where(F.length(term) >= 5).select(term, F.substring(term, 1, 1).alias("k")).distinct()
-    met = keyed.join(terms, "k").where(F.abs(F.length(word) - F.length(term)) <= most)
-    if transpositions:
-        near = met.where(F.levenshtein(word, term) <= 2 * most).withColumn("distance", X.osa(F.col(word), F.col(term), most))
-    else:
-        near = met.withColumn("distance", F.levenshtein(word, term))
-    near = near.where(F.col("distance") <= most)
+    if common is not None:
+        usable = usable.join(common.select(F.col(common.columns[0]).alias(word)), word, "left_anti")
+    left = usable.select(word, F.explode(F.when(length < 8, _without(F.col(word), 1)).otherwise(_without(F.col(word), 2))).alias("rest")).select(word, F.xxhash64("rest").alias("h"))
+    right = plain.select(term, F.explode(_without(F.col(term), 2)).alias("rest")).select(term, F.xxhash64("rest").alias("h"))
+    met = left.join(right, "h").select(word, term).distinct()
+    first = F.substring(term, 1, 1).isin(F.substring(word, 1, 1), F.substring(word, 2, 1))
+    near = met.where(first & (F.abs(length - F.char_length(term)) <= most)).withColumn("distance", X.osa(F.col(word), F.col(term), most)).where(F.col("distance") <= most)
     return near.groupBy(word).agg(F.min(F.struct("distance", term)).alias("x")).select(word, F.col("x")[term].alias(term), F.col("x")["distance"].alias("distance"))
 
 
-def repair(text: Column, hits: Column) -> Column:
-    """Words of a text replaced by the terms of a map."""
-    return F.array_join(F.transform(F.split(text, " "), lambda w: F.coalesce(F.try_element_at(hits, w), w)), " ")
+WORDS = r"(\p{L}+)"
+
+
+def fuzzy_repair(docs: DataFrame, lexicon: DataFrame, key: str, text: str, score: str | None = None, common: DataFrame | None = None) -> DataFrame:
+    """(key, repaired, n_hits, score): whole words near a lexicon term replaced by it, case ignored, and 0.15 more score for each different one.
+
+    Only the vocabulary, not the texts, is joined with the lexicon.  The hits that a text
+    needs are gathered by its key, as many as its different misspelt words.
+    """
+    bounded = rf"(?<!{X.W})\p{{L}}+(?!{X.W})"
+    told = docs.select(F.col(key).alias("__k"), F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"({bounded})"), F.lit(1))).alias("w")).select("__k", F.explode("w").alias("word"))
+    hits = fuzzy_hits(told, lexicon, common=common)
+    by_text = told.join(hits, "word").groupBy("__k").agg(F.map_from_entries(F.collect_list(F.struct("word", "term"))).alias("hits"))
+    joined = docs.join(by_text, F.col(key) == F.col("__k"), "left")
+    between = F.split(F.col(text), bounded, -1)
+    words = F.transform(F.regexp_extract_all(text, F.lit(f"({bounded})"), F.lit(1)), lambda w: F.coalesce(F.try_element_at("hits", F.lower(w)), w))
+    fixed = F.array_join(F.zip_with(between, words, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    n = F.coalesce(F.size(F.map_keys("hits")), F.lit(0)).cast("long")
+    before = F.col(score) if score else F.lit(0.0)
+    return joined.select(F.col(key), F.when(F.col("hits").isNull(), F.col(text)).otherwise(fixed).alias("repaired"), n.alias("n_hits"), F.least(F.lit(1.0), before + 0.15 * n).alias("score"))

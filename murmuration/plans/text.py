@@ -9,7 +9,7 @@ from murmuration.functions import language as L
 from murmuration.functions import text as X
 from murmuration.operators import behaviour, similarity
 from murmuration.plans.registry import query
-from murmuration.sources.tables import table
+from murmuration.sources.tables import spread, table
 
 #: Posts made from documents, so that every cleaning rule has something to do.
 DIRTY = """dirty AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'RT @user' || CAST(doc_id AS VARCHAR) || ': ' || text WHEN 1 THEN 'see https://ex.org/' || CAST(doc_id AS VARCHAR) || ' &amp; ' || text
@@ -27,7 +27,7 @@ def _dirty(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def normalize_text(spark: SparkSession, d: str) -> DataFrame:
     clean = X.normalise(X.nfkc("t"))
-    return _dirty(spark, d).select("doc_id", clean.alias("clean")).select("doc_id", F.char_length("clean").alias("n_chars"), F.sha2("clean", 256).alias("clean_sha256"))
+    return spread(_dirty(spark, d)).select("doc_id", clean.alias("clean")).select("doc_id", F.char_length("clean").alias("n_chars"), F.sha2("clean", 256).alias("clean_sha256"))
 
 
 @query(f"""WITH {DIRTY} SELECT doc_id, len(regexp_extract_all(t, 'https?://\\S+|www\\.\\S+')) AS n_urls, sha256(regexp_replace(t, 'https?://\\S+|www\\.\\S+', ' ', 'g')) AS rest_sha256 FROM dirty""")
@@ -57,36 +57,25 @@ def collapse_repeats(spark: SparkSession, d: str) -> DataFrame:
     return _dirty(spark, d).select("doc_id", F.sha2(X.collapse_repeats(F.col("t")), 256).alias("collapsed_sha256"))
 
 
-@query()
-def collapse_repeats_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same under the name it had while `collapse_repeats` left documents out."""
-    return collapse_repeats(spark, d)
-
-
 LEET_FROM, LEET_TO = "".join(X.LEET), "".join(X.LEET.values())
-LEET_WORD = f"translate(lower(w), '{LEET_FROM}', '{LEET_TO}')"
-LEET_OK = f"""(regexp_full_match({LEET_WORD}, '[a-z]{{4,}}') AND regexp_matches({LEET_WORD}, '[aeiouy]') AND len(regexp_replace(lower(w), '[a-z]', '', 'g')) >= 1
- AND len(regexp_replace(lower(w), '[a-z]', '', 'g')) * 2 <= len(w) AND NOT regexp_full_match(lower(w), '[a-z]+[0-9]+|[0-9]+[a-z]+'))"""
+#: Of each run of word characters and signs the token that begins at a word with a letter and a digit or sign, without signs at its end.
+LEET_STEPS = f"""runs AS (SELECT doc_id, unnest(regexp_extract_all(t, '[\\pL\\pN_@$!|+€£]+')) AS r FROM dirty),
+ toks AS (SELECT doc_id, regexp_replace(regexp_extract(r, '(?:^|[@$!|+€£])((?:[\\pL\\pN_]*[A-Za-z][\\pL\\pN_]*[@$!|+€£0-9]|[\\pL\\pN_]*[0-9][\\pL\\pN_]*[A-Za-z])[\\pL\\pN_@$!|+€£]*)', 1), '[@$!|+€£]+$', '') AS w FROM runs),
+ decs AS (SELECT doc_id, w, translate(lower(w), '{LEET_FROM}', '{LEET_TO}') AS x, len(regexp_replace(w, '\\pL', '', 'g')) AS signs FROM toks WHERE len(w) >= 3),
+ good AS (SELECT doc_id, w, x FROM decs WHERE regexp_full_match(x, '\\pL+') AND len(x) >= 4 AND regexp_matches(x, '[aeiouy]') AND signs >= 1 AND signs * 2 <= len(w)
+ AND NOT regexp_full_match(w, '(?i)(?:[a-z]{{1,3}}\\p{{Nd}}{{2,}}|\\p{{Nd}}+[a-z]{{1,2}}|[\\pL\\pN_]*\\p{{Nd}}{{4,}}[\\pL\\pN_]*|[a-z]+\\p{{Nd}}{{1,2}})'))"""
 
 
-@query(f"WITH {DIRTY}, ws AS (SELECT doc_id, unnest(string_split(t, ' ')) AS w FROM dirty) SELECT doc_id, count(*) FILTER (WHERE {LEET_OK}) AS n_decoded, coalesce(max(CASE WHEN {LEET_OK} THEN {LEET_WORD} END), '') AS last_word FROM ws GROUP BY doc_id")
+@query(f"WITH {DIRTY}, {LEET_STEPS} SELECT d.doc_id, count(g.x) AS n_decoded, coalesce(max(g.x), '') AS last_word FROM dirty d LEFT JOIN good g ON g.doc_id = d.doc_id GROUP BY d.doc_id")
 def leet_decode(spark: SparkSession, d: str) -> DataFrame:
-    words = F.split("t", " ")
-    changed = F.filter(F.transform(words, lambda w: F.struct(w.alias("w"), X.leet_word(w).alias("x"))), lambda s: s["w"] != s["x"])
+    changed = F.filter(F.transform(X.leet_tokens(F.col("t")), lambda w: F.struct(w.alias("w"), X.leet_word(w).alias("x"))), lambda s: s["w"] != s["x"])
     return _dirty(spark, d).select("doc_id", changed.alias("c")).select("doc_id", F.size("c").cast("long").alias("n_decoded"), F.coalesce(F.array_max(F.transform("c", lambda s: s["x"])), F.lit("")).alias("last_word"))
 
 
-@query(f"""WITH {DIRTY}, ws AS (SELECT doc_id, unnest(string_split(t, ' ')) AS w FROM dirty), l AS (SELECT doc_id, count(*) FILTER (WHERE {LEET_OK}) AS leet, count(*) AS n FROM ws GROUP BY doc_id)
- SELECT d.doc_id, round(least(1.0, (leet + 0.6 * least(0, 5)) / (sqrt(greatest(n, 1)) + 1))::DOUBLE, 4) AS score FROM dirty d JOIN l ON l.doc_id = d.doc_id""")
-def obfuscation_score(spark: SparkSession, d: str) -> DataFrame:
-    t, none = F.col("t"), F.lit(0)
-    return _dirty(spark, d).select("doc_id", X.obfuscation_score(F.size(F.split(t, " ")), X.leet_count(t), none, none, none, none).alias("score"))
-
-
 @query()
-def obfuscation_score_all(spark: SparkSession, d: str) -> DataFrame:
+def obfuscation_score(spark: SparkSession, d: str) -> DataFrame:
     """The score of all five signals, each counted on the text that the repair before it leaves."""
-    return X.obfuscation(_dirty(spark, d), "t").select("doc_id", "score")
+    return X.obfuscation(spread(_dirty(spark, d)), "t").select("doc_id", "score")
 
 
 LETTERS = "len(regexp_replace(text, '[^\\pL]', '', 'g'))"
@@ -211,18 +200,22 @@ TERMS = ["reation", "ertionen", "thaner", "stntre", "ouenth", "edwhren", "ingtha
 TERM_ROWS = ", ".join(f"('{t}')" for t in TERMS)
 
 
-@query(f"""WITH ws AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\pL]+')) AS word FROM documents), lex AS (SELECT * FROM (VALUES {TERM_ROWS}) AS v(term)),
- c AS (SELECT word, term, levenshtein(word, term) AS dist FROM ws JOIN lex ON (substr(word, 1, 1) = substr(term, 1, 1) OR substr(word, 2, 1) = substr(term, 1, 1)) WHERE len(word) >= 5 AND regexp_full_match(word, '[a-z]+') AND word NOT IN (SELECT term FROM lex))
+@query(f"""WITH ws AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\pL+')) AS word FROM documents), lex AS (SELECT * FROM (VALUES {TERM_ROWS}) AS v(term)),
+ c AS (SELECT word, term, damerau_levenshtein(word, term) AS dist FROM ws JOIN lex ON (substr(word, 1, 1) = substr(term, 1, 1) OR substr(word, 2, 1) = substr(term, 1, 1)) WHERE len(word) >= 5 AND word NOT IN (SELECT term FROM lex))
  SELECT word, arg_min(term, CAST(dist AS VARCHAR) || term) AS term, CAST(min(dist) AS INTEGER) AS distance FROM c WHERE dist <= CASE WHEN len(word) < 8 THEN 1 ELSE 2 END GROUP BY word""")
 def fuzzy_lexicon_join(spark: SparkSession, d: str) -> DataFrame:
-    words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word")).where(F.col("word").rlike("^[a-z]+$"))
-    lexicon = F.broadcast(spark.createDataFrame([(t,) for t in TERMS], "term string"))  # eight rows
-    return similarity.fuzzy_hits(words, lexicon, transpositions=False).select("word", "term", "distance")
+    """The nearest terms of words of all letters, with swapped neighbours as one edit."""
+    words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word"))
+    return similarity.fuzzy_hits(words, _terms(spark)).select("word", "term", "distance")
+
+
+def _terms(spark: SparkSession) -> DataFrame:
+    return F.broadcast(spark.createDataFrame([(t,) for t in TERMS], "term string"))  # eight rows
 
 
 @query()
-def fuzzy_lexicon_join_all(spark: SparkSession, d: str) -> DataFrame:
-    """The nearest terms of words of all letters, with swapped neighbours as one edit."""
-    words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word"))
-    lexicon = F.broadcast(spark.createDataFrame([(t,) for t in TERMS], "term string"))  # eight rows
-    return similarity.fuzzy_hits(words, lexicon).select("word", "term", "distance")
+def fuzzy_repair(spark: SparkSession, d: str) -> DataFrame:
+    """Whole documents with misspelt lexicon terms put right."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    found = similarity.fuzzy_repair(docs, _terms(spark), "doc_id", "text")
+    return found.select("doc_id", "n_hits", F.round("score", 4).alias("score"), F.sha2("repaired", 256).alias("repaired_sha256"))

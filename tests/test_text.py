@@ -31,6 +31,7 @@ def one(spark, column, *values):
         (X.split_hashtags, "#StopTheWar #a_b", " Stop The War   a b "),
         (X.collapse_repeats, "soooo goood aab", "soo good aab"),
         (X.leet_decode, "v3ry b4dword mp3 covid19 ok", "very badword mp3 covid19 ok"),
+        (X.leet_decode, "1diot, 1d10t! (h1b) 3rd 2nd w@tch|ng ab12345cd d1€ s1lly_", "idiot, 1d10t! (h1b) 3rd 2nd watchlng ab12345cd d1€ s1lly_"),
         (X.fix_confusables, "rаcist привет", "racist привет"),
         (X.strip_zero_width, "a​b‍c", "abc"),
         (X.join_spaced, "they k i l l it a b", "they kill it a b"),
@@ -85,6 +86,31 @@ def test_fuzzy_hits(spark):
     lexicon = spark.createDataFrame([("muslax",), ("example",)], "term string")
     found = {r.word: (r.term, r.distance) for r in similarity.fuzzy_hits(words, lexicon).collect()}
     assert found == {"muzlax": ("muslax", 1), "exmaple": ("example", 1)}
+    common = spark.createDataFrame([("muzlax",)], "word string")
+    assert {r.word for r in similarity.fuzzy_hits(words, lexicon, common=common).collect()} == {"exmaple"}
+
+
+def test_fuzzy_hits_are_brute_force(spark):
+    r = random.Random(7)
+    made = lambda: "".join(r.choice("abcé") for _ in range(r.randrange(4, 11)))
+    terms, words = {made() for _ in range(60)} | {"two words"}, {made() for _ in range(500)}
+    near = {}
+    for w in words - terms:
+        found = [(brute_edits(w, t), t) for t in terms if len(t) >= 5 and " " not in t and t[0] in w[:2] and brute_edits(w, t) <= (1 if len(w) < 8 else 2)]
+        if len(w) >= 5 and found:
+            near[w] = min(found)
+    frame = lambda rows, name: spark.createDataFrame([(x,) for x in rows], f"{name} string")
+    got = similarity.fuzzy_hits(frame(words, "word"), frame(terms, "term")).collect()
+    assert {x.word: (x.distance, x.term) for x in got} == near and len(near) > 20
+
+
+def test_fuzzy_repair_of_whole_documents(spark):
+    docs = [(1, "A Muzlax, the exmaple! exmaple's muzlax_ muslax", 0.9), (2, "nothing here", 0.2), (3, None, None), (4, "", 0.0), (5, "exmaple " * 5_000, 0.0)]
+    lexicon = spark.createDataFrame([("muslax",), ("example",)], "term string")
+    got = {r.id: (r.repaired, r.n_hits, r.score) for r in similarity.fuzzy_repair(spark.createDataFrame(docs, "id long, t string, s double"), lexicon, "id", "t", "s").collect()}
+    assert got[1] == ("A muslax, the example! example's muzlax_ muslax", 2, 1.0)
+    assert got[2] == ("nothing here", 0, 0.2) and got[3][:2] == (None, 0) and got[4] == ("", 0, 0.0)
+    assert got[5] == ("example " * 5_000, 1, 0.15)
 
 
 def test_duplicates_point_at_earlier_ones(spark):
@@ -143,11 +169,46 @@ ODD = ["plain words", "ÀÀÀ éééé AAAA 11112222 ____", "aaa\nbbbb", "漢漢
 
 
 def test_collapse_repeats_of_all_documents(spark, tmp_path):
-    made = plans.collapse_repeats_all(spark, stored(spark, tmp_path / "t", ODD))
+    made = plans.collapse_repeats(spark, stored(spark, tmp_path / "t", ODD))
     brute = lambda t: re.sub(r"(\w)\1{2,}", r"\1\1", t)
     assert {r.doc_id: r.collapsed_sha256 for r in made.collect()} == {i: hashlib.sha256(brute(dirty(i, t)).encode()).hexdigest() for i, t in enumerate(ODD, 100)}
 
 
+def brute_leet(text):
+    """The text decoded, and how many tokens were."""
+    signs, n = "@$!|+€£", 0
+    word = lambda c: c.isalnum() or c == "_"
+
+    def run(m):
+        nonlocal n
+        r = m[0]
+        for start in (i for i, c in enumerate(r) if word(c) and (i == 0 or not word(r[i - 1]))):
+            end = next((i for i in range(start, len(r)) if not word(r[i])), len(r))
+            head, after = r[start:end], r[end : end + 1]
+            if any("a" <= c.lower() <= "z" for c in head) and (after or any("0" <= c <= "9" for c in head)):
+                token = r[start:].rstrip(signs)
+                plain = "".join(X.LEET.get(c, c) for c in token.lower())
+                digits = sum(not c.isalpha() for c in token)
+                shape = re.fullmatch(r"(?i)[a-z]{1,3}\d{2,}|\d+[a-z]{1,2}|\w*\d{4,}\w*|[a-z]+\d{1,2}", token)
+                if len(token) >= 3 and plain.isalpha() and not shape and 1 <= digits <= len(token) // 2 and len(plain) >= 4 and re.search("[aeiouy]", plain):
+                    n += 1
+                    return r[:start] + plain + r[start + len(token) :]
+                return r
+        return r
+
+    return re.sub(rf"[\w{re.escape(signs)}]+", run, text), n
+
+
+def test_leet_decode_is_brute_force(spark, tmp_path):
+    r = random.Random(2)
+    texts = ["".join(r.choice("aeitsAZ0134579@$!|+€ _-é漢") for _ in range(r.randrange(40))) for _ in range(400)] + ["v1le, w0rds", "1diot mp3", "known x0x"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {x.i: (x.d, x.n) for x in rows.select("i", X.leet_decode(F.col("t")).alias("d"), X.leet_count(F.col("t")).alias("n")).collect()}
+    assert got == {i: brute_leet(t) for i, t in enumerate(texts)}
+    known = rows.where("i >= 400").select("i", X.leet_decode(F.col("t"), ["mpe", "xox"]).alias("d")).collect()
+    assert {x.i: x.d for x in known} == {400: "vile, words", 401: "idiot mpe", 402: "known xox"}
+
+
 def brute_score(t):
     x = "".join(c for c in t if c not in X.ZERO_WIDTH)
     zero = len(t) - len(x)
@@ -160,21 +221,14 @@ def brute_score(t):
     spaced = re.compile(r"(?<!\w)(?:[^\W\d_][\s.\-_*]){2,}[^\W\d_](?!\w)")
     x = " ".join(words)
     n_spaced = len(spaced.findall(x))
-    words, leet = [], 0
-    for w in spaced.sub(lambda m: re.sub(r"[\s.\-_*]", "", m[0]), x).split(" "):
-        low = w.lower()
-        plain, signs = "".join(X.LEET.get(c, c) for c in low), len(re.sub("[a-z]", "", low))
-        ok = re.fullmatch("[a-z]{4,}", plain) and re.search("[aeiouy]", plain) and 1 <= signs <= len(low) / 2 and not re.fullmatch("[a-z]+[0-9]+|[0-9]+[a-z]+", low)
-        leet += bool(ok)
-        words.append(plain if ok else w)
-    x = " ".join(words)
+    x, leet = brute_leet(spaced.sub(lambda m: re.sub(r"[\s.\-_*]", "", m[0]), x))
     repeats = len(re.findall(r"(\w)\1{2,}", x))
     return min(1.0, (leet + 1.5 * odd + n_spaced + 0.6 * min(zero, 5) + 0.3 * repeats) / (max(1, len(x.split())) ** 0.5 + 1))
 
 
 def test_obfuscation_score_counts_five_signals(spark, tmp_path):
     texts = [f"{t} {'word ' * n}" for t in ODD for n in (0, 30, 31, 32)]
-    made = {r.doc_id: r.score for r in plans.obfuscation_score_all(spark, stored(spark, tmp_path / "t", texts)).collect()}
+    made = {r.doc_id: r.score for r in plans.obfuscation_score(spark, stored(spark, tmp_path / "t", texts)).collect()}
     assert made == pytest.approx({i: brute_score(dirty(i, t)) for i, t in enumerate(texts, 100)}, abs=6e-5)
 
 
@@ -194,7 +248,7 @@ def test_fuzzy_join_takes_all_letters_and_swaps(spark, tmp_path):
         near = [(brute_edits(w, t), t) for t in plans.TERMS if t[0] in w[:2] and brute_edits(w, t) <= (1 if len(w) < 8 else 2)]
         if len(w) >= 5 and near:
             hits[w] = min(near)
-    made = plans.fuzzy_lexicon_join_all(spark, stored(spark, tmp_path / "t", [words, words]))
+    made = plans.fuzzy_lexicon_join(spark, stored(spark, tmp_path / "t", [words, words]))
     assert {r.word: (r.distance, r.term) for r in made.collect()} == hits and {"réation", "raetion", "ertiönen"} <= set(hits)
 
 
