@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from murmuration.functions import text as X
 
@@ -23,7 +26,7 @@ def banding(threshold: float, hashes: int = HASHES, miss: float = MISS) -> tuple
         raise ValueError("a threshold is above 0 and at most 1")
     if threshold == 1:
         return 1, hashes
-    found = [(math.ceil(math.log(miss) / math.log(1 - threshold**r)), r) for r in range(1, hashes + 1)]
+    found = [(math.ceil(math.log(miss) / math.log1p(-(threshold**r))), r) for r in range(1, hashes + 1)]
     fitting = [(b, r) for b, r in found if b * r <= hashes]
     return fitting[-1] if fitting else found[0]
 
@@ -34,18 +37,40 @@ def shingle_rows(docs: DataFrame, key: str, text: str, k: int = 3) -> DataFrame:
     return sets.select(key, F.size("s").alias("n"), F.explode("s").alias("h"))
 
 
+def _with_least(sets: DataFrame, hashes: int) -> DataFrame:
+    """The rows with `m`: the least value of their list `s` under each of so many functions."""
+    steps = np.arange(1, hashes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def one(values: np.ndarray) -> np.ndarray:
+        out = np.full(hashes, np.iinfo(np.uint64).max, np.uint64)
+        for a in range(0, len(values), 4096):  # a long set is folded in parts
+            x = np.asarray(values[a : a + 4096], np.int64).view(np.uint64)[:, None] ^ steps
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            out = np.minimum(out, (x ^ (x >> np.uint64(32))).min(axis=0))
+        return out.view(np.int64)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield rows.assign(m=rows["s"].map(one))
+
+    return sets.mapInPandas(run, T.StructType([*sets.schema.fields, T.StructField("m", T.ArrayType(T.LongType()))]))
+
+
 def signatures(docs: DataFrame, key: str, text: str, k: int = 3, hashes: int = HASHES, keep: list[str] | None = None) -> DataFrame:
     """(key, n, m) and columns to keep: the least value of the shingles, `s`, under each of `hashes` functions."""
     carried = [c for c in keep or [] if c != "s"]
     sets = docs.select(key, *carried, F.transform(X.shingles(F.col(text), k), lambda x: F.xxhash64(x)).alias("s")).where(F.size("s") > 0)
-    least = F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.array_min(F.transform("s", lambda x: F.xxhash64(x, i))))
-    return sets.select(key, *(keep or []), F.size("s").alias("n"), least.alias("m"))
+    return _with_least(sets, hashes).select(key, *(keep or []), F.size("s").alias("n"), "m")
+
+
+def band_names(signature: Column, count: int, width: int) -> Column:
+    return F.array(*[F.xxhash64(F.lit(i), F.slice(signature, i * width + 1, width)) for i in range(count)])
 
 
 def bands(signed: DataFrame, key: str, count: int, width: int) -> DataFrame:
     """(key, band): a row for each band of a signature."""
-    each = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.xxhash64(i, F.slice(F.col("m"), i * width + 1, width)))
-    return signed.select(key, F.explode(each).alias("band"))
+    return signed.select(key, F.explode(band_names(F.col("m"), count, width)).alias("band"))
 
 
 def duplicates_of(docs: DataFrame, key: str, text: str, threshold: float = 0.8, k: int = 3) -> DataFrame:

@@ -6,6 +6,9 @@ rolling frame needs `HISTORY` rows only.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,12 +75,74 @@ def naive_forecast(series: DataFrame, order: str, value: str, horizon: int, widt
 GRID = [(a, b, c) for a in (0.1, 0.2, 0.3, 0.5, 0.8) for b in (0.02, 0.1) for c in (0.1, 0.3)]
 
 
-def holt_winters(series: DataFrame, order: str, value: str, keys: list[str], horizon: int, grid: list[tuple[float, float, float]] | None = None, width: float = 1.28) -> DataFrame:
+#: Bounds of smoothing weights in the search.
+LOWEST, HIGHEST = 1e-3, 0.999
+
+
+def one_step_error(y: list[float], a: float, b: float, c: float) -> float:
+    """The squared error of one step ahead of additive smoothing with these weights, as :func:`holt_winters` folds it."""
+    n = len(y)
+    seasonal = n >= 21
+    level, trend, total = sum(y[:7]) / len(y[:7]), 0.0, 0.0
+    season = [v - level for v in y[:7]] if seasonal else [0.0] * 7
+    for t, x in enumerate(y):
+        error = x - (level + trend + season[t % 7])
+        level, trend = level + trend + a * error, trend + a * b * error
+        if seasonal:
+            season[t % 7] += c * (1 - a) * error
+        total += error * error
+    return total
+
+
+def simplex(y: list[float], start: tuple[float, float, float], steps: int) -> tuple[float, float, float]:
+    """Weights within bounds by a downhill simplex from a start: the worst corner is mirrored, stretched or drawn in, or all shrink to the best."""
+    held = lambda p: tuple(min(HIGHEST, max(LOWEST, v)) for v in p)
+    error = lambda p: one_step_error(y, *p)
+    corners = [held(start)] + [held([v + (0.2 if i == j and v < 0.5 else -0.2 if i == j else 0.0) for j, v in enumerate(start)]) for i in range(3)]
+    points = sorted((error(p), p) for p in corners)
+    for _ in range(steps):
+        if points[-1][0] - points[0][0] <= 1e-10 * (1 + points[0][0]):
+            break
+        worst = points[-1]
+        centre = [sum(p[j] for _, p in points[:-1]) / 3 for j in range(3)]
+        at = lambda far: held([m + far * (w - m) for m, w in zip(centre, worst[1], strict=True)])  # noqa: B023, E731
+        mirrored = (error(at(-1.0)), at(-1.0))
+        if mirrored[0] < points[0][0]:
+            stretched = (error(at(-2.0)), at(-2.0))
+            points[-1] = min(mirrored, stretched)
+        elif mirrored[0] < points[-2][0]:
+            points[-1] = mirrored
+        else:
+            drawn = (error(at(0.5)), at(0.5)) if mirrored[0] >= worst[0] else (error(at(-0.5)), at(-0.5))
+            if drawn[0] < min(mirrored[0], worst[0]):
+                points[-1] = drawn
+            else:
+                best = points[0][1]
+                moved = [held([(u + v) / 2 for u, v in zip(best, p, strict=True)]) for _, p in points[1:]]
+                points = [points[0], *((error(p), p) for p in moved)]
+        points.sort()
+    return points[0][1]
+
+
+def _searched(series: DataFrame, steps: int) -> DataFrame:
+    """The rows with `a`, `b`, `c` taken further by :func:`simplex` over their list `y`."""
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = [simplex([float(v) for v in y], start, steps) if len(y) >= 7 else tuple(start) for y, *start in zip(rows["y"], rows["a"], rows["b"], rows["c"], strict=True)]
+            yield rows.assign(**{c: [f[i] for f in found] for i, c in enumerate("abc")})
+
+    return series.mapInPandas(search, series.schema)
+
+
+def holt_winters(series: DataFrame, order: str, value: str, keys: list[str], horizon: int, grid: list[tuple[float, float, float]] | None = None, width: float = 1.28, search: int = 0) -> DataFrame:
     """(keys, step, forecast, low, high): additive trend, and a season of 7 from 21 values on.
 
     A series of buckets is short however many rows it counts, so each key's list is
     folded in one expression, once for each weights of the grid; those with the least
-    squared error of one step ahead, the first of equals, are taken.  Below 7 values, or
+    squared error of one step ahead, the first of equals, are taken.  With `search` a
+    simplex of so many steps goes on from there, and its weights are taken if their
+    error is less.  Below 7 values, or
     all zero, the level is the mean of the last 7.  The band grows with the root of the step.
     """
     gathered = series.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(value).cast("double").alias("v")))), lambda x: x["v"]).alias("y"))
@@ -104,6 +169,11 @@ def holt_winters(series: DataFrame, order: str, value: str, keys: list[str], hor
     tried = F.transform(weights, lambda w: F.struct(w["i"].alias("i"), fold(w).alias("f")))
     ranked = F.array_sort(F.transform(tried, lambda s: F.struct(s["f"]["sse"].alias("sse"), s["i"].alias("i"), s["f"].alias("f"))))
     state = gathered.withColumn("f", F.get(ranked, F.lit(0))["f"])
+    if search:
+        begin = F.get(weights, F.get(ranked, F.lit(0))["i"])
+        further = _searched(gathered.select("*", begin["a"].alias("a"), begin["b"].alias("b"), begin["c"].alias("c")), search)
+        state = further.withColumn("g", fold(F.struct("a", "b", "c"))).withColumn("f", F.get(ranked, F.lit(0))["f"])
+        state = state.withColumn("f", F.when(F.col("g.sse") < F.col("f.sse"), F.col("g")).otherwise(F.col("f"))).drop("g", "a", "b", "c")
     tail = F.slice(y, F.greatest(F.lit(1), n - 6), F.least(F.lit(7), n))
     mean = F.aggregate(tail, F.lit(0.0), lambda a, x: a + x) / F.size(tail)
     sd = F.sqrt(F.aggregate(tail, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size(tail))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from murmuration.operators import upsert
 from murmuration.plans.registry import query
+from murmuration.sources import exports
 from murmuration.sources.tables import annotations, as_of, authors, posts, review_queue, table, with_views
 
 P, PA, PQ = with_views("posts"), with_views("posts", "authors"), with_views("posts", "queue")
@@ -288,3 +289,14 @@ def export_posts(spark: SparkSession, d: str) -> DataFrame:
 def json_props(spark: SparkSession, d: str) -> DataFrame:
     parsed = F.from_json("props", "k long")["k"]
     return table(spark, d, "events").groupBy("event_type", parsed.alias("k")).agg(_n().alias("n"))
+
+
+@query("""WITH p AS (SELECT event_type, CASE WHEN event_id % 11 = 0 THEN substr(props, 1, len(props) - 1) ELSE props END AS payload FROM events), v AS MATERIALIZED (SELECT event_type, json_valid(payload) AS ok, CASE WHEN json_valid(payload) THEN payload ELSE '{}' END AS j FROM p)
+ SELECT event_type, count(*) AS n, count(*) FILTER (WHERE NOT ok) AS n_malformed, CAST(sum(TRY_CAST(json_extract_string(j, '$.k') AS BIGINT)) AS BIGINT) AS k, count(*) FILTER (WHERE json_exists(j, '$.none')) AS n_none FROM v GROUP BY event_type""")
+def payload_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Payloads as VARIANT values read by path; some are cut short, and counted as malformed."""
+    text = F.when(F.col("event_id") % 11 == 0, F.expr("substr(props, 1, length(props) - 1)")).otherwise(F.col("props"))
+    held = exports.parsed(table(spark, d, "events").select("event_type", text.alias("payload")))
+    k = exports.payload_at(F.col("payload"), "$.k", "bigint")
+    none = exports.payload_at(F.col("payload"), "$.none", "string")
+    return held.groupBy("event_type").agg(_n().alias("n"), F.count("malformed").alias("n_malformed"), F.sum(k).alias("k"), F.count(none).alias("n_none"))

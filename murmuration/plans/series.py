@@ -79,7 +79,7 @@ def naive_forecast(spark: SparkSession, d: str) -> DataFrame:
 def holt_winters_forecast(spark: SparkSession, d: str) -> DataFrame:
     counted = posts(spark, d).where(~F.col("deleted")).groupBy("target", F.to_date("created_at").alias("at")).agg(F.count(F.lit(1)).alias("total"))
     filled = trends.gap_filled(counted, "at", ["total"], F.lit("2024-01-30").cast("date"), ["target"])
-    return trends.holt_winters(filled, "at", "total", ["target"], 14)
+    return trends.holt_winters(filled, "at", "total", ["target"], 14, search=200)
 
 
 @query(

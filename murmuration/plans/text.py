@@ -26,7 +26,7 @@ def _dirty(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def normalize_text(spark: SparkSession, d: str) -> DataFrame:
-    clean = X.normalise(X.nfkc("t"))
+    clean = L.normalise(F.col("t"))
     return spread(_dirty(spark, d)).select("doc_id", clean.alias("clean")).select("doc_id", F.char_length("clean").alias("n_chars"), F.sha2("clean", 256).alias("clean_sha256"))
 
 
@@ -84,7 +84,8 @@ LATIN = "len(regexp_replace(regexp_replace(text, '[^\\pL]', '', 'g'), '[^A-Za-z
 
 @query(f"SELECT doc_id, CASE WHEN {LETTERS} = 0 THEN 'unknown' WHEN {LATIN} * 2 >= {LETTERS} THEN 'latin' ELSE 'other' END AS script, {LATIN}::BIGINT AS n_latin FROM documents")
 def script_detect(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", X.script(F.col("text")).alias("script"), X.script_counts(F.col("text"))["latin"].cast("long").alias("n_latin"))
+    counted = table(spark, d, "documents").select("doc_id", X.script_counts(F.col("text")).alias("c"))
+    return counted.select("doc_id", X.main_script(F.col("c")).alias("script"), F.col("c.latin").cast("long").alias("n_latin"))
 
 
 def _profile_sql() -> str:
@@ -98,7 +99,8 @@ def _profile_sql() -> str:
 
 @query(_profile_sql())
 def language_profile(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", *[F.round(v, 4).alias(f"{k}_score") for k, v in X.profile_scores(F.col("text")).items()])
+    scored = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", X.profile_scores(F.col("text")).alias("s"))
+    return scored.select("doc_id", *[F.round(F.col("s")[k], 4).alias(f"{k}_score") for k in X.PROFILES])
 
 
 def _verdict_sql() -> str:
@@ -128,7 +130,7 @@ def _verdict_sql() -> str:
 @query(_verdict_sql())
 def language_verdict(spark: SparkSession, d: str) -> DataFrame:
     verdict = L.detect(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", verdict.alias("v")).select("doc_id", F.col("v.lang").alias("language"), "v.confidence", "v.script", "v.romanised", "v.code_switched")
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", verdict.alias("v")).select("doc_id", F.col("v.lang").alias("language"), "v.confidence", "v.script", "v.romanised", "v.code_switched")
 
 
 def _dialect_sql() -> str:
@@ -161,7 +163,7 @@ def lsh_candidates(spark: SparkSession, d: str) -> DataFrame:
     rows, one a band of a document at most.  Bands follow from the threshold of 0.8.
     """
     count, width = similarity.banding(0.8)
-    keyed = similarity.bands(similarity.signatures(table(spark, d, "documents"), "doc_id", "text", hashes=count * width), "doc_id", count, width)
+    keyed = similarity.bands(similarity.signatures(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", hashes=count * width), "doc_id", count, width)
     heads = keyed.groupBy("band").agg(F.min("doc_id").alias("candidate"), F.max("doc_id").alias("last")).where("candidate < last")
     return keyed.join(heads.select("band", "candidate"), "band").select("band", "doc_id", "candidate").distinct()
 
@@ -200,8 +202,12 @@ TERMS = ["reation", "ertionen", "thaner", "stntre", "ouenth", "edwhren", "ingtha
 TERM_ROWS = ", ".join(f"('{t}')" for t in TERMS)
 
 
+#: DuckDB measures bytes, so letters beyond ASCII get a sign of one byte each that no lower-case word holds.
+ONE_BYTE = f"translate(word, '{''.join(map(chr, range(0xDF, 0x100)))}œ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ01234567')"
+
+
 @query(f"""WITH ws AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\pL+')) AS word FROM documents), lex AS (SELECT * FROM (VALUES {TERM_ROWS}) AS v(term)),
- c AS (SELECT word, term, damerau_levenshtein(word, term) AS dist FROM ws JOIN lex ON (substr(word, 1, 1) = substr(term, 1, 1) OR substr(word, 2, 1) = substr(term, 1, 1)) WHERE len(word) >= 5 AND word NOT IN (SELECT term FROM lex))
+ c AS (SELECT word, term, damerau_levenshtein({ONE_BYTE}, term) AS dist FROM ws JOIN lex ON (substr(word, 1, 1) = substr(term, 1, 1) OR substr(word, 2, 1) = substr(term, 1, 1)) WHERE len(word) >= 5 AND word NOT IN (SELECT term FROM lex))
  SELECT word, arg_min(term, CAST(dist AS VARCHAR) || term) AS term, CAST(min(dist) AS INTEGER) AS distance FROM c WHERE dist <= CASE WHEN len(word) < 8 THEN 1 ELSE 2 END GROUP BY word""")
 def fuzzy_lexicon_join(spark: SparkSession, d: str) -> DataFrame:
     """The nearest terms of words of all letters, with swapped neighbours as one edit."""

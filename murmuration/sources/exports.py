@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DISCLAIMER = "Model-estimated probability, not a definitive human judgement."
@@ -68,10 +68,39 @@ def load_thresholds(spark: SparkSession, path: str) -> tuple[DataFrame, float]:
     return rows.where("group is not null"), 0.5 if default is None else default["threshold"]
 
 
+def parsed(payloads: DataFrame, column: str = "payload") -> DataFrame:
+    """The rows with the JSON text as a VARIANT; text that is not JSON stays in `malformed`, with no value."""
+    value = F.try_parse_json(F.col(column))
+    return payloads.withColumn("malformed", F.when(value.isNull() & F.col(column).isNotNull(), F.col(column))).withColumn(column, value)
+
+
+def store_payloads(payloads: DataFrame, path: str, at: str = "stored_at") -> None:
+    """Appends (post_id, payload, at), payloads parsed once and kept by day."""
+    parsed(payloads).withColumn("stored_date", F.to_date(at)).write.mode("append").partitionBy("stored_date").parquet(path)
+
+
+def payload_at(payload: Column, path: str, kind: str) -> Column:
+    """What a payload holds at a path such as `$.user.id`, as a type; null if it is not there or not of that type."""
+    return F.try_variant_get(payload, path, kind)
+
+
+def purge_days(spark: SparkSession, path: str, before: str) -> list[str]:
+    """Drops the days of a payload store before a date, whole folders at a time; gives the days."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    days = sorted(s.getPath().getName().split("=")[1] for s in files.listStatus(root) if s.getPath().getName().startswith("stored_date="))
+    gone = [d for d in days if d[:4].isdigit() and d < before]
+    for d in gone:
+        files.delete(jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/stored_date={d}"), True)
+    return gone
+
+
 def payloads_of(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
     """The latest stored payload of each id."""
     held = spark.read.parquet(path).join(ids.select("post_id").distinct(), "post_id", "left_semi")
-    return held.groupBy("post_id").agg(F.max_by("payload", "stored_at").alias("payload"), F.max("stored_at").alias("stored_at"))
+    latest = held.groupBy("post_id").agg(F.max_by(F.struct("payload"), "stored_at").alias("p"), F.max("stored_at").alias("stored_at"))
+    return latest.select("post_id", "p.payload", "stored_at")
 
 
 def without_payloads(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:

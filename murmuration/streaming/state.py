@@ -91,7 +91,7 @@ def near_duplicate_pairs(stream: DataFrame, key: str, text: str, at: str, thresh
     """
     count, rows = similarity.banding(threshold)
     signed = similarity.signatures(stream, key, text, k, count * rows, keep=[at, "s"])
-    each = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.xxhash64(i, F.slice(F.col("m"), i * rows + 1, rows)))
+    each = similarity.band_names(F.col("m"), count, rows)
     told = signed.select(F.col(key).cast("long").alias("id"), F.col(at).alias("at"), F.array_sort("s").alias("hashes"), each.alias("bands")).withWatermark("at", late)
     dealt = told.select("id", "at", "hashes", "bands", F.explode("bands").alias("band"))
     span = int(pd.Timedelta(keep).total_seconds() * 1000)

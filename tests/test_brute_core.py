@@ -56,6 +56,31 @@ def test_forecast_by_the_best_weights(spark):
         assert np.allclose(found[k], brute_forecast(y, 5, trends.GRID), atol=6e-4), k
 
 
+def test_searched_weights_are_never_worse_than_the_grid(spark):
+    r = np.random.default_rng(5)
+    series = {f"s{i}": [float(max(0, 20 + 0.3 * t + 6 * (t % 7 in (1, 2)) + r.normal(0, 1 + i))) for t in range(21 + 9 * i)] for i in range(5)} | {"short": [1.0, 2.0], "flat": [4.0] * 25, "zero": [0.0] * 25}
+    better = 0
+    for y in series.values():
+        if len(y) < 7:
+            continue
+        start = min(trends.GRID, key=lambda w: trends.one_step_error(y, *w))
+        found = trends.simplex(y, start, 200)
+        assert all(trends.LOWEST <= v <= trends.HIGHEST for v in found)
+        dense = min(trends.one_step_error(y, a, b, c) for a in np.linspace(0.01, 0.99, 12) for b in np.linspace(0.01, 0.99, 12) for c in np.linspace(0.01, 0.99, 12))
+        grid, now = trends.one_step_error(y, *start), trends.one_step_error(y, *found)
+        assert now <= grid + 1e-9 and now <= dense * 1.02 + 1e-9
+        better += now < grid - 1e-6
+    assert better >= 4
+    rows = spark.createDataFrame([(k, i, v) for k, y in series.items() for i, v in enumerate(y)], "k string, day int, v double")
+    found = defaultdict(list)
+    for x in trends.holt_winters(rows, "day", "v", ["k"], 5, search=200).orderBy("k", "step").collect():
+        found[x.k].append((x.forecast, x.low, x.high))
+    for k, y in series.items():
+        start = min(trends.GRID, key=lambda w: trends.one_step_error(y, *w))
+        own = trends.simplex(y, start, 200) if len(y) >= 7 else start
+        assert np.allclose(found[k], brute_forecast(y, 5, [start, own]), atol=6e-4), k
+
+
 def test_betweenness_of_all_sources(spark, data):
     """Brandes' algorithm on the query's own edges, where all vertices are sources."""
     edges = {(r.src, r.dst) for r in graph_plans._edges(spark, data).select("src", "dst").collect()}

@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from murmuration.functions import language as L
 from murmuration.functions import text as X
 from murmuration.operators import similarity
 from murmuration.plans import text as plans
@@ -59,7 +60,7 @@ def test_shingles(spark):
 
 
 def test_language_profile(spark):
-    scores = spark.createDataFrame([("der die das und ist nicht schön",)], "t string").select(*[v.alias(k) for k, v in X.profile_scores(F.col("t")).items()]).first().asDict()
+    scores = spark.createDataFrame([("der die das und ist nicht schön",)], "t string").select(X.profile_scores(F.col("t")).alias("s")).first().s.asDict()
     assert max(scores, key=scores.get) == "de"
 
 
@@ -121,7 +122,6 @@ def test_duplicates_point_at_earlier_ones(spark):
 
 
 def test_language_verdicts(spark):
-    from murmuration.functions import language as L
 
     texts = ["the cat is on the mat and it was all of us", "привет мир", "", "yaar kya hai yeh sab bahut galat", "ana mesh 3ayez el kalb da", "der hund ist nicht die katze", None]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", "t", L.detect(F.col("t")).alias("v"))
@@ -140,7 +140,6 @@ def test_marks_outside_words_give_no_bonus(spark):
 
 
 def test_segments_take_the_commonest_words():
-    from murmuration.functions import language as L
 
     costs = L.word_costs(["the", "a", "now", "here", "nowhere", "war", "stop"])
     found = {w: L.segment(w, costs) for w in ("stopthewar", "nowhere", "stopxyzthe", "qqqqzzzz", "ab", "स्टॉप", "THEwar")}
@@ -148,9 +147,8 @@ def test_segments_take_the_commonest_words():
 
 
 def test_emoji_and_hashtags(spark):
-    from murmuration.functions import language as L
 
-    row = spark.createDataFrame([("go 🔥!", "#stopthewar #BigNews #a_b #ünï"), (None, None)], "e string, h string").select(L.demojize("e").alias("e"), L.split_hashtags(F.col("h"), ["stop", "the", "war"]).alias("h")).collect()
+    row = spark.createDataFrame([("go 🔥!", "#stopthewar #BigNews #a_b #ünï"), (None, None)], "e string, h string").select(L.emoji_named(F.col("e")).alias("e"), L.split_hashtags(F.col("h"), ["stop", "the", "war"]).alias("h")).collect()
     assert row[0].e.text == "go  fire !" and row[0].e.emoji == ["🔥"] and row[0].h == "stop the war big news a b ünï"
     assert row[1].h is None
 
@@ -275,3 +273,52 @@ def test_bands_follow_from_the_threshold():
         count, width = similarity.banding(t)
         assert count * width <= similarity.HASHES and (1 - t**width) ** count <= similarity.MISS
     assert similarity.banding(1.0) == (1, similarity.HASHES)
+
+
+def brute_emoji(text, listed):
+    """All ways to cut a text into emoji and single signs; the one whose emoji are longest from the left."""
+    tone, ri = {"🏻": "light", "🏼": "medium-light", "🏽": "medium", "🏾": "medium-dark", "🏿": "dark"}, lambda c: 0x1F1E6 <= ord(c) <= 0x1F1FF
+
+    def named(s):
+        if s in listed:
+            return listed[s]
+        if len(s) == 2 and all(map(ri, s)):
+            return "flag " + "".join(chr(ord(c) - 0x1F1E6 + 97) for c in s)
+        if len(s) == 1 and ri(s):
+            return "regional indicator " + chr(ord(s) - 0x1F1E6 + 97)
+        if re.fullmatch("[0-9#*]\ufe0f?\u20e3", s):
+            return f"keycap {s[0]}"
+        parts = s.split("\u200d")
+        names = []
+        for i, p in enumerate(parts):
+            m = re.fullmatch("([🀀-🇥🌀-🫿☀-➿])(\ufe0f?)([🏻-🏿]?)", p)
+            if not m or (m[1] in tone and m[3]):
+                return None
+            names.append(unicodedata.name(m[1]).lower() + (f" {tone[m[3]]} skin tone" if m[3] else ""))
+        return " with ".join(names)
+
+    out, found, i = "", [], 0
+    while i < len(text):
+        best = max((j for j in range(i + 1, len(text) + 1) if named(text[i:j])), default=None)
+        if best is None:
+            out, i = out + text[i], i + 1
+        else:
+            out, found, i = out + f" {named(text[i:best])} ", [*found, text[i:best]], best
+    return out, found
+
+
+def test_emoji_sequences_are_brute_force(spark):
+    r = random.Random(12)
+    pool = ["👩", "👩🏽", "👨", "\u200d", "💻", "❤\ufe0f", "❤", "🏻", "🏿", "👍", "🇩", "🇪", "🇫", "1", "#", "\ufe0f", "\u20e3", "a", " ", "🏳\ufe0f\u200d🌈", "é", "漢"]
+    texts = ["".join(r.choice(pool) for _ in range(r.randrange(9))) for _ in range(600)] + ["family 👨\u200d👩\u200d👧\u200d👦!", "🇩🇪🇫🇷 5\ufe0f\u20e3", "plain", ""]
+    trie = L.EmojiTrie(L.SEQUENCES)
+    for t in texts:
+        assert trie.name_all(t) == brute_emoji(t, L.SEQUENCES), t
+    rows = spark.createDataFrame(list(enumerate([*texts, None])), "i int, t string").select("i", L.emoji_named(F.col("t")).alias("e")).collect()
+    assert {x.i: (x.e.text, x.e.emoji) for x in rows} == {i: brute_emoji(t, L.SEQUENCES) if t is not None else (None, []) for i, t in enumerate([*texts, None])}
+    assert trie.name_all("🏴\U000e0067\U000e0062\U000e0065\U000e006e\U000e0067\U000e007f")[0] == " flag gbeng "
+
+
+def test_the_whole_cleaning_chain(spark):
+    text = "RT @a: See  https://x.org  #stopthewar &amp; @bob 👍🏽 ﬁn"
+    assert one(spark, lambda t: L.normalise(t, ["the", "stop", "war"]), text) == "see stop the war & @user thumbs up sign medium skin tone fin"
