@@ -145,10 +145,14 @@ class Words:
         data = self.data if fold is None else fold[self.data]
         if not len(self):
             return np.empty(0, np.uint64)
-        begin = self.start[0]
-        place = np.arange(begin, len(data)) - np.repeat(self.start, np.diff(np.append(self.start, len(data))))
+        begin = int(self.start[0])
+        owner = np.repeat(self.start.astype(np.int32), np.diff(np.append(self.start, len(data))))
         total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(byte_numbers(data[begin:], place), out=total[begin + 1 :])
+        for a in range(begin, len(data), SLICE_BYTES):  # so that a long text needs 12 bytes a byte
+            b = min(a + SLICE_BYTES, len(data))
+            place = np.arange(a, b, dtype=np.int32) - owner[a - begin : b - begin]
+            np.cumsum(byte_numbers(data[a:b], place), out=total[a + 1 : b + 1])
+            total[a + 1 : b + 1] += total[a]
         value = total[self.end] - total[self.start]
         return mix(value ^ (self.end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
