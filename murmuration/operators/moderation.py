@@ -66,3 +66,8 @@ def summaries(posts: DataFrame, classified: DataFrame) -> DataFrame:
 def append_audit(report: DataFrame, path: str, week: str) -> None:
     """A report as one JSON row a group, appended under its week; earlier weeks stay as they were."""
     report.select(F.lit(week).alias("week"), F.to_json(F.struct("*")).alias("report")).write.mode("append").partitionBy("week").json(path)
+
+
+def event_list(events: DataFrame, day: str, until: Column, days: int) -> DataFrame:
+    """The events from `days` before a day on, the newest first."""
+    return events.where(F.col(day) >= F.date_sub(until, days)).orderBy(F.desc(day))

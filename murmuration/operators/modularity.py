@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from murmuration.operators.graph import saved, vertices
 
-TURNS, ROUNDS, LEVELS = 3, 12, 12
+TURNS, ROUNDS, LEVELS = 3, 8, 12
 #: The least gain of modularity for which another round is run.
-GAIN = 1e-7
+GAIN = 1e-5
 
 
 def undirected(edges: DataFrame) -> DataFrame:

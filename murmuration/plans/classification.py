@@ -25,6 +25,13 @@ def classified(spark: SparkSession, d: str) -> DataFrame:
     return C.classify(C.matches(spread(table(spark, d, "documents").select("doc_id", "text")), lexicon()))
 
 
+def scored_labels(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, lang, label, score): labelled documents and the toxicity that the rules give their whole texts."""
+    labels = table(spark, d, "labels").select("doc_id", F.col("toxic").cast("int").alias("truth"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "lang", "text").join(labels, "doc_id"))
+    return C.backend("rules", lexicon())(docs).select("doc_id", "lang", F.col("truth").alias("label"), F.col("toxicity").alias("score"))
+
+
 def _sql() -> str:
     """Every word of `t` stands between two spaces of its own; a rule's matches are counted, and so are the terms'."""
     group = "(?:" + lexicon().alternation() + ")"
@@ -57,6 +64,10 @@ def _sql() -> str:
  {SEVERITY_STEPS.replace("FROM x)", "FROM y)")}, hit AS ({hits})"""
 
 
+#: The rows of :func:`scored_labels`, after the steps of the classification.
+SCORED = f"{_sql().removeprefix('WITH ')}, scored AS (SELECT o.doc_id, o.lang, CAST(l.toxic AS INTEGER) AS label, y.tox AS score FROM documents o JOIN labels l ON l.doc_id = o.doc_id JOIN y ON y.doc_id = o.doc_id)"
+
+
 @query(f"{_sql()} SELECT doc_id, {', '.join(f'round({c} + 1e-9::DOUBLE, 4) AS {c}' for c in CATEGORIES)}, label, tox AS toxicity, {LEVEL} AS severity FROM c1")
 def classify_documents(spark: SparkSession, d: str) -> DataFrame:
     return classified(spark, d).select("doc_id", *[F.round(F.col(c) + 1e-9, 4).alias(c) for c in CATEGORIES], "label", "toxicity", "severity")

@@ -6,15 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmuration.operators import evaluation as E
+from murmuration.operators.graph import saved
+from murmuration.plans.classification import SCORED, scored_labels
 from murmuration.plans.registry import query
 from murmuration.sources.tables import annotations, table, with_views
 
-SCORED = """scored AS (SELECT d.doc_id, d.lang, CAST(l.toxic AS INTEGER) AS label, ((d.doc_id * 37 + l.toxic * 31) % 101)::DOUBLE / 100 AS score FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"""
-
-
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    score = ((F.col("doc_id") * 37 + F.col("toxic") * 31) % 101) / 100.0
-    return table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id").select("doc_id", "lang", F.col("toxic").cast("int").alias("label"), score.alias("score"))
+    """Scores are saved: what follows reads them more than once, and texts should be matched once."""
+    return saved(scored_labels(spark, d))
 
 
 METRICS = """lang, count(*) AS n, count(*) FILTER (WHERE label = 1) AS n_positive, count(*) FILTER (WHERE label <> 1) AS n_negative,
@@ -30,8 +29,8 @@ def fairness_metrics(spark: SparkSession, d: str) -> DataFrame:
     return E.group_metrics(_scored(spark, d), "lang")
 
 
-@query(f"""WITH {SCORED}, m AS (SELECT {METRICS} FROM scored GROUP BY lang) SELECT round(coalesce(max(fpr) FILTER (WHERE n_negative >= 5) - min(fpr) FILTER (WHERE n_negative >= 5), 0), 4) AS fpr_gap,
- round(coalesce(max(fnr) FILTER (WHERE n_positive >= 5) - min(fnr) FILTER (WHERE n_positive >= 5), 0), 4) AS fnr_gap, count(*) AS n_groups FROM m""")
+@query(f"""WITH {SCORED}, by_lang AS (SELECT {METRICS} FROM scored GROUP BY lang) SELECT round(coalesce(max(fpr) FILTER (WHERE n_negative >= 5) - min(fpr) FILTER (WHERE n_negative >= 5), 0), 4) AS fpr_gap,
+ round(coalesce(max(fnr) FILTER (WHERE n_positive >= 5) - min(fnr) FILTER (WHERE n_positive >= 5), 0), 4) AS fnr_gap, count(*) AS n_groups FROM by_lang""")
 def fairness_gap(spark: SparkSession, d: str) -> DataFrame:
     return E.gaps(E.group_metrics(_scored(spark, d), "lang"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmuration.operators import graph as G
+from murmuration.operators import modularity as Q
 from murmuration.plans.registry import query
 from murmuration.sources.tables import posts, table, with_views
 
@@ -54,10 +55,11 @@ def intra_ratio(spark: SparkSession, d: str) -> DataFrame:
     return G.intra_ratio(_edges(spark, d), _by_place(spark, d))
 
 
-@query(f"{EDGES}, deg AS (SELECT src AS id, sum(weight) AS w FROM edges GROUP BY src ORDER BY w DESC, id LIMIT 40) SELECT src, dst, weight FROM edges WHERE src IN (SELECT id FROM deg) AND dst IN (SELECT id FROM deg)")
+@query(f"{_pagerank_sql(20)}, top AS (SELECT id FROM r20 ORDER BY round(rank, 7) DESC, id LIMIT 40) SELECT src, dst, weight FROM edges WHERE src IN (SELECT id FROM top) AND dst IN (SELECT id FROM top)")
 def topk_subgraph(spark: SparkSession, d: str) -> DataFrame:
-    edges = _edges(spark, d)
-    rank = G.degrees(edges).select("id", F.col("out_weight").alias("rank"))
+    """The edges among the 40 authors of highest PageRank."""
+    edges = G.saved(_edges(spark, d))
+    rank = G.pagerank(edges).select("id", F.round("rank", 7).alias("rank"))
     return G.top_subgraph(edges, rank, 40).select("src", "dst", "weight")
 
 
@@ -76,6 +78,24 @@ def label_communities(spark: SparkSession, d: str) -> DataFrame:
     return G.communities(G.saved(_edges(spark, d)))
 
 
+@query()
+def modularity_communities(spark: SparkSession, d: str) -> DataFrame:
+    """(id, community) by modularity; SQL has no such search, so its modularity is held against other partitions in tests."""
+    return Q.communities(G.saved(_edges(spark, d)))
+
+
+@query()
+def community_report(spark: SparkSession, d: str) -> DataFrame:
+    """Each community found: its size, mean toxicity, members of highest PageRank and the share of its edges that stay inside."""
+    edges = G.saved(_edges(spark, d))
+    members = G.saved(Q.communities(edges))
+    toxicity = posts(spark, d).groupBy(F.col("author_id").alias("id")).agg(F.avg("tox").alias("toxicity"))
+    stats = G.community_stats(members, G.pagerank(edges), toxicity)
+    side = lambda c, name: members.select(F.col("id").alias(c), F.col("community").alias(name))
+    inside = edges.join(side("src", "community"), "src").join(side("dst", "other"), "dst").groupBy("community").agg(F.round(F.avg((F.col("community") == F.col("other")).cast("double")), 4).alias("intra_ratio"))
+    return stats.join(inside, "community", "left").withColumn("top", F.array_join(F.transform("top", lambda x: x.cast("string")), ","))
+
+
 @query()
 def sampled_betweenness(spark: SparkSession, d: str) -> DataFrame:
     return G.betweenness(G.saved(_edges(spark, d)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from murmuration.operators import moderation as M
 from murmuration.operators import trends
 from murmuration.plans.registry import query
-from murmuration.sources.tables import as_of, authors, posts, review_queue, with_views, world_events
+from murmuration.sources.tables import as_of, authors, posts, review_queue, with_views
 
 P, PA, PQ = with_views("posts"), with_views("posts", "authors"), with_views("posts", "queue")
 
@@ -73,10 +73,12 @@ def taxonomy(spark: SparkSession, d: str) -> DataFrame:
     return M.taxonomy(hits).select("category", F.array_join("labels", ",").alias("labels"))
 
 
-@query(f"{with_views('world')} SELECT event_no, strftime(dy, '%Y-%m-%d') AS on_day, title FROM world WHERE dy >= DATE '2024-01-31' - INTERVAL 20 DAY ORDER BY dy DESC")
+@query(f"""{P}, daily AS (SELECT CAST(created_at AS DATE) AS dy, target, count(*) AS n, round(avg(tox), 4) AS mean_toxicity FROM posts WHERE tox >= 0.9 GROUP BY dy, target)
+ SELECT strftime(dy, '%Y-%m-%d') AS on_day, target AS title, n, mean_toxicity FROM daily WHERE dy >= DATE '2024-01-31' - INTERVAL 20 DAY""")
 def event_list(spark: SparkSession, d: str) -> DataFrame:
-    recent = world_events(spark).where(F.col("day") >= F.date_sub(F.to_date(as_of()), 20)).orderBy(F.desc("day"))
-    return recent.select("event_no", F.date_format("day", "yyyy-MM-dd").alias("on_day"), "title")
+    """The events of the last 20 days, the newest first: outbursts of very toxic posts by day and target."""
+    outbursts = posts(spark, d).where("tox >= 0.9").groupBy(F.to_date("created_at").alias("day"), F.col("target").alias("title")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("tox"), 4).alias("mean_toxicity"))
+    return M.event_list(outbursts, "day", F.to_date(as_of()), 20).select(F.date_format("day", "yyyy-MM-dd").alias("on_day"), "title", "n", "mean_toxicity")
 
 
 @query(f"{P} SELECT post_id, author_id, k AS likes, severity * 2 AS replies, label, CASE WHEN label IS NULL THEN NULL ELSE round(tox, 4) END AS toxicity FROM (SELECT post_id, author_id, k, severity, CASE WHEN post_id % 9 <> 0 THEN label END AS label, tox FROM posts) x")
