@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmuration.llm import bpe, decontam, licenses, lines, merkle, mixing, neardup, ordinal, rules, sharding, substrings, toxicity, trie
+from murmuration.llm import bpe, decontam, licenses, lines, merkle, mixing, neardup, ordinal, rules, sharding, statements, substrings, toxicity, trie
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -137,4 +137,4 @@ OP5_PASSAGE_SQL = OP5_SQL.replace(
 later AS (SELECT doc_id, r, size FROM (SELECT doc_id, r, size, row_number() OVER (PARTITION BY c ORDER BY doc_id, r) AS occurrence FROM cut) o WHERE occurrence > 1)""",
 ).replace("FROM later, (VALUES (0), (1), (2)) AS v(k))", "FROM later, (VALUES (0), (1), (2)) AS v(k) WHERE k < size)")
 
-ORACLE: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op5_passage_dedup": OP5_PASSAGE_SQL, "op7_near_duplicates": OP7_SQL}
+ORACLE: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op5_passage_dedup": OP5_PASSAGE_SQL, "op7_near_duplicates": OP7_SQL, "op11_prefix_trie": statements.OP11, "op12_merkle_manifest": statements.OP12}
