@@ -13,7 +13,8 @@ says which seeds the benchmark has; documents with none of them go no further.
 The others are written with their seeds and joined with the items' seeds.  Tiles
 that cover enough of an item hold so many of its seeds that one is among its rarest,
 so items are joined by these alone, and a seed that very many documents share is
-left out.  The benchmark is a table throughout: only its bits reach the driver, and
+left out.  Of each pair so met all shared seeds are counted by their hashes, and only
+the texts of pairs with as many as such tiles hold are moved.  The benchmark is a table throughout: only its bits reach the driver, and
 its texts are broadcast only if they were measured and are small.
 
 Defined cases: null and empty texts and items of fewer than `LEAST` tokens match
@@ -40,6 +41,8 @@ LEAST, COVERAGE = 5, 0.6
 BROADCAST_BYTES = 8 << 20
 #: Bits of the table of the benchmark's seeds: 2 MB, whatever its size.
 FILTER_BITS = 24
+#: Pairs of equal windows that tiling holds at a time.
+PAIRS = 1 << 18
 
 
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -68,20 +71,21 @@ def _open_windows(free: np.ndarray, length: int) -> np.ndarray:
     return np.flatnonzero(below[length:] - below[:-length] == length) if len(free) >= length else np.empty(0, np.int64)
 
 
-def _meet(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of all pairs of equal values."""
-    order = np.argsort(b, kind="stable")
-    low, high = np.searchsorted(b[order], a), np.searchsorted(b[order], a, "right")
-    count = high - low
-    left = np.repeat(np.arange(len(a)), count)
-    return left, order[np.repeat(low, count) + np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count)]
+def _blocks(count: np.ndarray) -> Iterator[slice]:
+    """Slices of places whose pairs are `PAIRS` at most together, or one place."""
+    total = np.cumsum(count)
+    start = 0
+    while start < len(count):
+        before = total[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(total, before + PAIRS, "right")))
+        yield slice(start, end)
+        start = end
 
 
-def _matches(item: np.ndarray, text: np.ndarray, free_item: np.ndarray, free_text: np.ndarray, rolls: tuple[_Rolling, _Rolling], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places in both, and lengths, of free matches of `length` tokens or more that begin at a free window."""
-    at_item, at_text = _open_windows(free_item, length), _open_windows(free_text, length)
-    i, j = _meet(rolls[0].of(length, at_item), rolls[1].of(length, at_text))
-    p, t = at_item[i], at_text[j]
+def _grown(
+    item: np.ndarray, text: np.ndarray, free_item: np.ndarray, free_text: np.ndarray, p: np.ndarray, t: np.ndarray, length: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs of windows with equal hashes those with equal tokens, and how long they match."""
     same = np.ones(len(p), bool)
     for k in range(length):  # equal hashes are not yet equal tokens
         same &= item[p + k] == text[t + k]
@@ -97,6 +101,48 @@ def _matches(item: np.ndarray, text: np.ndarray, free_item: np.ndarray, free_tex
     return p, t, n
 
 
+def _matches(
+    item: np.ndarray, text: np.ndarray, free_item: np.ndarray, free_text: np.ndarray, rolls: tuple[_Rolling, _Rolling], length: int
+) -> tuple[np.ndarray, np.ndarray, int]:
+    """Places in both, by item and text, of the longest free matches, and their length; none below `length` tokens.
+
+    The text is met in blocks, so memory follows the item: of the longest matches at
+    one place of the item the first 2 * len(item) + 1 are kept.  Tiles of one length are
+    len(item) / length at most and each bars fewer than 2 * length places of the text,
+    so the place that greedy tiling takes is always among them.
+    """
+    at_item, at_text = _open_windows(free_item, length), _open_windows(free_text, length)
+    hashes = rolls[0].of(length, at_item)
+    order = np.argsort(hashes, kind="stable")
+    windows = rolls[1].of(length, at_text)
+    low, high = np.searchsorted(hashes[order], windows), np.searchsorted(hashes[order], windows, "right")
+    met = np.flatnonzero(high > low)
+    low, count = low[met], (high - low)[met]
+    held = np.zeros(len(item), np.int64)
+    best, places, others = length, [], []
+    for block in _blocks(count):
+        many = count[block]
+        t = np.repeat(at_text[met[block]], many)
+        within = np.arange(len(t)) - np.repeat(np.cumsum(many) - many, many)
+        p, t, n = _grown(item, text, free_item, free_text, at_item[order[np.repeat(low[block], many) + within]], t, length)
+        if not len(p) or n.max() < best:
+            continue
+        if n.max() > best:
+            best, places, others = int(n.max()), [], []
+            held[:] = 0
+        p, t = p[n == best], t[n == best]
+        by_item = np.lexsort((t, p))
+        p, t = p[by_item], t[by_item]
+        rank = np.arange(len(p)) - np.searchsorted(p, p) + held[p]
+        p, t = p[rank <= 2 * len(item)], t[rank <= 2 * len(item)]
+        held += np.bincount(p, minlength=len(item))
+        places.append(p)
+        others.append(t)
+    p, t = (np.concatenate([np.empty(0, np.int64), *x]) for x in (places, others))
+    by_item = np.lexsort((t, p))
+    return p[by_item], t[by_item], best
+
+
 def tile(item: np.ndarray, text: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
     """Tiles (place in item, place in text, length) of greedy string tiling."""
     if len(item) < least or len(text) < least:
@@ -106,19 +152,15 @@ def tile(item: np.ndarray, text: np.ndarray, least: int = LEAST) -> list[tuple[i
     tiles: list[tuple[int, int, int]] = []
     length = min(len(item), len(text))
     while True:
-        p, t, n = _matches(item, text, free_item, free_text, rolls, length)
+        p, t, size = _matches(item, text, free_item, free_text, rolls, length)
         while len(p):
-            k = np.lexsort((t, p, -n))[0]
-            size = int(n[k])
-            free_item[p[k] : p[k] + size] = free_text[t[k] : t[k] + size] = False
-            tiles.append((int(p[k]), int(t[k]), size))
-            longest = n == size
-            p, t, n = p[longest], t[longest], n[longest]
+            free_item[p[0] : p[0] + size] = free_text[t[0] : t[0] + size] = False
+            tiles.append((int(p[0]), int(t[0]), size))
             taken_item, taken_text = np.r_[0, np.cumsum(~free_item)], np.r_[0, np.cumsum(~free_text)]
             open_ = (taken_item[p + size] == taken_item[p]) & (taken_text[t + size] == taken_text[t])
-            p, t, n = p[open_], t[open_], n[open_]
+            p, t = p[open_], t[open_]
             if not len(p):  # shorter matches may have been cut by the tiles of this length
-                p, t, n = _matches(item, text, free_item, free_text, rolls, length)
+                p, t, size = _matches(item, text, free_item, free_text, rolls, length)
         if length == least:
             return tiles
         length = max(least, length * 3 // 4)
@@ -213,12 +255,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, cove
     asked = F.ceil(F.ceil(F.col("n_tokens") * coverage - 1e-9) / least)
     ranked = item_seeds.join(often, "h", "left").withColumn("place", F.row_number().over(Window.partitionBy("b").orderBy(F.coalesce("times", F.lit(0)), "h")))
     probes = ranked.where(F.col("times").isNotNull() & (F.col("place") <= F.col("n_tokens") - least + 1 - asked + 1)).select("b", "h").distinct()
-    pairs = scratch.save(places.join(probes, "h").select("r", "b").distinct())
+    met = scratch.save(places.join(probes, "h").select("r", "b").distinct())
+    # an item's seeds may repeat, a row's do not: of different seeds fewer need be shared
+    repeats = item_seeds.groupBy("b", "h").agg(F.count(F.lit(1)).alias("m"), F.first("n_tokens").alias("n_tokens"))
+    lists = repeats.groupBy("b").agg(F.collect_list("h").alias("hs"), F.ceil(F.first(asked) / F.max("m")).alias("asked"))
+    counted = met.join(seeded.select("r", "seeds"), "r").join(F.broadcast(lists) if held <= BROADCAST_BYTES else lists, "b")
+    pairs = scratch.save(counted.where(F.size(F.array_intersect("seeds", "hs")) >= F.col("asked")).select("r", "b"))
     items = tests.select("b", "item", F.col("text").alias("item_text"))
-    met = pairs.join(seeded.select("r", "key", "text"), "r").join(F.broadcast(items) if held <= BROADCAST_BYTES else items, "b")
-    found = met.select("key", "text", "item", "item_text").mapInArrow(_tiled(least, coverage), "key long, item long, n_tokens long, n_covered long, n_tiles long, longest long")
+    texts = pairs.join(seeded.select("r", "key", "text"), "r").join(F.broadcast(items) if held <= BROADCAST_BYTES else items, "b")
+    found = texts.select("key", "text", "item", "item_text").mapInArrow(_tiled(least, coverage), "key long, item long, n_tokens long, n_covered long, n_tiles long, longest long")
     found = scratch.save(found)  # in batches of few whole texts; what is saved is a few numbers a pair
-    scratch.drop(seeded, pairs, item_seeds, tests)
+    scratch.drop(seeded, met, pairs, item_seeds, tests)
     return found.withColumn("coverage", F.col("n_covered") / F.col("n_tokens")).withColumnsRenamed({"key": key, "item": item})
 
 

@@ -20,9 +20,9 @@ match, found by a pre-aggregated minimum, so a passage that a third of all docum
 share costs no more than its rows.
 
 Defined cases: a null text has no lines and stays null; blank lines are kept and
-do not interrupt a run; lines are equal if their 64-bit hashes are; a row that is
-repeated, id included, is one document, and all its copies are cut alike; different
-texts under one id are ordered by a hash; documents shorter than `run` lines keep all
+do not interrupt a run; lines are equal if two 64-bit hashes of them with different seeds
+are, and so are matches; a row that is repeated, id included, is one document, and all
+its copies are cut alike; different texts under one id are ordered by a hash; documents shorter than `run` lines keep all
 unless `words` is given, and rows without an id keep all; other columns are carried
 along, but for those with the name of an output, which are replaced; an empty table
 gives no rows.
@@ -44,6 +44,9 @@ WORDS = 50
 #: Bytes up to which the runs to delete go to all tasks; beyond, documents are joined with them by a shuffle.
 BROADCAST_BYTES = 16 << 20
 
+#: A match is told by two hashes of its lines.
+MATCH = ["c", "d"]
+
 OUTER = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 
 
@@ -52,17 +55,23 @@ def _lines(text: Column) -> Column:
 
 
 def hashed_lines(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(key, t, i, h, w): of each document the numbers, hashes and word counts of its lines with a word."""
+    """(key, t, i, h, g, w): of each document the numbers, both hashes and word counts of its lines with a word."""
     value = F.col(f"`{text}`").cast("string")
     full = F.filter(_lines(value), lambda s: s["x"].rlike(WORD))
-    each = F.transform(full, lambda s: F.struct(s["i"].alias("i"), F.xxhash64(F.regexp_replace(s["x"], OUTER, "")).alias("h"), F.regexp_count(s["x"], F.lit(f"{WORD}+")).alias("w")))
-    rows = docs.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("key"), F.xxhash64(value).alias("t"), each.alias("s")).where(F.size("s") > 0)
-    once = rows.groupBy("key", "t").agg(F.first("s").alias("s"))
-    return once.select("key", "t", F.col("s.i").alias("i"), F.col("s.h").alias("h"), F.col("s.w").alias("w"))
+
+    def told(s: Column) -> Column:
+        line = F.regexp_replace(s["x"], OUTER, "")
+        words = F.regexp_count(s["x"], F.lit(f"{WORD}+"))
+        return F.struct(s["i"].alias("i"), F.xxhash64(line).alias("h"), F.xxhash64(F.lit(1), line).alias("g"), words.alias("w"))
+
+    name = F.col(f"`{key}`")
+    rows = docs.where(name.isNotNull()).select(name.alias("key"), F.xxhash64(value).alias("t"), F.transform(full, told).alias("s"))
+    once = rows.where(F.size("s") > 0).groupBy("key", "t").agg(F.first("s").alias("s"))
+    return once.select("key", "t", *(F.col("s")[c].alias(c) for c in "ihgw"))
 
 
 def fingerprints(lined: DataFrame, run: int, words: int | None) -> DataFrame:
-    """(key, t, at, c): the place and hash of each line that a window selects; of equal least ones the first."""
+    """(key, t, at, c, d): the place and hashes of each line that a window selects; of equal least ones the first."""
 
     def selected(size: int) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.size("h") - size, F.lit(0)))
@@ -74,14 +83,14 @@ def fingerprints(lined: DataFrame, run: int, words: int | None) -> DataFrame:
 
     sizes = [run] if words is None else range(1, run + 1)
     at = F.array_distinct(F.flatten(F.filter(F.array(*[selected(s) for s in sizes]), lambda x: x.isNotNull())))
-    return lined.select("key", "t", "h", F.explode(at).alias("at")).select("key", "t", "at", F.get("h", F.col("at")).alias("c"))
+    places = lined.select("key", "t", "h", "g", F.explode(at).alias("at"))
+    return places.select("key", "t", "at", F.get("h", F.col("at")).alias("c"), F.get("g", F.col("at")).alias("d"))
 
 
-def _matched(places: DataFrame, scratch: Scratch) -> DataFrame:
-    """The places whose match c has others, with `first`, the earliest of them."""
-    place = F.struct("key", "t", "at")
-    several = places.groupBy("c").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return scratch.save(places.drop("first").join(several, "c"))
+def _several(places: DataFrame) -> DataFrame:
+    """(c, d, first): the matches that stand at several places, with the earliest of these."""
+    found = places.groupBy(MATCH).agg(F.min(F.struct("key", "t", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
+    return found.where("n > 1").drop("n")
 
 
 def repeated_runs(docs: DataFrame, run: int = RUN, text: str = "text", key: str = "doc_id", words: int | None = None) -> DataFrame:
@@ -89,13 +98,22 @@ def repeated_runs(docs: DataFrame, run: int = RUN, text: str = "text", key: str
     scratch = Scratch(docs.sparkSession)
     lined = scratch.save(hashed_lines(docs, text, key))
     seeds = scratch.save(fingerprints(lined, run, words))
-    shared = seeds.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("c")
-    near = lambda name: F.transform(F.sequence(F.lit(1 - run), F.lit(run - 1)), lambda j: F.when(F.col("at") + j >= 0, F.get(name, F.col("at") + j)))
-    around = seeds.join(shared, "c", "left_semi").join(lined, ["key", "t"]).select("key", "t", "at", "c", near("h").alias("h"), near("w").alias("w"))
+
+    def near(name: str) -> Column:
+        """The values of the lines that a match around the fingerprint can reach."""
+        at = F.col("at")
+        return F.transform(F.sequence(F.lit(1 - run), F.lit(run - 1)), lambda j: F.when(at + j >= 0, F.get(name, at + j))).alias(name)
+
+    held = "hg" if words is None else "hgw"
+    around = seeds.join(_several(seeds), MATCH).join(lined, ["key", "t"]).select("key", "t", "at", *MATCH, "first", *map(near, held))
+    matches = [scratch.save(around)]
     line = lambda name, j: F.get(name, F.lit(j + run - 1))
 
     def grown(places: DataFrame, j: int) -> DataFrame:
-        return _matched(places.where(line("h", j).isNotNull()).withColumn("c", F.xxhash64("c", line("h", j))), scratch)
+        longer = {"c": F.xxhash64("c", line("h", j)), "d": F.xxhash64("d", line("g", j))}
+        further = places.where(line("h", j).isNotNull()).withColumns(longer).drop("first")
+        matches.append(scratch.save(further.join(_several(further), MATCH)))
+        return matches[-1]
 
     later: list[DataFrame] = []
 
@@ -109,7 +127,7 @@ def repeated_runs(docs: DataFrame, run: int = RUN, text: str = "text", key: str
             repeated = repeated.where(reduce(lambda a, b: a + b, [line("w", j) for j in range(-left, right + 1)]) > words)
         later.append(repeated.select("key", "t", (F.col("at") - left).alias("a"), (F.col("at") + right).alias("b")))
 
-    match = _matched(around, scratch)
+    match = matches[0]
     for right in range(run):
         match = grown(match, right) if right else match
         note(match, 0, right)
@@ -127,6 +145,7 @@ def repeated_runs(docs: DataFrame, run: int = RUN, text: str = "text", key: str
     ends = F.filter(r, lambda x, i: F.coalesce(F.get(r, i + 1)["a"] > x["b"] + 1, F.lit(True)))
     spans = marks.select("key", "t", F.zip_with(opens, ends, lambda a, b: F.struct(a["a"].alias("a"), b["b"].alias("b"))).alias("spans")).join(lined.select("key", "t", "i"), ["key", "t"])
     found = scratch.save(spans.select("key", "t", F.transform("spans", lambda s: F.struct(F.get("i", s["a"]).alias("first"), F.get("i", s["b"]).alias("last"))).alias("runs")))
+    scratch.drop(lined, seeds, *matches)
     return found
 
 

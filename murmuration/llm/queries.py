@@ -65,16 +65,10 @@ def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def _cut_lines(cut: DataFrame) -> DataFrame:
-    return cut.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed_lines").cast("long").alias("n_removed_lines"), F.col("n_runs").cast("long").alias("n_runs"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
-
-
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cut_lines(lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")))
-
-
-def op5_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cut_lines(lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), words=lines.WORDS))
+    cut = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), words=lines.WORDS)
+    counts = [F.col(c).cast("long").alias(c) for c in ("n_lines", "n_removed_lines", "n_runs")]
+    return cut.select("doc_id", *counts, F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,20 +93,30 @@ def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_quality_rules, op2_toxicity, op3_histogram_shards, op4_bpe, op5_line_dedup, op5_passage_dedup, op6_decontamination, op7_near_duplicates,
+        op1_quality_rules, op2_toxicity, op3_histogram_shards, op4_bpe, op5_line_dedup, op6_decontamination, op7_near_duplicates,
         op8_suffix_dedup, op9_license_scan, op10_ordinal_quality, op11_prefix_trie, op12_merkle_manifest, op13_source_mix,
     )
 }
 
+#: Runs of three lines, and one or two lines of over 50 words together.
 OP5_SQL = r"""
 WITH lines AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS x FROM documents),
-full_lines AS (SELECT doc_id, i, x, regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS y, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM lines WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
-starts AS (SELECT doc_id, r, y, lead(y, 1) OVER d AS y1, lead(y, 2) OVER d AS y2 FROM full_lines WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
-later AS (SELECT doc_id, r FROM (SELECT doc_id, r, row_number() OVER (PARTITION BY y, y1, y2 ORDER BY doc_id, r) AS occurrence FROM starts WHERE y2 IS NOT NULL) o WHERE occurrence > 1),
-gone AS (SELECT DISTINCT doc_id, r + k AS r FROM later, (VALUES (0), (1), (2)) AS v(k)),
+full_lines AS (SELECT doc_id, i, x, regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS y,
+  row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS w
+  FROM lines WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+starts AS (SELECT doc_id, r, y, w, lead(y, 1) OVER d AS y1, lead(y, 2) OVER d AS y2, lead(w, 1) OVER d AS w1
+  FROM full_lines WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+cut AS (SELECT doc_id, r, 3 AS size, [y, y1, y2] AS c FROM starts WHERE y2 IS NOT NULL
+  UNION ALL SELECT doc_id, r, 2, [y, y1] FROM starts WHERE y1 IS NOT NULL AND w + w1 > 50
+  UNION ALL SELECT doc_id, r, 1, [y] FROM starts WHERE w > 50),
+later AS (SELECT doc_id, r, size FROM
+  (SELECT doc_id, r, size, row_number() OVER (PARTITION BY c ORDER BY doc_id, r) AS occurrence FROM cut) o WHERE occurrence > 1),
+gone AS (SELECT DISTINCT doc_id, r + k AS r FROM later, (VALUES (0), (1), (2)) AS v(k) WHERE k < size),
 opens AS (SELECT g.doc_id, count(*) AS n FROM gone g LEFT JOIN gone p ON p.doc_id = g.doc_id AND p.r = g.r - 1 WHERE p.r IS NULL GROUP BY g.doc_id),
-counted AS (SELECT f.doc_id, count(*) AS n_lines, count(g.r) AS n_removed FROM full_lines f LEFT JOIN gone g ON g.doc_id = f.doc_id AND g.r = f.r GROUP BY f.doc_id),
-kept AS (SELECT l.doc_id, string_agg(l.x, chr(10) ORDER BY l.i) AS t FROM lines l LEFT JOIN full_lines f ON f.doc_id = l.doc_id AND f.i = l.i LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.r = f.r WHERE g.r IS NULL GROUP BY l.doc_id)
+counted AS (SELECT f.doc_id, count(*) AS n_lines, count(g.r) AS n_removed
+  FROM full_lines f LEFT JOIN gone g ON g.doc_id = f.doc_id AND g.r = f.r GROUP BY f.doc_id),
+kept AS (SELECT l.doc_id, string_agg(l.x, chr(10) ORDER BY l.i) AS t FROM lines l LEFT JOIN full_lines f ON f.doc_id = l.doc_id AND f.i = l.i
+  LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.r = f.r WHERE g.r IS NULL GROUP BY l.doc_id)
 SELECT d.doc_id, coalesce(c.n_lines, 0) AS n_lines, coalesce(c.n_removed, 0) AS n_removed_lines, coalesce(o.n, 0) AS n_runs, sha256(coalesce(k.t, '')) AS kept_sha256
 FROM documents d LEFT JOIN counted c ON c.doc_id = d.doc_id LEFT JOIN opens o ON o.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
@@ -128,13 +132,4 @@ reach AS (SELECT doc_id, doc_id AS other FROM sets UNION SELECT r.doc_id, l.b FR
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id, c.component_id = s.doc_id AS kept FROM sets s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c ON c.doc_id = s.doc_id
 """
 
-#: The same with windows of one and two lines that hold over 50 words.
-OP5_PASSAGE_SQL = OP5_SQL.replace(
-    "lead(y, 2) OVER d AS y2", "lead(y, 2) OVER d AS y2, w, lead(w, 1) OVER d AS w1"
-).replace("row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM", r"row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS w FROM").replace(
-    "later AS (SELECT doc_id, r FROM (SELECT doc_id, r, row_number() OVER (PARTITION BY y, y1, y2 ORDER BY doc_id, r) AS occurrence FROM starts WHERE y2 IS NOT NULL) o WHERE occurrence > 1)",
-    """cut AS (SELECT doc_id, r, 3 AS size, [y, y1, y2] AS c FROM starts WHERE y2 IS NOT NULL UNION ALL SELECT doc_id, r, 2, [y, y1] FROM starts WHERE y1 IS NOT NULL AND w + w1 > 50 UNION ALL SELECT doc_id, r, 1, [y] FROM starts WHERE w > 50),
-later AS (SELECT doc_id, r, size FROM (SELECT doc_id, r, size, row_number() OVER (PARTITION BY c ORDER BY doc_id, r) AS occurrence FROM cut) o WHERE occurrence > 1)""",
-).replace("FROM later, (VALUES (0), (1), (2)) AS v(k))", "FROM later, (VALUES (0), (1), (2)) AS v(k) WHERE k < size)")
-
-ORACLE: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op5_passage_dedup": OP5_PASSAGE_SQL, "op7_near_duplicates": OP7_SQL, "op11_prefix_trie": statements.OP11, "op12_merkle_manifest": statements.OP12}
+ORACLE: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op7_near_duplicates": OP7_SQL, "op11_prefix_trie": statements.OP11, "op12_merkle_manifest": statements.OP12}

@@ -285,7 +285,7 @@ def test_trie_on_odd_tables(spark):
     assert nodes_of(trie.rebuilt_trie(copies)) == brute_trie(copies.collect())
 
 
-@pytest.mark.parametrize("name", ["op11_prefix_trie", "op12_merkle_manifest"])
+@pytest.mark.parametrize("name", ["op5_line_dedup", "op11_prefix_trie", "op12_merkle_manifest"])
 def test_statements_give_the_same_rows(spark, data, name):
     import duckdb
 

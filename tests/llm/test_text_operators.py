@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from murmuration.llm import bpe, decontam, licenses, ordinal, queries, toxicity
@@ -105,7 +107,9 @@ def brute_tiles(item, text, least):
                 out.append((p, t, -n))
 
 
-def test_tiles_cover_as_brute_force_does():
+@pytest.mark.parametrize("pairs", [decontam.PAIRS, 7])
+def test_tiles_cover_as_brute_force_does(monkeypatch, pairs):
+    monkeypatch.setattr(decontam, "PAIRS", pairs)
     r = random.Random(2)
     for _ in range(300):
         item = [r.randrange(3) for _ in range(r.randrange(3, 25))]
@@ -181,6 +185,37 @@ def test_tiling_a_long_text_of_few_words_is_quick():
     assert sum(n for *_, n in decontam.tile(item, text)) > 60
 
 
+def test_tiling_one_word_repeated_holds_few_pairs():
+    """All windows are equal here: the tiles are whole, and memory follows the item and a block, not item times text."""
+    item, text = np.full(200, 5, np.uint64), np.full(200_000, 5, np.uint64)
+    tracemalloc.start()
+    assert decontam.tile(item, text) == [(0, 0, 200)]
+    ragged = np.where(np.arange(200_000) % 21 == 20, np.uint64(9), text)
+    assert sum(n for *_, n in decontam.tile(item, ragged)) == 200
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 128 << 20
+
+
+def test_a_seed_alone_moves_no_text(spark, monkeypatch):
+    """Rows that share one seed with a long item are met, but only texts with enough of its seeds reach the tiling."""
+
+    def arrived(least, coverage):
+        def run(batches):
+            for batch in batches:
+                one = pa.array(np.ones(batch.num_rows, np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("item"), *[one] * 4], names=["key", "item", "n_tokens", "n_covered", "n_tiles", "longest"])
+
+        return run
+
+    monkeypatch.setattr(decontam, "_tiled", arrived)
+    item = [f"b{i}" for i in range(50)]
+    rows = [(1, item), (2, ["x", *item[:5], "y"]), (3, ["x", *item[10:45], "y"]), (4, ["x", *item[3:8], "y", *item[20:25]])]
+    docs = spark.createDataFrame([(k, " ".join(v)) for k, v in rows], "doc_id long, text string")
+    found = decontam.contaminated(docs, spark.createDataFrame([(0, " ".join(item))], "item_id long, text string"))
+    assert {x.doc_id for x in found.collect()} == {1, 3}
+
+
 def test_planted_benchmark_passages(spark, data):
     docs, items = queries.table(spark, data, "documents").collect(), queries.table(spark, data, "benchmark").collect()
     whole = {(d.doc_id, b.item_id) for d in docs for b in items if b.text in d.text}
