@@ -11,14 +11,17 @@ from __future__ import annotations
 
 import pickle
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmuration.functions import scoring as S
+from murmuration.functions.text import let
 from murmuration.operators.literals import Index, fold
 
 MATCHES = "array<struct<category:string,weight:double,start:int,end:int,targeted:boolean,label:string,slur:boolean>>"
@@ -166,19 +169,41 @@ def targets() -> Column:
 def attributions(classified: DataFrame, text: str = "text") -> DataFrame:
     """Adds `attributions` (token, start, end, weight) and `top_positive`: each token has its strongest overlapping match's signed weight, scaled to [-1, 1]."""
 
-    @F.pandas_udf("array<struct<token:string,start:int,end:int>>")
-    def split(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<struct<token:string,start:int,end:int,weight:double>>")
+    def weigh(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         token = re.compile(r"[\w'’]+|[^\w\s]")
-        return texts.map(lambda x: [dict(token=m[0], start=m.start(), end=m.end()) for m in token.finditer(x or "")])
-
-    def weigh(t: Column) -> Column:
-        over = F.filter("matches", lambda m: (m["start"] < t["end"]) & (m["end"] > t["start"]))
-        signed = F.transform(over, lambda m: F.when(m["category"] == "counterspeech", -m["weight"]).when(m["label"].isNotNull() & ~m["slur"], F.when(F.col("toxicity") >= 0.3, 0.2 * F.col("toxicity")).otherwise(0.0)).otherwise(m["weight"]))
-        return F.aggregate(signed, F.lit(0.0), lambda a, w: F.when(F.abs(w) > F.abs(a), w).otherwise(a))
-
-    rows = classified.withColumn("__t", split(F.col(text))).withColumn("__w", F.transform("__t", lambda t: F.struct(t["token"].alias("token"), t["start"].alias("start"), t["end"].alias("end"), weigh(t).alias("weight"))))
+        for columns in batches:
+            for at in range(0, len(columns[0]), 256):  # few texts at a time are lists of tokens
+                said, starts, ends, weights, first = [], [], [], [], [0]
+                for text, marks, toxic in zip(*(c.slice(at, 256).to_pylist() for c in columns), strict=True):
+                    for m in token.finditer(text or ""):
+                        said.append(m[0])
+                        starts.append(m.start())
+                        ends.append(m.end())
+                    weights += [0.0] * (len(said) - len(weights))
+                    for m in marks:  # of equal strength the first mark stays
+                        weight = signed(m, toxic)
+                        for i in range(bisect_right(ends, m["start"], first[-1]), bisect_left(starts, m["end"], first[-1])):
+                            if abs(weight) > abs(weights[i]):
+                                weights[i] = weight
+                    first.append(len(said))
+                made = [pa.array(said, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(weights, pa.float64())]
+                yield pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.StructArray.from_arrays(made, ["token", "start", "end", "weight"]))
+
+    def signed(m: dict, toxicity: float) -> float:
+        if m["category"] == "counterspeech":
+            return -m["weight"]
+        if m["label"] is not None and not m["slur"]:
+            return 0.2 * toxicity if toxicity >= 0.3 else 0.0
+        return m["weight"]
+
+    def scale(x: Column) -> Column:
+        return F.transform(x["w"], lambda t: F.struct(t["token"].alias("token"), t["start"].alias("start"), t["end"].alias("end"), F.when(t["weight"] == 0, 0.0).otherwise(F.round(t["weight"] / x["most"], 4)).alias("weight")))
+
+    # what tokens are weighed by is computed once a text, not once a token
+    rows = classified.withColumn("__w", weigh(text, "matches", "toxicity"))
     most = F.greatest(F.coalesce(F.array_max(F.transform("__w", lambda x: F.abs(x["weight"]))), F.lit(0.0)), F.lit(1e-12))
-    scaled = rows.withColumn("attributions", F.transform("__w", lambda x: F.struct(x["token"].alias("token"), x["start"].alias("start"), x["end"].alias("end"), F.round(x["weight"] / most, 4).alias("weight")))).drop("__t", "__w")
+    scaled = rows.withColumn("attributions", let(F.struct(F.col("__w").alias("w"), most.alias("most")), scale)).drop("__w")
     best = F.array_sort(F.transform(F.filter("attributions", lambda x: x["weight"] > 0), lambda x: F.struct((-x["weight"]).alias("minus"), x["start"].alias("start"), x["token"].alias("token"))))
     return scaled.withColumn("top_positive", F.slice(F.array_distinct(F.transform(best, lambda x: x["token"])), 1, 8))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,6 +105,19 @@ def test_attributions_merge_by_place_and_text(spark):
     assert [x.weight for x in merged.m] == [0.2, 0.3] and [x.weight for x in merged.n] == [1.0, 0.5]
 
 
+def test_attributions_of_a_long_text_take_linear_time(spark):
+    text = " ".join(["day", "groupa are vermin", "it's", "slurx", "stop the hate", "fine."] * 5000)
+    begun = time.time()
+    row = classify.attributions(classify.classify(classify.matches(spark.createDataFrame([(text,)], "text string"), classify.placeholder_lexicon()))).first()
+    assert time.time() - begun < 100
+    tokens = [(m[0], m.start(), m.end()) for m in re.finditer(r"[\w'’]+|[^\w\s]", text)]
+    assert [(x.token, x.start, x.end) for x in row.attributions] == tokens
+    signed = [-m.weight if m.category == "counterspeech" else (0.2 * row.toxicity if row.toxicity >= 0.3 else 0.0) if m.label and not m.slur else m.weight for m in row.matches]
+    for i in (*range(30), len(tokens) - 3):
+        over = [w for m, w in zip(row.matches, signed) if m.start < tokens[i][2] and m.end > tokens[i][1]]
+        assert row.attributions[i].weight == pytest.approx(max(over, key=abs, default=0.0) / max(map(abs, signed)), abs=6e-5)
+
+
 def test_scorers_and_backends(spark):
     texts = spark.createDataFrame([("you idiot",), ("a day",)], "text string")
     scored = classify.scored_by(texts, lambda t: F.when(t.contains("idiot"), 0.9).otherwise(0.1))
