@@ -210,9 +210,9 @@ ONE_BYTE = f"translate(word, '{''.join(map(chr, range(0xDF, 0x100)))}œ', 'ABCDE
  c AS (SELECT word, term, damerau_levenshtein({ONE_BYTE}, term) AS dist FROM ws JOIN lex ON (substr(word, 1, 1) = substr(term, 1, 1) OR substr(word, 2, 1) = substr(term, 1, 1)) WHERE len(word) >= 5 AND word NOT IN (SELECT term FROM lex))
  SELECT word, arg_min(term, CAST(dist AS VARCHAR) || term) AS term, CAST(min(dist) AS INTEGER) AS distance FROM c WHERE dist <= CASE WHEN len(word) < 8 THEN 1 ELSE 2 END GROUP BY word""")
 def fuzzy_lexicon_join(spark: SparkSession, d: str) -> DataFrame:
-    """The nearest terms of words of all letters, with swapped neighbours as one edit."""
+    """The nearest terms of words of all letters; swapped letters are one edit, and what stands between them one a letter."""
     words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word"))
-    return similarity.fuzzy_hits(words, _terms(spark)).select("word", "term", "distance")
+    return similarity.fuzzy_hits(words, _terms(spark), edits=X.damerau).select("word", "term", "distance")
 
 
 def _terms(spark: SparkSession) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import re
 import unicodedata
 
+import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from murmuration.functions import language as L
 from murmuration.functions import text as X
 from murmuration.operators import similarity
+from murmuration.plans import catalogue
 from murmuration.plans import text as plans
 
 
@@ -250,6 +252,34 @@ def test_fuzzy_join_takes_all_letters_and_swaps(spark, tmp_path):
     assert {r.word: (r.distance, r.term) for r in made.collect()} == hits and {"réation", "raetion", "ertiönen"} <= set(hits)
 
 
+def test_fuzzy_join_measures_as_its_sql(spark, tmp_path):
+    words = "reatonin reatorin reatouin raetion reatxoi thnaer anbter"
+    path = stored(spark, tmp_path / "t", [words])
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+    want = set(con.execute(catalogue.oracle_sql()["fuzzy_lexicon_join"]).fetchall())
+    assert {tuple(r) for r in plans.fuzzy_lexicon_join(spark, path).collect()} == want and ("reatonin", "reation", 2) in want
+
+
+def test_damerau_distances_equal_the_recursion():
+    def brute(a, b):
+        far = len(a) + len(b)
+        d, last = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i * j}, {}
+        for i in range(1, len(a) + 1):
+            left = 0
+            for j in range(1, len(b) + 1):
+                k, m = last.get(b[j - 1], 0), left
+                left = j if a[i - 1] == b[j - 1] else left
+                moved = d[k - 1, m - 1] + (i - k - 1) + 1 + (j - m - 1) if k and m else far
+                d[i, j] = min(d[i - 1, j - 1] + (a[i - 1] != b[j - 1]), d[i, j - 1] + 1, d[i - 1, j] + 1, moved)
+            last[a[i - 1]] = i
+        return d[len(a), len(b)]
+
+    r = random.Random(5)
+    pairs = [("".join(r.choice("abcß") for _ in range(r.randrange(8))), "".join(r.choice("abcß") for _ in range(r.randrange(8)))) for _ in range(600)]
+    assert X.damerau_distances(pd.Series([a for a, _ in pairs]), pd.Series([b for _, b in pairs])).tolist() == [brute(a, b) for a, b in pairs]
+
+
 def test_all_pairs_of_a_band_follow_from_lsh_candidates(spark, data):
     count, width = similarity.banding(0.8)
     docs = spark.read.parquet(f"{data}/documents.parquet")
