@@ -129,51 +129,94 @@ def account_scores(posts: DataFrame, as_of: Column, half_life: float = 90.0, aut
     return both.withColumn("score", score)
 
 
-def poisson_bootstrap(posts: DataFrame, as_of: Column, half_life: float = 90.0, resamples: int = 300, author: str = "author_id") -> DataFrame:
+#: Posts up to which an author's are one stream of one task.
+ONE_STREAM = 1_000_000
+
+
+def _draws(rows: pd.DataFrame, half_life: float, resamples: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """An author's five sums in each resample, and for each target in which of them it was drawn."""
+    sums, drawn = np.zeros((5, resamples)), {}
+    for at in range(0, len(rows), 1000):
+        part = rows.iloc[at : at + 1000]
+        seeds = part["post_id"].to_numpy(np.int64).astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(resamples, dtype=np.uint64)[None, :] * np.uint64(0xBF58476D1CE4E5B9)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            seeds = (seeds ^ (seeds >> np.uint64(shift))) * np.uint64(factor)
+        uniform = (seeds >> np.uint64(11)).astype(np.float64) / (1 << 53)
+        counts = np.searchsorted(np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120, 720)]), uniform).astype(np.float64)
+        age = part["age"].to_numpy()
+        w = 0.5 ** (age / half_life) if half_life > 0 else np.ones(len(part))
+        toxic = part["tox"].to_numpy() >= 0.5
+        sums += [counts.T @ x for x in (w, w * part["severity"].to_numpy(), w * toxic, toxic.astype(float), (toxic & (age <= 30)).astype(float))]
+        for i, names in enumerate(part["targets"]):
+            for t in names if toxic[i] else ():
+                drawn[t] = drawn.get(t, np.zeros(resamples, bool)) | (counts[i] > 0)
+    return sums, drawn
+
+
+def poisson_bootstrap(posts: DataFrame, as_of: Column, half_life: float = 90.0, resamples: int = 300, author: str = "author_id", one_stream: int = ONE_STREAM) -> DataFrame:
     """(author, n_posts, ci_low, ci_high): a bootstrap interval of the account score.
 
     Each post has a Poisson(1) count in each resample, drawn from a hash of its id
-    and the resample, so the result is the same on any cluster.  Sums are taken in
-    the tasks and merged, so an author's posts never meet in one task.  Below two
-    posts the interval is null.
+    and the resample, so the result is the same on any cluster.  Posts move once, to
+    their author's task, which streams them in batches and holds one author's sums; only
+    the interval leaves it.  Of authors with more than `one_stream` posts the sums are
+    taken in many tasks and merged.  Below two posts the interval is null.
     """
     age = (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))) / 86400e6
-    source = posts.select(author, "post_id", "tox", "severity", age.alias("age"), F.explode_outer("targets").alias("target"))
-    source = source.groupBy(author, "post_id", "tox", "severity", "age").agg(F.array_sort(F.collect_set("target")).alias("targets"))
+    known = posts.where(F.col(author).isNotNull())
+    many = F.broadcast(known.groupBy(author).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > one_stream).select(author))  # few: each has so many posts
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def source(rows: DataFrame) -> DataFrame:
+        each = rows.select(author, "post_id", "tox", "severity", age.alias("age"), F.explode_outer("targets").alias("target"))
+        return each.groupBy(author, "post_id", "tox", "severity", "age").agg(F.array_sort(F.collect_set("target")).alias("targets"))
+
+    low, high = int(0.025 * resamples), min(resamples - 1, int(0.975 * resamples))
+    w = ACCOUNT_WEIGHTS
+
+    def streamed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = lambda a, b: np.divide(a, b, out=np.zeros(resamples), where=b != 0)
+        who, n, sums, drawn = None, 0, np.zeros((5, resamples)), {}
+
+        def interval() -> tuple:
+            t = np.sum([*drawn.values(), np.zeros(resamples)], axis=0)
+            score = w["severity"] * part(sums[1], sums[0]) / 4 + w["toxic_ratio"] * part(sums[2], sums[0]) + w["target_diversity"] * np.minimum(1.0, t / 6.0) + w["recency"] * part(sums[4], sums[3])
+            ordered = np.sort(score)
+            return who, n, ordered[low], ordered[high]
+
+        for frame in batches:
+            done = []
+            for key, rows in frame.groupby(author, sort=False):
+                if key != who:
+                    done += [interval()] if n else []
+                    who, n, sums, drawn = key, 0, np.zeros((5, resamples)), {}
+                more, hit = _draws(rows, half_life, resamples)
+                n, sums = n + len(rows), sums + more
+                drawn = {t: drawn.get(t, False) | hit.get(t, False) for t in drawn.keys() | hit.keys()}
+            yield pd.DataFrame(done, columns=[author, "n_posts", "low", "high"])
+        if n:
+            yield pd.DataFrame([interval()], columns=[author, "n_posts", "low", "high"])
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [author, "resample", "target", "n", *[f"s{i}" for i in range(5)]]
         for frame in batches:
             out = []
-            for who, rows in frame.groupby(author, sort=False):
-                seeds = rows["post_id"].to_numpy(np.int64).astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(resamples, dtype=np.uint64)[None, :] * np.uint64(0xBF58476D1CE4E5B9)
-                for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-                    seeds = (seeds ^ (seeds >> np.uint64(shift))) * np.uint64(factor)
-                uniform = (seeds >> np.uint64(11)).astype(np.float64) / (1 << 53)
-                counts = np.searchsorted(np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120, 720)]), uniform).astype(np.float64)
-                w = 0.5 ** (rows["age"].to_numpy() / half_life) if half_life > 0 else np.ones(len(rows))
-                toxic = rows["tox"].to_numpy() >= 0.5
-                recent = toxic & (rows["age"].to_numpy() <= 30)
-                parts = [counts.T @ x for x in (w, w * rows["severity"].to_numpy(), w * toxic, toxic.astype(float), recent.astype(float))]
-                drawn: dict[str, np.ndarray] = {}
-                for i, names in enumerate(rows["targets"]):
-                    for t in names if toxic[i] else ():
-                        drawn[t] = drawn.get(t, np.zeros(resamples, bool)) | (counts[i] > 0)
-                base = pd.DataFrame({author: who, "resample": np.arange(resamples), "target": None, "n": len(rows), **{f"s{i}": p for i, p in enumerate(parts)}})
-                out.append(base)
-                out += [pd.DataFrame({author: who, "resample": np.flatnonzero(hit), "target": t, "n": 0, **{f"s{i}": 0.0 for i in range(5)}}) for t, hit in drawn.items()]
-            yield pd.concat(out) if out else pd.DataFrame(columns=[author, "resample", "target", "n", *[f"s{i}" for i in range(5)]])
+            for key, rows in frame.groupby(author, sort=False):
+                sums, drawn = _draws(rows, half_life, resamples)
+                out.append(pd.DataFrame({author: key, "resample": np.arange(resamples), "target": None, "n": len(rows), **{f"s{i}": p for i, p in enumerate(sums)}}))
+                out += [pd.DataFrame({author: key, "resample": np.flatnonzero(hit), "target": t, "n": 0, **{f"s{i}": 0.0 for i in range(5)}}) for t, hit in drawn.items()]
+            yield pd.concat(out) if out else pd.DataFrame(columns=names)
 
     kind = dict(posts.dtypes)[author]
-    parts = source.mapInPandas(sums, f"{author} {kind}, resample int, target string, n long, s0 double, s1 double, s2 double, s3 double, s4 double")
+    dealt = source(known.join(many, author, "left_anti").repartition(author)).sortWithinPartitions(author)
+    whole = dealt.mapInPandas(streamed, f"{author} {kind}, n_posts long, low double, high double")
+    parts = source(known.join(many, author, "left_semi")).mapInPandas(partial, f"{author} {kind}, resample int, target string, n long, s0 double, s1 double, s2 double, s3 double, s4 double")
     merged = parts.groupBy(author, "resample").agg(F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(5)], F.countDistinct("target").alias("t"))
-    part = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
-    w = ACCOUNT_WEIGHTS
-    score = w["severity"] * part("s1", "s0") / 4 + w["toxic_ratio"] * part("s2", "s0") + w["target_diversity"] * F.least(F.lit(1.0), F.col("t") / 6.0) + w["recency"] * part("s4", "s3")
-    scored = merged.select(author, "n", score.alias("score"))
-    ranked = scored.groupBy(author).agg(F.max("n").alias("n_posts"), F.array_sort(F.collect_list("score")).alias("v"))
+    share = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
+    score = w["severity"] * share("s1", "s0") / 4 + w["toxic_ratio"] * share("s2", "s0") + w["target_diversity"] * F.least(F.lit(1.0), F.col("t") / 6.0) + w["recency"] * share("s4", "s3")
+    ranked = merged.select(author, "n", score.alias("score")).groupBy(author).agg(F.max("n").alias("n_posts"), F.array_sort(F.collect_list("score")).alias("v"))
+    every = whole.union(ranked.select(author, "n_posts", F.get("v", F.lit(low)).alias("low"), F.get("v", F.lit(high)).alias("high")))
     enough = F.col("n_posts") >= 2
-    low, high = int(0.025 * resamples), min(resamples - 1, int(0.975 * resamples))
-    return ranked.select(author, "n_posts", F.when(enough, F.round(F.get("v", F.lit(low)), 4)).alias("ci_low"), F.when(enough, F.round(F.get("v", F.lit(high)), 4)).alias("ci_high"))
+    return every.select(author, "n_posts", F.when(enough, F.round("low", 4)).alias("ci_low"), F.when(enough, F.round("high", 4)).alias("ci_high"))
 
 
 def confidence_label(n: Column, low: Column, high: Column, least: int = CONFIDENT_POSTS) -> Column:

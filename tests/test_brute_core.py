@@ -185,3 +185,22 @@ def test_bootstrap_draws_one_by_one(spark):
             scores.append(0.4 * of(sev, w) / 4 + 0.3 * of(tox, w) + 0.2 * min(1.0, len(targets) / 6) + 0.1 * of(recent, n_tox))
         scores.sort()
         assert found[who] == pytest.approx((len(mine), scores[int(0.025 * 60)], scores[int(0.975 * 60)]), abs=6e-5)
+
+
+def test_bootstrap_moves_posts_once_and_streams_agree_with_parts(spark):
+    from pyspark.sql import functions as F
+
+    posts = spark.range(3000).selectExpr("id AS post_id", "id % 7 AS author_id", "timestamp '2024-01-01' + make_interval(0, 0, 0, cast(id % 29 AS int)) AS created_at", "id % 11 / 10.0D AS tox", "cast(id % 5 AS int) AS severity", "array('a', substr('bcd', cast(id % 3 + 1 AS int), 1)) AS targets").repartition(5).localCheckpoint()
+    now = F.lit("2024-01-31").cast("timestamp")
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def moved() -> int:
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = moved()
+    whole = sorted(map(tuple, behaviour.poisson_bootstrap(posts, now).collect()))
+    assert moved() - before < 1.2 * 3000 and len(whole) == 7
+    parts = sorted(map(tuple, behaviour.poisson_bootstrap(posts, now, one_stream=100).collect()))
+    assert [w[:2] for w in whole] == [p[:2] for p in parts]
+    assert all(abs(a - b) < 2e-4 for w, p in zip(whole, parts) for a, b in zip(w[2:], p[2:]))
