@@ -11,6 +11,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -127,12 +129,35 @@ def top_subgraph(edges: DataFrame, rank: DataFrame, most: int) -> DataFrame:
     return edges.join(top.withColumnRenamed("id", "src"), "src", "left_semi").join(top.withColumnRenamed("id", "dst"), "dst", "left_semi").select(edges.columns)
 
 
+class Layers:
+    """Rows that come in many small tables: as soon as `fan` tables of one tier are there they become one of the next, so each row is written again a logarithm of times."""
+
+    def __init__(self, merge: Callable[[DataFrame], DataFrame] = lambda df: df, fan: int = 8):
+        self.merge, self.fan, self.tiers = merge, fan, [[]]
+
+    def add(self, table: DataFrame) -> None:
+        self.tiers[0].append(table)
+        for i, tier in enumerate(self.tiers):
+            if len(tier) < self.fan:
+                break
+            joined = saved(self.merge(reduce(DataFrame.union, tier)).coalesce(table.sparkSession.sparkContext.defaultParallelism))
+            tier.clear()
+            if i + 1 == len(self.tiers):
+                self.tiers.append([])
+            self.tiers[i + 1].append(joined)
+
+    def rows(self) -> DataFrame:
+        return reduce(DataFrame.union, [t for tier in self.tiers for t in tier])
+
+
 def betweenness(edges: DataFrame, sources: int = 200) -> DataFrame:
     """(id, betweenness): unweighted shortest-path counts from a fixed number of sampled sources.
 
     All sources walk at once: a level is a table of (source, id, depth, paths), grown
     by joining the one before it with the edges; dependencies go back the same way.
     Each level is saved, so the work is joins and sums over `sources` rows a vertex.
+    What was seen is read at each level, but only what a level meets again leaves it, so
+    a long walk does not shuffle all that is behind it.
     """
     plain = saved(edges.select("src", "dst").distinct())
     ids = saved(vertices(plain))
@@ -141,27 +166,28 @@ def betweenness(edges: DataFrame, sources: int = 200) -> DataFrame:
         return ids.select("id", F.lit(0.0).alias("betweenness"))
     chosen = ids.orderBy(F.xxhash64("id"), "id").limit(sources)
     levels = [saved(chosen.select(F.col("id").alias("source"), "id", F.lit(0).alias("depth"), F.lit(1.0).alias("paths")))]
-    seen = levels[0].select("source", "id")
+    seen = Layers()
+    seen.add(levels[0].select("source", "id"))
     while True:
-        ahead = levels[-1].join(plain, F.col("id") == F.col("src")).groupBy("source", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
-        level = saved(ahead.join(seen, ["source", "id"], "left_anti").select("source", "id", F.lit(len(levels)).alias("depth"), "paths"))
-        if not level.limit(1).count():
+        ahead = saved(levels[-1].join(plain, F.col("id") == F.col("src")).groupBy("source", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths")))
+        again = seen.rows().join(ahead.select("source", "id"), ["source", "id"], "left_semi")
+        level = saved(ahead.join(again, ["source", "id"], "left_anti").select("source", "id", F.lit(len(levels)).alias("depth"), "paths"))
+        if level.isEmpty():
             break
         levels.append(level)
-        seen = seen.union(level.select("source", "id"))
-    parts = []
+        seen.add(level.select("source", "id"))
+    summed = lambda df: df.groupBy("id").agg(F.sum("part").alias("part"))
+    total = Layers(summed)
+    total.add(ids.select("id", F.lit(0.0).alias("part")))
     below = levels[-1].select("source", "id", "paths", F.lit(0.0).alias("part"))
     for level in reversed(levels[:-1]):
-        parts.append(below.select("id", "part"))
+        total.add(below.select("id", "part"))
         back = below.select("source", F.col("id").alias("dst"), ((1 + F.col("part")) / F.col("paths")).alias("given"))
         got = back.join(plain, "dst").groupBy("source", F.col("src").alias("id")).agg(F.sum("given").alias("given"))
         found = level.join(got, ["source", "id"], "left")
         below = saved(found.select("source", "id", "paths", (F.col("paths") * F.coalesce("given", F.lit(0.0))).alias("part")))
     scale = n / min(sources, n) / ((n - 1) * (n - 2))
-    total = ids.select("id", F.lit(0.0).alias("part"))
-    for part in parts:
-        total = total.union(part)
-    return total.groupBy("id").agg((F.sum("part") * scale).alias("betweenness"))
+    return summed(total.rows()).select("id", (F.col("part") * scale).alias("betweenness"))
 
 
 def thread_depth(posts: DataFrame, key: str, parent: str, most: int | None = 50) -> DataFrame:
