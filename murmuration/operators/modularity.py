@@ -38,15 +38,23 @@ def modularity(links: DataFrame, members: DataFrame, resolution: float = 1.0) ->
     return 0.0 if not r["m2"] else r["i"] / r["m2"] - resolution * r["dd"] / r["m2"] ** 2
 
 
-def _move(links: DataFrame, degree: DataFrame, members: DataFrame, m2: float, resolution: float, turn: int, turns: int) -> DataFrame:
-    """Communities after the vertices of a turn took their best neighbouring one."""
-    totals = members.join(degree, "id").groupBy("community").agg(F.sum("k").alias("total"))
-    mine = F.pmod(F.xxhash64("id", F.lit(turn // turns)), F.lit(turns)) == turn % turns
-    movers = members.where(mine).join(degree, "id").select(F.col("id").alias("a"), F.col("community").alias("own"), "k")
-    met = links.where("a <> b").join(movers, "a").join(members.select(F.col("id").alias("b"), "community"), "b")
-    reach = met.groupBy("a", "community").agg(F.sum("w").alias("w"), F.first("own").alias("own"), F.first("k").alias("k"))
+def _modularity(links: DataFrame, members: DataFrame, m2: float, resolution: float) -> float:
+    """As :func:`modularity`, of members with their weight `k`, so links are only summed, not dealt by community."""
+    side = lambda c, name: members.select(F.col("id").alias(c), F.col("community").alias(name))
+    inside = links.join(side("a", "ca"), "a").join(side("b", "cb"), "b").where("ca = cb").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("i"))
+    squares = members.groupBy("community").agg(F.sum("k").alias("d")).agg(F.sum(F.col("d") * F.col("d")).alias("dd"))
+    r = inside.crossJoin(squares).first()  # one row each
+    return r["i"] / m2 - resolution * r["dd"] / m2**2
+
+
+def _move(links: DataFrame, members: DataFrame, m2: float, resolution: float, turn: int, turns: int) -> DataFrame:
+    """Communities (id, community, k) after the vertices of a turn took their best neighbouring one; only their links take part."""
+    totals = members.groupBy("community").agg(F.sum("k").alias("total"))
+    mine = lambda c: F.pmod(F.xxhash64(c, F.lit(turn // turns)), F.lit(turns)) == turn % turns
+    movers = members.where(mine("id")).select(F.col("id").alias("a"), F.col("community").alias("own"), "k")
+    met = links.where((F.col("a") != F.col("b")) & mine("a")).join(movers, "a").join(members.select(F.col("id").alias("b"), "community"), "b")
     stay = movers.select("a", F.col("own").alias("community"), F.lit(0.0).alias("w"), "own", "k")
-    both = reach.unionByName(stay).groupBy("a", "community").agg(F.sum("w").alias("w"), F.first("own").alias("own"), F.first("k").alias("k"))
+    both = met.select("a", "community", "w", "own", "k").union(stay).groupBy("a", "community").agg(F.sum("w").alias("w"), F.first("own").alias("own"), F.first("k").alias("k"))
     others = F.col("total") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
     gain = F.col("w") - resolution * F.col("k") * others / m2
     ranked = both.join(totals, "community").select("a", "community", "own", gain.alias("gain"))
@@ -55,7 +63,7 @@ def _move(links: DataFrame, degree: DataFrame, members: DataFrame, m2: float, re
         F.max(F.when(F.col("community") == F.col("own"), F.col("gain"))).alias("now"),
     )
     moved = best.where(F.col("best.gain") > F.col("now") + 1e-12).select(F.col("a").alias("id"), F.col("best.community").alias("to"))
-    return members.join(moved, "id", "left").select("id", F.coalesce("to", "community").alias("community"))
+    return members.join(moved, "id", "left").select("id", F.coalesce("to", "community").alias("community"), "k")
 
 
 def _connected(links: DataFrame, members: DataFrame) -> DataFrame:
@@ -73,14 +81,14 @@ def _connected(links: DataFrame, members: DataFrame) -> DataFrame:
             return labels.select("id", F.col("label").alias("community"))
 
 
-def _settle(links: DataFrame, degree: DataFrame, members: DataFrame, m2: float, resolution: float, turns: int, rounds: int) -> tuple[DataFrame, float]:
+def _settle(links: DataFrame, members: DataFrame, m2: float, resolution: float, turns: int, rounds: int) -> tuple[DataFrame, float]:
     """Communities after rounds of local moving, and their modularity."""
-    best = modularity(links, members, resolution)
+    best = _modularity(links, members, m2, resolution)
     for n in range(rounds):
         state = members
         for turn in range(turns):
-            state = saved(_move(links, degree, state, m2, resolution, n * turns + turn, turns))
-        now = modularity(links, state, resolution)
+            state = saved(_move(links, state, m2, resolution, n * turns + turn, turns))
+        now = _modularity(links, state, m2, resolution)
         if now <= best + GAIN:
             break
         members, best = state, now
@@ -102,8 +110,9 @@ def communities(edges: DataFrame, resolution: float = 1.0, start: DataFrame | No
     members, place = whole, saved(ids.select("id", F.col("id").alias("node")))  # node: the vertex of the current level that stands for id
     result = whole
     for level in range(levels):
-        degree = saved(links.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k")))
-        members, _ = _settle(links, degree, members, m2, resolution, turns, rounds)
+        degree = links.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k"))
+        weighed = saved(members.select("id", "community").join(degree, "id", "left").select("id", "community", F.coalesce("k", F.lit(0.0)).alias("k")))
+        members, _ = _settle(links, weighed, m2, resolution, turns, rounds)
         parts = saved(_connected(links, members))
         found = saved(place.join(parts.select(F.col("id").alias("node"), "community"), "node").select("id", "community"))
         now = modularity(first, found, resolution)
