@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmuration.llm import kernel
-from murmuration.llm.ranks import numbered, shares_ids
+from murmuration.llm.ranks import built, numbered, shares_ids, without
 from murmuration.llm.scratch import Scratch
 
 LEAST, COVERAGE = 5, 0.6
@@ -259,10 +259,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, cove
     # an item's seeds may repeat, a row's do not: of different seeds fewer need be shared
     repeats = item_seeds.groupBy("b", "h").agg(F.count(F.lit(1)).alias("m"), F.first("n_tokens").alias("n_tokens"))
     lists = repeats.groupBy("b").agg(F.collect_list("h").alias("hs"), F.ceil(F.first(asked) / F.max("m")).alias("asked"))
-    counted = met.join(seeded.select("r", "seeds"), "r").join(F.broadcast(lists) if held <= BROADCAST_BYTES else lists, "b")
+    counted = built(met).join(seeded.select("r", "seeds"), "r").join(F.broadcast(lists) if held <= BROADCAST_BYTES else lists, "b")
     pairs = scratch.save(counted.where(F.size(F.array_intersect("seeds", "hs")) >= F.col("asked")).select("r", "b"))
     items = tests.select("b", "item", F.col("text").alias("item_text"))
-    texts = pairs.join(seeded.select("r", "key", "text"), "r").join(F.broadcast(items) if held <= BROADCAST_BYTES else items, "b")
+    texts = built(pairs).join(seeded.select("r", "key", "text"), "r").join(F.broadcast(items) if held <= BROADCAST_BYTES else items, "b")
     found = texts.select("key", "text", "item", "item_text").mapInArrow(_tiled(least, coverage), "key long, item long, n_tokens long, n_covered long, n_tiles long, longest long")
     found = scratch.save(found)  # in batches of few whole texts; what is saved is a few numbers a pair
     scratch.drop(seeded, met, pairs, item_seeds, tests)
@@ -273,5 +273,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **
     """The documents that contain no benchmark item, all columns as they were."""
     if key != "__row" and shares_ids(docs, key):  # another text under a contaminated id stays
         return decontaminate(numbered(docs, Scratch(docs.sparkSession)), benchmark, "__row", **options).drop("__row")
-    hit = contaminated(docs, benchmark, key=key, **options).select(F.col(key).alias("__hit")).distinct()
-    return docs.join(hit, F.col(f"`{key}`").cast("long") == F.col("__hit"), "left_anti")
+    return without(docs, key, contaminated(docs, benchmark, key=key, **options).select(key), Scratch(docs.sparkSession))
