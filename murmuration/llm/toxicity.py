@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from murmuration.llm import kernel
+
 SAMPLE, TERMS = 12_000, 4_000
 LEAST_ODDS, LEAST_ROWS, LEAST_SHARE = 3.5, 4, 0.004
 STEM = range(4, 9)
@@ -215,14 +217,15 @@ def score(docs: DataFrame, model: Model, columns: list[str], text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(model)
         for batch in batches:
-            found = [matcher.score(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()]
-            made = [
-                pa.array([s for s, _, _ in found], pa.float64()),
-                pa.array([h for _, h, _ in found], pa.int32()),
-                pa.array([w for _, _, w in found], pa.float64()),
-                pa.array([int(s >= threshold) for s, _, _ in found], pa.int32()),
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(batch.num_columns - 1)] + made, names=schema.names)
+            for piece in kernel.slices(batch, "__text"):
+                found = [matcher.score(t or "") for t in piece.column(piece.num_columns - 1).to_pylist()]
+                made = [
+                    pa.array([s for s, _, _ in found], pa.float64()),
+                    pa.array([h for _, h, _ in found], pa.int32()),
+                    pa.array([w for _, _, w in found], pa.float64()),
+                    pa.array([int(s >= threshold) for s, _, _ in found], pa.int32()),
+                ]
+                yield pa.RecordBatch.from_arrays([piece.column(i) for i in range(piece.num_columns - 1)] + made, names=schema.names)
 
     return source.mapInArrow(run, schema)
 
